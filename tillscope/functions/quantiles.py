@@ -87,10 +87,10 @@ def group_quantiles(
     keys = list(keys)
     counts = stage(value_counts(df, keys, value, count), "value-counts")
     sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_values"))
-    wide = sizes.where(F.col("_values") > window_values)
-    if wide.isEmpty():
+    if (sizes.agg(F.max("_values")).first()[0] or 0) <= window_values:
         return _resolve(_ranked(counts, keys), keys, picks)
 
+    wide = sizes.where(F.col("_values") > window_values)
     tagged = attach(counts, wide, keys)
     narrow = tagged.where(F.col("_values").isNull()).drop("_values")
     bucketed = _rank_buckets(tagged.where(F.col("_values").isNotNull()).drop("_values"), keys, picks)

@@ -2,8 +2,8 @@
 
 Trees see small row samples, so growing them is cheap at any data size: a
 hash of the row id picks a bounded pool, each tree takes its sample from the
-pool, and the trees grow in parallel. The node table is bounded by the number
-of trees and their depth; scoring is one vectorised pass over the rows.
+pool, and the trees grow in parallel. The forest is bounded by the number of
+trees and their depth; scoring is one vectorised pass over the rows.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ BEHAVIOR_FEATURES = (
 )
 
 _EULER_GAMMA = 0.5772156649015329
-_NODES = "tree int, node int, feature int, threshold double, left int, right int, depth double"
+_TREE = "tree int, feature array<int>, threshold array<double>, depths array<double>"
 
 
 def path_constant(n: np.ndarray | float) -> np.ndarray:
@@ -50,63 +50,68 @@ def path_constant(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, formula, np.where(n == 2, 1.0, 0.0))
 
 
-def _grow(points: np.ndarray, seed: int, max_depth: int) -> list[tuple]:
-    """Node rows of one tree; a leaf has feature -1 and its expected depth."""
+def _grow(points: np.ndarray, seed: int, levels: int) -> tuple[np.ndarray, ...]:
+    """One tree in heap order: features and thresholds of the inner nodes, leaf depths.
+
+    A branch that ends early runs on to the last level without splitting, so
+    that every row takes the same number of steps.
+    """
     rng = np.random.default_rng(seed)
-    nodes: list[list] = []
-    pending = [(points, 0, None, None)]
+    inner = (1 << levels) - 1
+    feature, threshold = np.zeros(inner, dtype=int), np.full(inner, np.inf)
+    depths = np.zeros(1 << levels)
+    pending = [(points, 0, 0)]
     while pending:
-        rows, depth, parent, side = pending.pop()
-        me = len(nodes)
-        if parent is not None:
-            nodes[parent][side] = me
+        rows, node, depth = pending.pop()
         low, high = rows.min(axis=0), rows.max(axis=0)
         splittable = np.flatnonzero(high > low)
-        if depth >= max_depth or len(splittable) == 0:
-            nodes.append([me, -1, 0.0, me, me, depth + float(path_constant(len(rows)))])
+        if depth == levels or len(splittable) == 0:
+            for _ in range(levels - depth):
+                node = 2 * node + 1
+            depths[node - inner] = depth + path_constant(len(rows))
             continue
-        feature = int(rng.choice(splittable))
-        threshold = float(rng.uniform(low[feature], high[feature]))
-        goes_left = rows[:, feature] <= threshold
-        if goes_left.all():  # the draw rounded up to the maximum
-            threshold, goes_left = low[feature], rows[:, feature] <= low[feature]
-        nodes.append([me, feature, float(threshold), 0, 0, 0.0])
-        pending.append((rows[~goes_left], depth + 1, me, 4))
-        pending.append((rows[goes_left], depth + 1, me, 3))
-    return nodes
+        chosen = int(rng.choice(splittable))
+        cut = float(rng.uniform(low[chosen], high[chosen]))
+        cut = min(cut, float(np.nextafter(high[chosen], low[chosen])))
+        feature[node], threshold[node] = chosen, cut
+        right = rows[:, chosen] > cut
+        pending += [(rows[right], 2 * node + 2, depth + 1), (rows[~right], 2 * node + 1, depth + 1)]
+    return feature, threshold, depths
 
 
 @dataclass(frozen=True)
 class IsolationForest:
-    """Node arrays, one row per tree, and the sample size behind them."""
+    """Trees in heap order, one array row each, and the sample size behind them."""
 
     features: tuple[str, ...]
     tree_rows: int
-    arrays: dict[str, np.ndarray]
+    feature: np.ndarray
+    threshold: np.ndarray
+    depths: np.ndarray
 
     def score(self) -> Column:
         """Minus the anomaly score in (0, 1]; lower is more anomalous.
 
         Only the feature columns travel to the Python workers.
         """
-        arrays, normal = self.arrays, float(path_constant(self.tree_rows)) or 1.0
-        levels = int(math.ceil(math.log2(max(self.tree_rows, 2))))
-        trees = len(arrays["feature"])
+        feature, threshold, depths = self.feature, self.threshold, self.depths
+        normal = len(feature) * (float(path_constant(self.tree_rows)) or 1.0)
+        inner, width = feature.shape[1], len(self.features)
+        levels = (inner + 1).bit_length() - 1
 
         @F.pandas_udf("double")
         def negative_score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             for columns in batches:
-                points = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-                rows = np.arange(len(points))
-                depth = np.zeros(len(points))
-                for t in range(trees):
-                    node = np.zeros(len(points), dtype=np.int64)
+                points = np.column_stack([c.to_numpy(dtype=float) for c in columns]).ravel()
+                first = np.arange(0, len(points), width)
+                total = np.zeros(len(first))
+                for splits, cuts, leaves in zip(feature, threshold, depths, strict=True):
+                    node = np.zeros(len(first), dtype=np.int64)
                     for _ in range(levels):
-                        feature = arrays["feature"][t][node]
-                        left = points[rows, feature] <= arrays["threshold"][t][node]
-                        node = np.where(left, arrays["left"][t][node], arrays["right"][t][node])
-                    depth += arrays["depth"][t][node]
-                yield pd.Series(-np.power(2.0, -depth / (trees * normal)))
+                        value = points.take(first + splits.take(node))
+                        node = 2 * node + 1 + (value > cuts.take(node))
+                    total += leaves.take(node - inner)
+                yield pd.Series(-np.power(2.0, -total / normal))
 
         return negative_score(*[X.model_input(F.col(f)) for f in self.features])
 
@@ -146,27 +151,19 @@ def fit_forest(
     picked = picked.withColumn("position", F.row_number().over(order)).where(
         F.col("position") <= sample
     )
-    max_depth = int(math.ceil(math.log2(max(sample, 2))))
+    levels = int(math.ceil(math.log2(max(sample, 2))))
     names = [f"x{i}" for i in range(len(features))]
 
     def grow(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         (tree,) = key
         points = group.sort_values("position")[names].to_numpy(dtype=float)
-        nodes = _grow(points, seed * 1_000_003 + int(tree), max_depth)
-        table = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right", "depth"])
-        table.insert(0, "tree", int(tree))
-        return table
-
-    # at most trees * 2 * sample nodes
-    nodes = picked.groupBy("tree").applyInPandas(grow, _NODES).toPandas()
-    width = int(nodes["node"].max()) + 1
-    arrays = {}
-    for name, dtype in [("feature", int), ("threshold", float), ("left", int), ("right", int), ("depth", float)]:
-        filled = np.zeros((trees, width), dtype=dtype)
-        filled[nodes["tree"], nodes["node"]] = nodes[name]
-        arrays[name] = filled
-    arrays["feature"] = np.maximum(arrays["feature"], 0)  # leaves point at themselves
-    return IsolationForest(tuple(features), sample, arrays)
+        parts = [part.tolist() for part in _grow(points, seed * 1_000_003 + int(tree), levels)]
+        return pd.DataFrame([(int(tree), *parts)], columns=["tree", "feature", "threshold", "depths"])
+
+    # one row per tree, each with fewer than 2 * sample numbers per column
+    grown = picked.groupBy("tree").applyInPandas(grow, _TREE).orderBy("tree").toPandas()
+    arrays = [np.array(grown[c].tolist()) for c in ("feature", "threshold", "depths")]
+    return IsolationForest(tuple(features), sample, *arrays)
 
 
 def anomaly_score(

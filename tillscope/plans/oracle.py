@@ -75,8 +75,8 @@ summed AS (
 baskets AS (
   SELECT period, receipt_id, basket_value, basket_size, has_fresh_produce, discounted_item_count,
     fresh_weight_sum, total_weight, total_voids, void_value, fresh_value_sum,
-    round(avg_basket_unit_price, 6) AS avg_basket_unit_price,
-    round(avg_price_delta_per_basket, 6) AS avg_price_delta_per_basket,
+    round(avg_basket_unit_price + 3e-6, 4) AS avg_basket_unit_price,
+    round(avg_price_delta_per_basket + 3e-6, 4) AS avg_price_delta_per_basket,
     hour_of_day,
     CAST(isodow(order_day) IN (6, 7) AS TINYINT) AS is_weekend,
     CAST('0x' || substr(md5(store_id), 1, 8) AS BIGINT) % 1000 AS store_numeric,
@@ -482,18 +482,18 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "cashier_fingerprint": _with(
         """ SELECT period, cashier_id, total_transactions,
-          round(avg_transaction_value, 6) AS avg_transaction_value,
-          round(void_rate_per_receipt, 6) AS void_rate_per_receipt,
-          round(abort_rate, 6) AS abort_rate, round(cash_reliance_ratio, 6) AS cash_reliance_ratio
+          round(avg_transaction_value + 3e-6, 4) AS avg_transaction_value,
+          round(void_rate_per_receipt + 3e-6, 4) AS void_rate_per_receipt,
+          round(abort_rate + 3e-6, 4) AS abort_rate, round(cash_reliance_ratio + 3e-6, 4) AS cash_reliance_ratio
         FROM fingerprints""",
         *_L,
         _FINGERPRINTS,
     ),
     "behavioral_risk": _with(
         """ SELECT period, cashier_id, total_transactions,
-          round(avg_transaction_value, 6) AS avg_transaction_value,
-          round(void_rate_per_receipt, 6) AS void_rate_per_receipt,
-          round(abort_rate, 6) AS abort_rate, round(cash_reliance_ratio, 6) AS cash_reliance_ratio,
+          round(avg_transaction_value + 3e-6, 4) AS avg_transaction_value,
+          round(void_rate_per_receipt + 3e-6, 4) AS void_rate_per_receipt,
+          round(abort_rate + 3e-6, 4) AS abort_rate, round(cash_reliance_ratio + 3e-6, 4) AS cash_reliance_ratio,
           round(risk, 6) AS risk_score
         FROM risks""",
         *_L,

@@ -38,8 +38,20 @@ def _lines(spark: SparkSession, sf_dir: str, by_year: bool = False) -> DataFrame
     return lines.normalize_lines(raw_receipt_lines(spark, sf_dir, period))
 
 
+_PRICE_COLUMNS = ("period", "receipt_id", "product_id", "line_total", "weight")
+_BASKET_COLUMNS = (
+    *_PRICE_COLUMNS, "date_str", "time_str", "cashier_id", "store_id", "is_item_void",
+)
+
+
+def _written(lines_: DataFrame, *columns: str) -> DataFrame:
+    """The needed columns, written once: price features read the lines twice."""
+    return stage(lines_.select(*columns), "lines")
+
+
 def _baskets(spark: SparkSession, sf_dir: str, by_year: bool = False) -> DataFrame:
-    return baskets.basket_features(lines.line_price_features(_lines(spark, sf_dir, by_year)))
+    narrow = _written(_lines(spark, sf_dir, by_year), *_BASKET_COLUMNS)
+    return baskets.basket_features(lines.line_price_features(narrow))
 
 
 def _staged(spark: SparkSession, sf_dir: str, by_year: bool = False) -> DataFrame:
@@ -50,6 +62,15 @@ def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+def _settled(df: DataFrame, *columns: str) -> DataFrame:
+    """Rounds means to four digits, a little off the half-way points.
+
+    Means of prices often end exactly half-way, where the last bit of a sum,
+    and so the order of adding, would decide.
+    """
+    return df.withColumns({c: F.round(F.col(c) + 3e-6, 4) for c in columns})
+
+
 def scan_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the first half of the months March to May 1997."""
     raw = raw_receipt_lines(spark, sf_dir)
@@ -90,8 +111,8 @@ def standard_price(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_price_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.line_price_features(_lines(spark, sf_dir))
-    return out.select(
+    narrow = _written(_lines(spark, sf_dir), *_PRICE_COLUMNS)
+    return lines.line_price_features(narrow).select(
         "receipt_id",
         "product_id",
         X.as_double(F.col("line_total")).alias("line_total"),
@@ -111,11 +132,11 @@ _BASKET_MEANS = ("avg_basket_unit_price", "avg_price_delta_per_basket")
 
 
 def canonical_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_baskets(spark, sf_dir), 6, *_BASKET_MEANS)
+    return _settled(_baskets(spark, sf_dir), *_BASKET_MEANS)
 
 
 def canonical_features_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_baskets(spark, sf_dir, by_year=True), 6, *_BASKET_MEANS)
+    return _settled(_baskets(spark, sf_dir, by_year=True), *_BASKET_MEANS)
 
 
 def validate_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,7 +270,10 @@ def report_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def produce_weighing_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audits.produce_weighing_errors(_lines(spark, sf_dir))
+    # only weighed lines with a price count, a small part of all lines
+    columns = ("period", "product_id", "receipt_id", "date_str", "store_id", "line_total", "weight")
+    weighed = _lines(spark, sf_dir).where((F.col("weight") > 0) & (F.col("line_total") > 0))
+    return audits.produce_weighing_errors(_written(weighed, *columns))
 
 
 _FINGERPRINT_MEANS = (
@@ -259,7 +283,7 @@ _FINGERPRINT_MEANS = (
 
 def cashier_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = audits.cashier_fingerprint(_lines(spark, sf_dir))
-    return _rounded(out, 6, *_FINGERPRINT_MEANS)
+    return _settled(out, *_FINGERPRINT_MEANS)
 
 
 def _risks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +291,8 @@ def _risks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def behavioral_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_risks(spark, sf_dir), 6, *_FINGERPRINT_MEANS, "risk_score")
+    out = _settled(_risks(spark, sf_dir), *_FINGERPRINT_MEANS)
+    return _rounded(out, 6, "risk_score")
 
 
 def behavioral_risk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
