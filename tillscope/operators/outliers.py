@@ -100,9 +100,9 @@ class IsolationForest:
         levels = (inner + 1).bit_length() - 1
 
         @F.pandas_udf("double")
-        def negative_score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-            for columns in batches:
-                points = np.column_stack([c.to_numpy(dtype=float) for c in columns]).ravel()
+        def negative_score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+            for batch in batches:
+                points = batch.to_numpy(dtype=float).ravel()
                 first = np.arange(0, len(points), width)
                 total = np.zeros(len(first))
                 for splits, cuts, leaves in zip(feature, threshold, depths, strict=True):
@@ -113,7 +113,7 @@ class IsolationForest:
                     total += leaves.take(node - inner)
                 yield pd.Series(-np.power(2.0, -total / normal))
 
-        return negative_score(*[X.model_input(F.col(f)) for f in self.features])
+        return negative_score(F.struct(*[X.model_input(F.col(f)).alias(f) for f in self.features]))
 
 
 def fit_forest(
