@@ -62,6 +62,12 @@ def test_sweethearting_edges(spark):
     assert ("c", 0.0) in some and (None, 0.0) in some  # no peers, but kept
 
 
+def test_receipts_without_a_cashier_column(spark):
+    df = receipts(spark, {"a": [0.5, 0.1, 0.9]}).drop("cashier_id")
+    got = audits.tag_cashier_sweethearting(df).collect()
+    assert {(r["cashier_id"], r["cashier_sweethearting_z_score"]) for r in got} == {("N/A", 0.0)}
+
+
 def test_severity_ranks(spark):
     rows = [("a", i, float(i)) for i in range(201)] + [("b", i, -float(i)) for i in range(10)]
     df = spark.createDataFrame(rows, "period string, id int, anomaly_score double")

@@ -93,6 +93,18 @@ def test_hash_sample_is_stable_and_nested(spark):
     assert receipts.hash_sample(ids, "receipt_id", 1.0).count() == 5000
 
 
+def test_sampling_whole_files(spark, tmp_path):
+    path = str(tmp_path / "many")
+    spark.range(400).repartition(40).write.parquet(path)
+    df = spark.read.parquet(path)
+    sample = receipts.hash_sample(df, F.col("_metadata.file_path"), 0.5)
+    read = {os.path.basename(f) for f in _files(sample)}
+    paths = df.select(F.col("_metadata.file_path").alias("p")).distinct()
+    want = {os.path.basename(r[0]) for r in receipts.hash_sample(paths, "p", 0.5).collect()}
+    assert read == want and 0 < len(read) < 40
+    assert receipts.preview(df).count() == 5
+
+
 def _document(path):
     (name,) = glob.glob(f"{path}/report/*.json")
     with open(name, encoding="utf-8") as f:
@@ -114,6 +126,8 @@ def test_months_end_to_end(spark, layout, tmp_path):
     assert "Fatturato Acquisito" in behavior["analisi_perdita_margine"][0]["dettagli"][0]
     severities = {r[0] for r in results.receipts.select("severity").distinct().collect()}
     assert severities == {"critical", "warning", "info"}
+    elbow, vif = pipeline.diagnostics(results.receipts.where("period = '2024-04'"))
+    assert elbow.count() == 9 and vif.count() >= 1
     bulk = spark.read.option("header", True).csv(f"{out}/audit/bulk")
     assert bulk.count() == results.bulk.count()
 

@@ -11,6 +11,7 @@ from tillscope import schema
 from tillscope.functions import exprs as X
 from tillscope.functions.lookup import attach, attach_per_period
 from tillscope.functions.quantiles import group_quantiles, median, nearest, value_counts
+from tillscope.operators.baskets import ensure_cashier
 from tillscope.session import stage
 
 # Quantiles below which a score is critical or a warning.
@@ -61,7 +62,8 @@ def cashier_discount_scores(baskets: DataFrame) -> DataFrame:
     peers in the period every score is zero.
     """
     rates = (
-        baskets.groupBy("period", "cashier_id")
+        ensure_cashier(baskets)
+        .groupBy("period", "cashier_id")
         .agg(
             F.avg(F.coalesce(F.col("discount_ratio"), F.lit(0.0))).alias("avg_discount_rate"),
             F.count(F.lit(1)).alias("transaction_count"),
@@ -100,7 +102,7 @@ def tag_cashier_sweethearting(baskets: DataFrame) -> DataFrame:
     scores = scores.select(
         "period", "cashier_id", "cashier_sweethearting_z_score", "cashier_sweethearting_anomaly_score"
     )
-    return attach(baskets, scores, ["period", "cashier_id"]).withColumns(
+    return attach(ensure_cashier(baskets), scores, ["period", "cashier_id"]).withColumns(
         {
             "cashier_sweethearting_z_score": F.coalesce(
                 F.col("cashier_sweethearting_z_score"), F.lit(0.0)

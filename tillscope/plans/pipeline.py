@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillscope import schema
 from tillscope.operators import audits, baskets, lines, missions, outliers, selection
 from tillscope.plans import reports
 from tillscope.session import stage
@@ -28,6 +29,21 @@ class PeriodResults:
     leakage: DataFrame
 
 
+def consensus(receipts: DataFrame) -> list[str]:
+    """Names of the features both models of one period agree on, best first."""
+    found = selection.consensus_features(
+        selection.rf_importance(receipts), selection.lasso_importance(receipts)
+    )
+    return [r["feature"] for r in found.collect()]
+
+
+def diagnostics(receipts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Elbow curve and VIF of the consensus features, to check one period's models."""
+    chosen = consensus(receipts)
+    vif = selection.vif(receipts, chosen or schema.MISSION_FEATURES)
+    return missions.elbow_curve(receipts), vif
+
+
 def score_anomalies(receipts: DataFrame) -> DataFrame:
     """Forest score and severity on the consensus features, per period.
 
@@ -36,9 +52,7 @@ def score_anomalies(receipts: DataFrame) -> DataFrame:
     scored = None
     for period in missions.periods_of(receipts):
         part = receipts.where(F.col("period") == period)
-        forest, lasso = selection.rf_importance(part), selection.lasso_importance(part)
-        chosen = [r["feature"] for r in selection.consensus_features(forest, lasso).collect()]
-        part = outliers.anomaly_score(part, chosen)
+        part = outliers.anomaly_score(part, consensus(part))
         scored = part if scored is None else scored.unionByName(part)
     if scored is None:
         scored = receipts.withColumn("anomaly_score", F.lit(None).cast("double"))

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillscope import schema
 from tillscope.functions import exprs as X
 
 # Folder layout below the data path.
@@ -125,5 +124,6 @@ def hash_sample(rows: DataFrame, key: Column | str, rate: float) -> DataFrame:
     return rows.where(X.md5_mod(column, 100) < F.lit(rate * 100))
 
 
-def raw_schema() -> T.StructType:
-    return schema.RAW_SCHEMA
+def preview(rows: DataFrame, count: int = 5) -> DataFrame:
+    """The first few rows, for a look at freshly read data."""
+    return rows.limit(count)
