@@ -212,6 +212,16 @@ def test_forest_edges(spark, cloud):
     assert outliers.anomaly_score(same, ["a"]).select("anomaly_score").distinct().count() == 1
 
 
+def test_each_period_has_its_own_forest(cloud):
+    shifted = cloud.withColumn("period", F.lit("q")).withColumn("a", F.col("a") * 50 + 1000)
+    both = outliers.anomaly_score(cloud.unionByName(shifted), {"p": ["a", "b"], "q": []})
+    alone = outliers.anomaly_score(cloud, ["a", "b"])
+    assert rows_of(both.where("period = 'p'"), "receipt_id", "anomaly_score") == rows_of(
+        alone, "receipt_id", "anomaly_score"
+    )
+    assert both.where("period = 'q' and anomaly_score is null").count() == 3000
+
+
 def test_behavioural_outliers(spark):
     rng = np.random.default_rng(6)
     data = pd.DataFrame(rng.normal(10, 1, (100, 4)), columns=list(outliers.BEHAVIOR_FEATURES))

@@ -128,6 +128,7 @@ def test_months_end_to_end(spark, layout, tmp_path):
     assert severities == {"critical", "warning", "info"}
     elbow, vif = pipeline.diagnostics(results.receipts.where("period = '2024-04'"))
     assert elbow.count() == 9 and vif.count() >= 1
+    assert {r[0] for r in results.behavior.select("iso_outlier_score").distinct().collect()} <= {-1, 1}
     bulk = spark.read.option("header", True).csv(f"{out}/audit/bulk")
     assert bulk.count() == results.bulk.count()
 

@@ -84,8 +84,18 @@ def group_quantiles(
 
     ``count`` names a column that says how often each row occurs.
     """
-    keys = list(keys)
     counts = stage(value_counts(df, keys, value, count), "value-counts")
+    return counted_quantiles(counts, keys, picks, window_values)
+
+
+def counted_quantiles(
+    counts: DataFrame,
+    keys: Sequence[str],
+    picks: dict[str, Pick],
+    window_values: int = WINDOW_VALUES,
+) -> DataFrame:
+    """The same for a staged table of ``value_counts``."""
+    keys = list(keys)
     sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_values"))
     if (sizes.agg(F.max("_values")).first()[0] or 0) <= window_values:
         return _resolve(_ranked(counts, keys), keys, picks)

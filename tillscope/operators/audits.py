@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 from tillscope import schema
 from tillscope.functions import exprs as X
 from tillscope.functions.lookup import attach, attach_per_period
-from tillscope.functions.quantiles import group_quantiles, median, nearest, value_counts
+from tillscope.functions.quantiles import (
+    counted_quantiles,
+    group_quantiles,
+    median,
+    nearest,
+    value_counts,
+)
 from tillscope.operators.baskets import ensure_cashier
 from tillscope.session import stage
 
@@ -131,7 +137,7 @@ def produce_weighing_errors(lines: DataFrame) -> DataFrame:
     )
     # distinct prices with their counts serve both medians
     prices = stage(value_counts(weighed, keys, "unit_price"), "unit-prices")
-    centers = group_quantiles(prices, keys, "_v", {"med_price": median()}, count="_c").drop("n")
+    centers = counted_quantiles(prices, keys, {"med_price": median()}).drop("n")
     centers = stage(centers, "median-prices")
     deviations = attach(prices, centers, keys, staged=True).withColumn(
         "_d", F.abs(F.col("_v") - F.col("med_price"))

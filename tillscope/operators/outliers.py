@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.functions import exprs as X
+from tillscope.functions.lookup import attach_per_period
 from tillscope.functions.quantiles import group_quantiles, linear
+from tillscope.operators.missions import periods_of
+from tillscope.session import stage
 
 # Tasks get the functions below by value; executors need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -166,17 +170,34 @@ def fit_forest(
     return IsolationForest(tuple(features), sample, *arrays)
 
 
+def _per_period(rows: DataFrame, score: Callable[[DataFrame, str], DataFrame]) -> DataFrame | None:
+    """``score`` applied to each period by itself; ``None`` without rows."""
+    parts = [score(rows.where(F.col("period") == p), p) for p in periods_of(rows)]
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
 def anomaly_score(
-    rows: DataFrame, features: Sequence[str], id_col: str = "receipt_id", seed: int = 42
+    rows: DataFrame,
+    features: Sequence[str] | Mapping[str, Sequence[str]],
+    id_col: str = "receipt_id",
+    seed: int = 42,
 ) -> DataFrame:
     """Adds ``anomaly_score``; negative means more isolated than usual.
 
-    Without features or rows the score is null.
+    Each period has its own forest, and may have its own features. Without
+    features or rows the score is null. ``rows`` is read several times, so
+    callers pass a staged table.
     """
-    forest = fit_forest(rows, features, id_col, seed=seed) if features else None
-    if forest is None:
-        return rows.withColumn("anomaly_score", F.lit(None).cast("double"))
-    return rows.withColumn("anomaly_score", forest.score() - F.lit(AUTO_OFFSET))
+
+    def score(part: DataFrame, period: str) -> DataFrame:
+        chosen = features[period] if isinstance(features, Mapping) else features
+        forest = fit_forest(part, chosen, id_col, seed=seed) if chosen else None
+        if forest is None:
+            return part.withColumn("anomaly_score", F.lit(None).cast("double"))
+        return part.withColumn("anomaly_score", forest.score() - F.lit(AUTO_OFFSET))
+
+    scored = _per_period(rows, score)
+    return rows.withColumn("anomaly_score", F.lit(None).cast("double")) if scored is None else scored
 
 
 def behavioral_outliers(
@@ -185,14 +206,18 @@ def behavioral_outliers(
     contamination: float = CASHIER_CONTAMINATION,
     seed: int = 42,
 ) -> DataFrame:
-    """Adds ``iso_outlier_score``: -1 for the most isolated cashiers, else 1."""
-    forest = fit_forest(fingerprints, features, "cashier_id", seed=seed)
-    if forest is None:
+    """Adds ``iso_outlier_score``: -1 for the period's most isolated cashiers, else 1."""
+
+    def score(part: DataFrame, period: str) -> DataFrame:
+        return part.withColumn("_score", fit_forest(part, features, "cashier_id", seed=seed).score())
+
+    scored = _per_period(fingerprints, score)
+    if scored is None:
         return fingerprints.withColumn("iso_outlier_score", F.lit(None).cast("int"))
-    scored = fingerprints.withColumn("_score", forest.score())
+    scored = stage(scored, "cashier-scores")
     cut = group_quantiles(scored, ["period"], "_score", {"_cut": linear(contamination)}).drop("n")
     return (
-        scored.join(F.broadcast(cut), "period")
+        attach_per_period(scored, cut)
         .withColumn("iso_outlier_score", F.when(F.col("_score") < F.col("_cut"), -1).otherwise(1))
         .drop("_score", "_cut")
     )

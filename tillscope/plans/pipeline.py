@@ -25,6 +25,7 @@ class PeriodResults:
     bulk: DataFrame
     produce: DataFrame
     alerts: DataFrame
+    behavior: DataFrame
     risks: DataFrame
     leakage: DataFrame
 
@@ -49,13 +50,11 @@ def score_anomalies(receipts: DataFrame) -> DataFrame:
 
     A period without consensus features gets a null score and severity.
     """
-    scored = None
-    for period in missions.periods_of(receipts):
-        part = receipts.where(F.col("period") == period)
-        part = outliers.anomaly_score(part, consensus(part))
-        scored = part if scored is None else scored.unionByName(part)
-    if scored is None:
-        scored = receipts.withColumn("anomaly_score", F.lit(None).cast("double"))
+    features = {
+        period: consensus(receipts.where(F.col("period") == period))
+        for period in missions.periods_of(receipts)
+    }
+    scored = outliers.anomaly_score(receipts, features)
     return audits.severity(stage(scored, "scored-receipts"))
 
 
@@ -75,6 +74,7 @@ def run(
     if with_anomalies:
         tagged = score_anomalies(stage(tagged, "tagged-receipts"))
     fingerprints = stage(audits.cashier_fingerprint(normal), "fingerprints")
+    behavior = audits.behavioral_risk(outliers.behavioral_outliers(fingerprints))
     return PeriodResults(
         receipts=tagged,
         validation=baskets.validate_metrics(features),
@@ -83,7 +83,8 @@ def run(
         bulk=missions.bulk_audit(receipts),
         produce=audits.produce_weighing_errors(normal),
         alerts=audits.cashier_alerts(receipts),
-        risks=audits.risk_report(audits.behavioral_risk(fingerprints)),
+        behavior=behavior,
+        risks=audits.risk_report(behavior),
         leakage=audits.margin_leakage(normal),
     )
 
