@@ -9,6 +9,7 @@ from conftest import rows_of
 from tillscope.functions import exprs as X
 from tillscope.functions.lookup import attach
 from tillscope.functions.quantiles import group_quantiles, linear, median, nearest, order_bucket
+from tillscope.session import stage
 
 
 def one(spark, rows, schema, col):
@@ -120,3 +121,13 @@ def test_attach_is_the_same_on_every_path(spark, how, limits):
     if how == "inner":
         want = [w for w in want if w[1] is not None]
     assert rows_of(got, "id", "x") == sorted(want, key=repr)
+
+
+def test_staged_tables_keep_types_and_prune(spark):
+    df = spark.createDataFrame([("1997", 1, 2.5), ("1998", 2, None), (None, 3, 1.0)], "period string, n int, v double")
+    back = stage(df, "t", by="period")
+    assert dict(back.dtypes) == dict(df.dtypes)
+    assert rows_of(back, "period", "n", "v") == rows_of(df, "period", "n", "v")
+    one_period = back.where("period = '1997'").select("n")
+    assert "PartitionFilters: [isnotnull(period" in one_period._jdf.queryExecution().executedPlan().toString()
+    assert stage(df.where("false"), "none", by="period").count() == 0

@@ -136,13 +136,17 @@ def lasso_importance(
 ) -> DataFrame:
     """Coefficients of a cross-validated lasso that are not negligible.
 
-    The penalty with the lowest mean error over the folds is refitted on all
-    rows. Only the fold sums reach the driver.
+    Meant for one period; several are standardised apart and then pooled. The
+    penalty with the lowest mean error over the folds is refitted on all rows.
+    Only the fold sums reach the driver.
     """
     spark = baskets.sparkSession
-    single = baskets.withColumn("period", F.lit("fit"))
     p = len(features)
-    folds = [_Moments.from_row(r, p) for r in lasso_moments(single, features, target).collect()]
+    by_fold: dict[int, _Moments] = {}
+    for row in lasso_moments(baskets, features, target).collect():
+        part, fold = _Moments.from_row(row, p), row["fold"]
+        by_fold[fold] = by_fold[fold].combine(part) if fold in by_fold else part
+    folds = [by_fold[fold] for fold in sorted(by_fold)]
     empty = spark.createDataFrame([], "feature string, coefficient double")
     if sum(m.n for m in folds) < LASSO_MIN_ROWS or len(folds) < 2:
         return empty

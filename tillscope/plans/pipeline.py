@@ -63,16 +63,18 @@ def run(
 ) -> PeriodResults:
     """All relations for raw lines that carry ``period``.
 
-    Receipts are written once and shared by the receipt-level operators. The
+    Receipts are written once, in one folder per period, and shared by the
+    receipt-level operators: the models of a period read only its folder. The
     line-level audits each scan just their own columns of the lines.
     """
     normal = lines.normalize_lines(raw)
-    features = stage(baskets.basket_features(lines.line_price_features(normal)), "baskets")
+    features = baskets.basket_features(lines.line_price_features(normal))
+    features = stage(features, "baskets", by="period")
     receipts = missions.segment_missions(features, centroid_space=centroid_space)
-    receipts = stage(receipts, "missions")
+    receipts = stage(receipts, "missions", by="period")
     tagged = audits.tag_cashier_sweethearting(receipts)
     if with_anomalies:
-        tagged = score_anomalies(stage(tagged, "tagged-receipts"))
+        tagged = score_anomalies(stage(tagged, "tagged-receipts", by="period"))
     fingerprints = stage(audits.cashier_fingerprint(normal), "fingerprints")
     behavior = audits.behavioral_risk(outliers.behavioral_outliers(fingerprints))
     return PeriodResults(

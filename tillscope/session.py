@@ -45,13 +45,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_scratch[app]
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write ``df`` once as parquet in the scratch folder and read it back.
 
     Cuts the lineage (a lost executor re-reads files instead of recomputing the
-    plan) and gives every later consumer the same rows.
+    plan) and gives every later consumer the same rows. ``by`` names a column
+    with few values; readers that filter on it open only its folders. The rows
+    are rebalanced for that, which also splits a value that dominates.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if by is None:
+        df.write.parquet(path)
+    else:
+        df.hint("rebalance", by).write.partitionBy(by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
