@@ -179,6 +179,9 @@ alerts AS (
   FROM cashier_scores WHERE z > 1.5
 )"""
 
+_SHOWN_ALERTS = """ SELECT period, cashier_id, flag AS cashier_sweethearting_anomaly_score,
+  z AS cashier_sweethearting_z_score FROM alerts"""
+
 _FINGERPRINTS = """,
 cashier_receipts AS (
   SELECT period, cashier_id, receipt_id, CAST(sum(line_total) AS DOUBLE) AS receipt_value,
@@ -210,6 +213,13 @@ risks AS (
   FROM fingerprints WINDOW p AS (PARTITION BY period)
 )"""
 
+_SHOWN_RISKS = """ SELECT period, cashier_id, total_transactions,
+  round(avg_transaction_value + 3e-6, 4) AS avg_transaction_value,
+  round(void_rate_per_receipt + 3e-6, 4) AS void_rate_per_receipt,
+  round(abort_rate + 3e-6, 4) AS abort_rate, round(cash_reliance_ratio + 3e-6, 4) AS cash_reliance_ratio,
+  round(risk, 6) AS risk_score
+FROM risks"""
+
 _LEAKAGE = """,
 leakage AS (
   SELECT period, cashier_id,
@@ -220,6 +230,33 @@ leakage AS (
   FROM lines GROUP BY period, cashier_id
 )"""
 
+_PRODUCE = """, weighed AS (
+  SELECT *, CAST(line_total AS DOUBLE) / weight AS unit_price,
+    row_number() OVER (PARTITION BY period, product_id
+      ORDER BY CAST(line_total AS DOUBLE) / weight) AS rn,
+    count(*) OVER (PARTITION BY period, product_id) AS n
+  FROM lines WHERE weight > 0 AND line_total > 0
+), centers AS (
+  SELECT period, product_id,
+    (max(unit_price) FILTER (WHERE rn = (n + 1) // 2)
+      + max(unit_price) FILTER (WHERE rn = n // 2 + 1)) * CAST(0.5 AS DOUBLE) AS med
+  FROM weighed GROUP BY period, product_id
+), deviations AS (
+  SELECT w.*, abs(unit_price - med) AS d,
+    row_number() OVER (PARTITION BY w.period, w.product_id
+      ORDER BY abs(unit_price - med)) AS drn
+  FROM weighed w JOIN centers c ON w.period = c.period AND w.product_id = c.product_id
+), spreads AS (
+  SELECT period, product_id,
+    (max(d) FILTER (WHERE drn = (n + 1) // 2)
+      + max(d) FILTER (WHERE drn = n // 2 + 1)) * CAST(0.5 AS DOUBLE) AS mad
+  FROM deviations GROUP BY period, product_id
+)
+SELECT d.period, d.date_str, d.receipt_id, d.product_id AS "scontrinoBarcode",
+  'Peso/Prezzo Errante' AS "scontrinoTipo", d.store_id
+FROM deviations d JOIN spreads s ON d.period = s.period AND d.product_id = s.product_id
+WHERE mad > 0 AND d / (mad * CAST(1.4826 AS DOUBLE)) > 6"""
+
 _SCALED = """,
 inputs AS (
   SELECT period, receipt_id, basket_value AS y,
@@ -439,46 +476,22 @@ ORACLE_SQL: dict[str, str] = {
         *_B,
         _CASHIER_SCORES,
     ),
-    "cashier_alerts": _with(
-        """ SELECT period, cashier_id, flag AS cashier_sweethearting_anomaly_score,
-          z AS cashier_sweethearting_z_score FROM alerts""",
-        *_B,
-        _ALERTS,
-    ),
+    "cashier_alerts": _with(_SHOWN_ALERTS, *_B, _ALERTS),
+    "cashier_alerts_by_period": _with(_SHOWN_ALERTS, *_B, _ALERTS, period=_YEAR),
     "report_integrity": _with(
         """ SELECT period AS periodo, cashier_id AS "Codice Cassiere",
           flag AS "Score Anomalia Sweethearting", z AS "Z-Score Deviazione" FROM alerts""",
         *_B,
         _ALERTS,
     ),
-    "produce_weighing_errors": _with(
-        """, weighed AS (
-          SELECT *, CAST(line_total AS DOUBLE) / weight AS unit_price,
-            row_number() OVER (PARTITION BY period, product_id
-              ORDER BY CAST(line_total AS DOUBLE) / weight) AS rn,
-            count(*) OVER (PARTITION BY period, product_id) AS n
-          FROM lines WHERE weight > 0 AND line_total > 0
-        ), centers AS (
-          SELECT period, product_id,
-            (max(unit_price) FILTER (WHERE rn = (n + 1) // 2)
-              + max(unit_price) FILTER (WHERE rn = n // 2 + 1)) * CAST(0.5 AS DOUBLE) AS med
-          FROM weighed GROUP BY period, product_id
-        ), deviations AS (
-          SELECT w.*, abs(unit_price - med) AS d,
-            row_number() OVER (PARTITION BY w.period, w.product_id
-              ORDER BY abs(unit_price - med)) AS drn
-          FROM weighed w JOIN centers c ON w.period = c.period AND w.product_id = c.product_id
-        ), spreads AS (
-          SELECT period, product_id,
-            (max(d) FILTER (WHERE drn = (n + 1) // 2)
-              + max(d) FILTER (WHERE drn = n // 2 + 1)) * CAST(0.5 AS DOUBLE) AS mad
-          FROM deviations GROUP BY period, product_id
-        )
-        SELECT d.period, d.date_str, d.receipt_id, d.product_id AS "scontrinoBarcode",
-          'Peso/Prezzo Errante' AS "scontrinoTipo", d.store_id
-        FROM deviations d JOIN spreads s ON d.period = s.period AND d.product_id = s.product_id
-        WHERE mad > 0 AND d / (mad * CAST(1.4826 AS DOUBLE)) > 6""",
+    "produce_weighing_errors": _with(_PRODUCE, *_L),
+    "produce_weighing_errors_by_period": _with(_PRODUCE, *_L, period=_YEAR),
+    "cashier_receipts": _with(
+        """ SELECT period, cashier_id, receipt_id, receipt_value,
+          CAST(voids AS BIGINT) AS void_items_count, CAST(aborted AS INTEGER) AS was_aborted, pay_code
+        FROM cashier_receipts""",
         *_L,
+        _FINGERPRINTS,
     ),
     "cashier_fingerprint": _with(
         """ SELECT period, cashier_id, total_transactions,
@@ -489,13 +502,14 @@ ORACLE_SQL: dict[str, str] = {
         *_L,
         _FINGERPRINTS,
     ),
-    "behavioral_risk": _with(
-        """ SELECT period, cashier_id, total_transactions,
-          round(avg_transaction_value + 3e-6, 4) AS avg_transaction_value,
-          round(void_rate_per_receipt + 3e-6, 4) AS void_rate_per_receipt,
-          round(abort_rate + 3e-6, 4) AS abort_rate, round(cash_reliance_ratio + 3e-6, 4) AS cash_reliance_ratio,
-          round(risk, 6) AS risk_score
-        FROM risks""",
+    "behavioral_risk": _with(_SHOWN_RISKS, *_L, _RISKS),
+    "behavioral_risk_by_period": _with(_SHOWN_RISKS, *_L, _RISKS, period=_YEAR),
+    "report_risk": _with(
+        """ SELECT period AS periodo, cashier_id AS "Codice Cassiere",
+          round(risk, 2) AS "Score Rischio Comportamentale",
+          round(cash_reliance_ratio, 3) AS "Indice Uso Contanti",
+          round(void_rate_per_receipt, 3) AS "Tasso Storni"
+        FROM risks WHERE risk > 0.5""",
         *_L,
         _RISKS,
     ),

@@ -83,11 +83,11 @@ def run(
         time_quality=lines.time_quality(normal),
         insights=missions.mission_insights(receipts),
         bulk=missions.bulk_audit(receipts),
-        produce=audits.produce_weighing_errors(normal),
+        produce=stage(audits.produce_weighing_errors(normal), "produce-errors"),
         alerts=audits.cashier_alerts(receipts),
         behavior=behavior,
         risks=audits.risk_report(behavior),
-        leakage=audits.margin_leakage(normal),
+        leakage=stage(audits.margin_leakage(normal), "leakage"),
     )
 
 

@@ -256,8 +256,8 @@ def cashier_sweethearting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out, 6, z)
 
 
-def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    alerts = audits.cashier_alerts(_baskets(spark, sf_dir))
+def _alerts(spark: SparkSession, sf_dir: str, by_year: bool = False) -> DataFrame:
+    alerts = audits.cashier_alerts(_baskets(spark, sf_dir, by_year))
     return _rounded(alerts, 6, "cashier_sweethearting_z_score")
 
 
@@ -265,17 +265,33 @@ def cashier_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _alerts(spark, sf_dir)
 
 
+def cashier_alerts_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _alerts(spark, sf_dir, by_year=True)
+
+
 def report_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.integrity_report(_alerts(spark, sf_dir))
 
 
-def produce_weighing_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _produce(spark: SparkSession, sf_dir: str, by_year: bool) -> DataFrame:
     # only weighed lines with a price count, a small part of all lines
     columns = ("period", "product_id", "receipt_id", "date_str", "store_id", "line_total", "weight")
-    weighed = _lines(spark, sf_dir).where((F.col("weight") > 0) & (F.col("line_total") > 0))
+    weighed = _lines(spark, sf_dir, by_year).where((F.col("weight") > 0) & (F.col("line_total") > 0))
     return audits.produce_weighing_errors(_written(weighed, *columns))
 
 
+def produce_weighing_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _produce(spark, sf_dir, by_year=False)
+
+
+def produce_weighing_errors_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _produce(spark, sf_dir, by_year=True)
+
+
+def cashier_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audits.cashier_receipts(_lines(spark, sf_dir))
+
+
 _FINGERPRINT_MEANS = (
     "avg_transaction_value", "void_rate_per_receipt", "abort_rate", "cash_reliance_ratio",
 )
@@ -286,13 +302,24 @@ def cashier_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _settled(out, *_FINGERPRINT_MEANS)
 
 
-def _risks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audits.behavioral_risk(audits.cashier_fingerprint(_lines(spark, sf_dir)))
+def _risks(spark: SparkSession, sf_dir: str, by_year: bool = False) -> DataFrame:
+    return audits.behavioral_risk(audits.cashier_fingerprint(_lines(spark, sf_dir, by_year)))
+
+
+def _shown_risks(risks: DataFrame) -> DataFrame:
+    return _rounded(_settled(risks, *_FINGERPRINT_MEANS), 6, "risk_score")
 
 
 def behavioral_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _settled(_risks(spark, sf_dir), *_FINGERPRINT_MEANS)
-    return _rounded(out, 6, "risk_score")
+    return _shown_risks(_risks(spark, sf_dir))
+
+
+def behavioral_risk_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown_risks(_risks(spark, sf_dir, by_year=True))
+
+
+def report_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.behavior_report(audits.risk_report(_risks(spark, sf_dir)))
 
 
 def behavioral_risk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,11 +374,16 @@ QUERIES: dict[str, Query] = {
     "anomaly_score": anomaly_score,
     "cashier_sweethearting": cashier_sweethearting,
     "cashier_alerts": cashier_alerts,
+    "cashier_alerts_by_period": cashier_alerts_by_period,
     "report_integrity": report_integrity,
     "produce_weighing_errors": produce_weighing_errors,
+    "produce_weighing_errors_by_period": produce_weighing_errors_by_period,
+    "cashier_receipts": cashier_receipts,
     "cashier_fingerprint": cashier_fingerprint,
     "behavioral_risk": behavioral_risk,
+    "behavioral_risk_by_period": behavioral_risk_by_period,
     "behavioral_risk_report": behavioral_risk_report,
+    "report_risk": report_risk,
     "behavioral_outlier_label": behavioral_outlier_label,
     "margin_leakage": margin_leakage,
     "margin_leakage_by_period": margin_leakage_by_period,

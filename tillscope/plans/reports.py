@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillscope import schema
+from tillscope.session import stage
 
 # A section with more rows than this is written as JSON lines next to the report.
 NESTED_ROWS = 50_000
@@ -64,8 +65,9 @@ def write_report(
         F.array(*[F.lit(f) for f in fields]).alias("campi"),
     )
     document = spark.range(1).select("id", metadata.alias("metadata"))
-    for name, df in sections.items():
-        if df.limit(nested_rows + 1).count() > nested_rows:
+    for name, section in sections.items():
+        df = stage(section, "report-section")
+        if df.count() > nested_rows:
             df.write.mode("overwrite").partitionBy("periodo").json(f"{path}/{name}")
             document = document.withColumn(name, F.lit(f"{name}/"))
             continue
