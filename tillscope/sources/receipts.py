@@ -21,7 +21,8 @@ _MAX_BRANCH_DEPTH = 3
 
 def period_of(year: Column, month: Column) -> Column:
     """``YYYY-MM`` text."""
-    return F.format_string("%04d-%02d", year.cast("int"), month.cast("int"))
+    text = lambda c, width: F.lpad(c.cast("int").cast("string"), width, "0")
+    return F.concat(text(year, 4), F.lit("-"), text(month, 2))
 
 
 def _glob(spark: SparkSession, pattern: str) -> list[str]:
