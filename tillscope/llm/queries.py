@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.llm import bpe
+from tillscope.llm import bpe, secret_scan, tokencount
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,8 +32,30 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts by named pattern, and all spans."""
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+    names = [kind.name for kind in secret_scan.BASE_KINDS]
+    return found.select(
+        "doc_id",
+        *[F.size(secret_scan.of_kinds(spans, n)).cast("long").alias(f"n_{n}") for n in names],
+        F.sha2(secret_scan.span_text(secret_scan.of_kinds(spans, *names)), 256).alias("base_sha256"),
+        secret_scan.span_text(spans).alias("spans"),
+    )
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return tokencount.count_tokens(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_secrets": op3_secrets,
+    "op5_token_counts": op5_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
