@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.llm import bpe, secret_scan, tokencount
+from tillscope.llm import bpe, decontaminate, secret_scan, tokencount
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,10 +52,27 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in benchmark passages."""
+    found = decontaminate.find_passages(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    ).withColumn("n_hit", decontaminate.words_hit(F.col("spans")))
+    names = F.array_sort(F.col("items").cast("array<string>"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        decontaminate.is_contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_secrets": op3_secrets,
     "op5_token_counts": op5_token_counts,
+    "op6_decontamination": op6_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
