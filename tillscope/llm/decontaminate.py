@@ -226,7 +226,7 @@ def _put_together(parts: list[DataFrame], key: str) -> DataFrame:
 
     def join(done: Column, s: Column) -> Column:
         tail = F.element_at(done, -1)
-        longer = F.struct(tail["start"].alias("start"), F.greatest(tail["end"], s["end"]).alias("end"))
+        longer = F.named_struct(F.lit("start"), tail["start"], F.lit("end"), F.greatest(tail["end"], s["end"]))
         grown = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))
         return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= s["start"]), grown).otherwise(
             F.concat(done, F.array(s))
