@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.llm import bpe, decontaminate, secret_scan, tokencount
+from tillscope.llm import bpe, decontaminate, jaccard, secret_scan, tokencount
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,11 +68,17 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles of every document and the component of its near copies."""
+    return jaccard.link_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_secrets": op3_secrets,
     "op5_token_counts": op5_token_counts,
     "op6_decontamination": op6_decontamination,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
