@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.llm import bpe, decontaminate, jaccard, secret_scan, tokencount
+from tillscope.llm import bpe, decontaminate, jaccard, secret_scan, tokencount, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +68,20 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from three quarters of the labels."""
+    part = toxicity.bucket(F.col("doc_id"), 4)
+    scored = toxicity.score_documents(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=part != 2
+    )
+    return scored.select(
+        "doc_id",
+        F.coalesce(part == 2, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingles of every document and the component of its near copies."""
     return jaccard.link_documents(table(spark, sf_dir, "documents"))
@@ -78,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op3_secrets": op3_secrets,
     "op5_token_counts": op5_token_counts,
     "op6_decontamination": op6_decontamination,
+    "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
