@@ -12,14 +12,17 @@ from pyspark.sql import functions as F
 
 from tillscope.llm.words import ALNUM_LOWER, Words, pieces, signed, window_hashes, words_of
 
-#: Bytes of an expression: the piece of a word, its begin and end marked, that the models count.
-GRAM = 5
+#: Bytes of an expression: a piece of a word, its begin and end marked, that the models count.
+#: A long one that too few labelled rows have backs off to the short one at the same place.
+GRAM, LONG_GRAM = 5, 8
+LEAST_ROWS = 2
 #: Labelled rows that the class models and the calibration use, of each class, and most expressions kept.
 ROWS_PER_CLASS = 20_000
 MOST_GRAMS = 1 << 20
 #: One labelled row in so many calibrates; the others are counted.
 CALIBRATE = 4
 DISCOUNT = 0.75
+FEATURES = ["worst_short", "worst", "mean"]
 
 
 def bucket(key: Column, n: int) -> Column:
@@ -27,8 +30,12 @@ def bucket(key: Column, n: int) -> Column:
     return F.crc32(key.cast("string")) % n
 
 
-def word_grams(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The expressions of some words, one word after the other, and where each word's begin."""
+def word_grams(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The expressions of some words, one word after the other.
+
+    Gives the short ones, where each word's begin among them, the long ones, and the
+    short ones in whose place these stand.
+    """
     length = words.end[which] - words.start[which] + 2
     edge = np.concatenate([[0], np.cumsum(length)])
     marked = np.full(edge[-1], 1, np.uint64)
@@ -38,8 +45,18 @@ def word_grams(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     marked[inner] = ALNUM_LOWER[words.data[source[inner]]]
     count = np.maximum(length - GRAM + 1, 1)
     first = np.cumsum(count) - count
-    start = np.arange(count.sum()) + np.repeat(edge[:-1] - first, count)
-    return window_hashes(marked, start, np.repeat(np.minimum(length, GRAM), count)), first
+    within = np.arange(count.sum()) - np.repeat(first, count)
+    start = within + np.repeat(edge[:-1], count)
+    size = np.repeat(length, count)
+    place = np.flatnonzero(within + LONG_GRAM <= size)
+    short = window_hashes(marked, start, np.minimum(size, GRAM))
+    return short, first, window_hashes(marked, start[place], LONG_GRAM), place
+
+
+def _find(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the values stand in a sorted table, and which do."""
+    slot = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return slot, table[slot] == values
 
 
 @dataclass
@@ -52,29 +69,34 @@ class Model:
     weights: np.ndarray | None = None
 
     def features(self, texts: pa.Array) -> np.ndarray:
-        """Of each text: the most toxic expression, and the mean over all, as ratios per gram.
+        """Of each text: the most toxic short expression, the most toxic of any length, and the mean.
 
-        Both compare the toxic and the ordinary log-likelihood, divided by length: over two
+        All compare the toxic and the ordinary log-likelihood, divided by length: over two
         neighbouring grams of a word, and over the whole text.
         """
         words = words_of(texts, ALNUM_LOWER)
-        out = np.zeros((len(words.first) - 1, 2))
+        out = np.zeros((len(words.first) - 1, 3))
         if not len(words.hashes) or not len(self.grams):
             return out
         _, which, of = np.unique(words.hashes, return_index=True, return_inverse=True)
-        grams, first = word_grams(words, which)
-        slot = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
-        value = np.where(self.grams[slot] == grams, self.ratio[slot], self.unseen)
+        grams, first, long, place = word_grams(words, which)
+        slot, known = _find(self.grams, grams)
+        value = np.where(known, self.ratio[slot], self.unseen)
         count = np.diff(np.append(first, len(grams)))
-        pair = value.copy()
-        pair[:-1] = (value[:-1] + value[1:]) / 2
-        pair[first[count > 1] + count[count > 1] - 1] = -np.inf  # the last gram of a word begins no pair
-        worst = np.maximum.reduceat(pair, first)
-        total = np.add.reduceat(value, first)
+        last = first[count > 1] + count[count > 1] - 1
         full = np.flatnonzero(np.diff(words.first) > 0)
         begin = words.first[:-1][full]
-        out[full, 0] = np.maximum.reduceat(worst[of], begin)
-        out[full, 1] = np.add.reduceat(total[of], begin) / np.add.reduceat(count[of], begin)
+        for column in (0, 1):
+            pair = value.copy()
+            pair[:-1] = (value[:-1] + value[1:]) / 2
+            pair[last] = -np.inf  # the last gram of a word begins no pair
+            worst = np.maximum.reduceat(pair, first)
+            out[full, column] = np.maximum.reduceat(worst[of], begin)
+            if column == 0:
+                slot, known = _find(self.grams, long)
+                value[place[known]] = self.ratio[slot[known]]
+        total = np.add.reduceat(value, first)
+        out[full, 2] = np.add.reduceat(total[of], begin) / np.add.reduceat(count[of], begin)
         return out
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -119,23 +141,32 @@ def _class_counts(labelled: DataFrame) -> DataFrame:
             label = piece.column(2).to_numpy()
             if not len(words.hashes):
                 continue
-            grams, first = word_grams(words, np.arange(len(words.hashes)))
+            grams, first, long, place = word_grams(words, np.arange(len(words.hashes)))
             of = np.repeat(words.document(), np.diff(np.append(first, len(grams))))
+            long_ones = np.append(np.zeros(len(grams), bool), np.ones(len(long), bool))
+            grams, of = np.append(grams, long), np.append(of, of[place])
             order = np.lexsort((grams, of))
+            long_ones = long_ones[order]
             grams, of = grams[order], of[order]
             keep = np.append(True, (grams[1:] != grams[:-1]) | (of[1:] != of[:-1]))
             grams, toxic = grams[keep], label[of[keep]]
-            value, at = np.unique(grams, return_inverse=True)
+            value, which, at = np.unique(grams, return_index=True, return_inverse=True)
             yes = np.bincount(at, toxic, len(value)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(value)), pa.array(yes), pa.array(np.bincount(at, minlength=len(value)) - yes)],
-                ["gram", "toxic", "ordinary"],
+                [
+                    pa.array(signed(value)),
+                    pa.array(long_ones[keep][which]),
+                    pa.array(yes),
+                    pa.array(np.bincount(at, minlength=len(value)) - yes),
+                ],
+                ["gram", "long", "toxic", "ordinary"],
             )
 
     counted = labelled.select("id", "text", F.col("label").cast("long")).mapInArrow(
-        run, "gram long, toxic long, ordinary long"
+        run, "gram long, long boolean, toxic long, ordinary long"
     )
-    return counted.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    total = counted.groupBy("gram", "long").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    return total.where((~F.col("long")) | (F.col("toxic") + F.col("ordinary") >= LEAST_ROWS))
 
 
 def _distinct_words(docs: DataFrame) -> DataFrame:
@@ -161,10 +192,10 @@ def _contexts(docs: DataFrame, grams: np.ndarray) -> DataFrame:
             words = words_of(batch.column(0).cast(pa.string()), ALNUM_LOWER)
             if not len(words.hashes):
                 continue
-            found, first = word_grams(words, np.arange(len(words.hashes)))
+            found, first, long, place = word_grams(words, np.arange(len(words.hashes)))
             of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(found))))
-            slot = np.minimum(np.searchsorted(sent.value, found), len(sent.value) - 1)
-            known = sent.value[slot] == found
+            of = np.append(of, of[place])
+            slot, known = _find(sent.value, np.append(found, long))
             pairs = np.unique(of[known] * len(sent.value) + slot[known]) % len(sent.value)
             value, n = np.unique(pairs, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n)], ["slot", "n"])
@@ -208,10 +239,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     )
     held = _scored(labelled.where("calibrates").select("id", "text", "label"), model, "label").toPandas()
     if held["label"].nunique() == 2:
-        model.weights = calibrated(held[["worst", "mean"]].to_numpy(), held["label"].to_numpy().astype(float))
+        model.weights = calibrated(held[FEATURES].to_numpy(), held["label"].to_numpy().astype(float))
     else:
         # no row of one class to calibrate on: evidence of about 150 to 1 is even odds
-        model.weights = np.array([-5.0, 1.0, 0.0])
+        model.weights = np.array([-5.0, 1.0, 0.0, 0.0])
     return model
 
 
@@ -227,10 +258,10 @@ def _scored(docs: DataFrame, model: Model, *kept: str) -> DataFrame:
             values = [*features.T, sent.value.score(features)]
             yield pa.RecordBatch.from_arrays(
                 [*[piece.column(piece.schema.get_field_index(c)) for c in columns], *map(pa.array, values)],
-                [*columns, "worst", "mean", "score"],
+                [*columns, *FEATURES, "score"],
             )
 
-    schema = ", ".join(f"{c} {types[c]}" for c in columns) + ", worst double, mean double, score double"
+    schema = ", ".join([f"{c} {types[c]}" for c in columns] + [f"{c} double" for c in [*FEATURES, "score"]])
     return docs.select(*columns, "text").mapInArrow(run, schema)
 
 
