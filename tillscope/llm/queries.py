@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.llm import bpe, decontaminate, jaccard, secret_scan, tokencount, toxicity
+from tillscope.llm import bpe, decontaminate, jaccard, language, secret_scan, tokencount, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +68,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from four fifths of them."""
+    held_out = toxicity.bucket(F.col("doc_id"), 5) == 0
+    found = language.predict_languages(table(spark, sf_dir, "documents"), learn=~held_out)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from three quarters of the labels."""
     part = toxicity.bucket(F.col("doc_id"), 4)
@@ -92,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op3_secrets": op3_secrets,
     "op5_token_counts": op5_token_counts,
     "op6_decontamination": op6_decontamination,
+    "op7_language": op7_language,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
 }
