@@ -17,12 +17,15 @@ from tillscope.session import stage
 SHINGLE, PERCENT = 4, 85
 #: The commonest shingles, which every set lists last. Only speed depends on which they are.
 MOST_COMMON = 1 << 16
-#: Counters of a set's outline.
-OUTLINE = 256
+#: Longs of a set's sketch; each bit is the parity of the elements that fall on it.
+SKETCH = 8
 #: Rows of ids that may be broadcast (32 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 4_000_000
 
 
+_BITS = [f"s{i}" for i in range(SKETCH)]
+
+
 def only(big: DataFrame, ids: DataFrame, *by: str) -> DataFrame:
     """The rows of ``big`` whose key is in ``ids``, without moving ``big`` while ``ids`` is small."""
     if ids.count() <= BROADCAST_ROWS:
@@ -52,7 +55,7 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, common: np.ndarray, k: int, percent: int) -> DataFrame:
-    """Of every document: the size and hash of its set, its first shingles, and its outline."""
+    """Of every document: the size and hash of its set, its first shingles, and its sketch."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,21 +72,22 @@ def _signatures(docs: DataFrame, common: np.ndarray, k: int, percent: int) -> Da
             order = np.lexsort((shingles, last, owner))
             place = np.arange(len(shingles)) - np.repeat(first[:-1], n)
             keep = place < np.repeat(prefix_length(n, percent), n)
-            cell = (owner * OUTLINE + (shingles & np.uint64(OUTLINE - 1)).astype(np.int64)).astype(np.int64)
-            outline = np.bincount(cell, minlength=len(n) * OUTLINE).reshape(len(n), OUTLINE)
-            fits = outline.max(axis=1, initial=0) < 256
-            outlines = [row.tobytes() if ok else b"" for row, ok in zip(outline.astype(np.uint8), fits)]
+            bits = SKETCH * 64
+            cell = owner * bits + (shingles % np.uint64(bits)).astype(np.int64)
+            parity = np.bincount(cell, minlength=len(n) * bits).astype(np.uint8) & 1
+            sketch = np.packbits(parity.reshape(len(n), bits), axis=1).view(np.int64)
             lengths = np.where(n > 0, prefix_length(n, percent), 0)
             prefix = pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)),
                 pa.array(signed(shingles[order][keep])),
             )
             yield pa.RecordBatch.from_arrays(
-                [piece.column(0), pa.array(n), pa.array(signed(node)), prefix, pa.array(outlines, pa.binary())],
-                ["id", "n", "node", "prefix", "outline"],
+                [piece.column(0), pa.array(n), pa.array(signed(node)), prefix, *map(pa.array, sketch.T.copy())],
+                ["id", "n", "node", "prefix", *_BITS],
             )
 
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n long, node long, prefix array<long>, outline binary")
+    longs = ", ".join(f"{c} long" for c in _BITS)
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n long, node long, prefix array<long>, {longs}")
 
 
 def _ratio_fits(n: Column, m: Column, percent: int) -> Column:
@@ -94,20 +98,23 @@ def _entries(sets: DataFrame) -> DataFrame:
     """The index: lists of the sets that begin with a shingle, single ones left out.
 
     A list stands in the order of the sets' first shingles, so near copies are neighbours. Every
-    entry knows the first set of its list and its neighbour.
+    entry knows its neighbour, and the head of its list: the set that stands in most lists, which among near
+    copies is the one closest to all.
     """
     listed = sets.select(
         "node", "n", F.element_at("prefix", 1).alias("lead"), F.posexplode("prefix").alias("pos", "token")
     )
     order = Window.partitionBy("token").orderBy("lead", "n", "node")
     one = F.struct("node", "n")
-    return (
-        listed.withColumns(
-            {"head": F.first(one).over(order), "prior": F.lag(one).over(order), "next": F.lead("node").over(order)}
-        )
+    shared = stage(
+        listed.withColumns({"prior": F.lag(one).over(order), "next": F.lead("node").over(order)})
         .where("prior is not null or next is not null")
-        .drop("next", "lead")
+        .drop("next", "lead"),
+        "shared",
     )
+    lists = shared.groupBy("node").agg(F.count("*").alias("lists"))
+    best = Window.partitionBy("token").orderBy(F.desc("lists"), "node")
+    return shared.join(lists, "node").withColumn("head", F.first(one).over(best)).drop("lists")
 
 
 def _pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -125,48 +132,43 @@ def _pairs(rows: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _overlaps(left: pa.Array, right: pa.Array, exact: bool) -> np.ndarray:
-    """Common elements of two sets, or the most that their outlines allow."""
-    out = np.empty(len(left), np.int64)
-    for i, (x, y) in enumerate(zip(left, right)):
-        x, y = x.as_buffer(), y.as_buffer()
-        if exact:
-            both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
-            both.sort()
-            out[i] = np.count_nonzero(both[1:] == both[:-1])
-        elif x is None or y is None or x.size == 0 or y.size == 0:
-            out[i] = np.iinfo(np.int32).max
-        else:
-            out[i] = np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).sum(dtype=np.int64)
-    return out
+def _overlap_bound(x: str, y: str) -> Column:
+    """The most elements two sets can share: a bit that differs is an element of one only."""
+    differ = sum((F.bit_count(F.col(f"{c}_{x}").bitwiseXOR(F.col(f"{c}_{y}"))) for c in _BITS), F.lit(0))
+    return F.least(F.floor((F.col(f"n_{x}") + F.col(f"n_{y}") - differ) / 2), F.col(f"n_{x}"), F.col(f"n_{y}"))
 
 
-def _compare(pairs: DataFrame, values: DataFrame, exact: bool) -> DataFrame:
-    """Adds ``overlap`` of the two sides' values (node, value)."""
-    met = pairs.join(values.toDF("a", "va"), "a").join(values.toDF("b", "vb"), "b")
+def _side(rows: DataFrame, side: str, *kept: str) -> DataFrame:
+    """The columns renamed for one side of a pair."""
+    return rows.select(*[F.col(c) if c in kept else F.col(c).alias(f"{c}_{side}") for c in rows.columns])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array(_overlaps(batch.column(4), batch.column(5), exact))],
-                ["a", "na", "b", "nb", "overlap"],
-            )
 
-    return met.select("a", "na", "b", "nb", "va", "vb").mapInArrow(run, "a long, na long, b long, nb long, overlap long")
+def _intersections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        overlap = np.empty(batch.num_rows, np.int64)
+        for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
+            both = np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)])
+            both.sort()
+            overlap[i] = np.count_nonzero(both[1:] == both[:-1])
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:4], pa.array(overlap)], ["a", "na", "b", "nb", "overlap"]
+        )
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Every pair with ``linked`` and ``most``, which its similarity doesn't exceed.
 
-    Outlines (counts of a set's elements by their last bits) rule most pairs out. Only
-    for the rest the sets are made again from the texts, and intersected.
+    Sketches rule most pairs out. Only for the rest the sets are made again from the
+    texts, and intersected.
     """
-    rough = _compare(pairs, sets.select("node", "outline"), exact=False)
-    rough = rough.withColumn("overlap", F.least("overlap", "na", "nb"))
-    rough = stage(rough.withColumn("linked", _links(percent)), "outlines")
+    sketches = sets.select("node", "n", *_BITS)
+    rough = pairs.join(_side(sketches, "a").withColumnRenamed("node_a", "a"), "a")
+    rough = rough.join(_side(sketches, "b").withColumnRenamed("node_b", "b"), "b")
+    rough = rough.select("a", "na", "b", "nb", _overlap_bound("a", "b").alias("overlap"))
+    rough = stage(rough.withColumn("linked", _links(percent)), "rough")
     left = rough.where("linked").select("a", "na", "b", "nb")
     wanted = left.select("a").union(left.select("b")).distinct().toDF("node")
-    chosen = only(sets.select("node", "id"), wanted, "node").select("id", "node")
+    chosen = stage(only(sets.select("node", "id"), wanted, "node"), "chosen")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
@@ -174,13 +176,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percen
             values = [shingles[a:b].tobytes() for a, b in zip(first, first[1:])]
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(values, pa.binary())], ["node", "value"])
 
-    chosen = stage(chosen, "chosen")
     small = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
     texts = docs.join(small, "id").select("node", "text")
     values = stage(texts.mapInArrow(run, "node long, value binary").dropDuplicates(["node"]), "sets")
-    exact = _compare(left, values, exact=True).withColumn("linked", _links(percent))
+    met = left.join(values.toDF("a", "va"), "a").join(values.toDF("b", "vb"), "b")
+    exact = met.select("a", "na", "b", "nb", "va", "vb").mapInArrow(
+        _intersections, "a long, na long, b long, nb long, overlap long"
+    )
+    both = rough.where("not linked").unionByName(exact.withColumn("linked", _links(percent)))
     most = (F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("most")
-    both = rough.where("not linked").unionByName(exact)
     return stage(both.select("a", "b", "linked", most), "verified")
 
 
@@ -188,18 +192,41 @@ def _links(percent: int) -> Column:
     return 100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))
 
 
-def _relations(entries: DataFrame, checked: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Entries with their group so far, whether the head of their list links, and the most it can agree."""
+def _relations(
+    entries: DataFrame, checked: DataFrame, groups: DataFrame, sets: DataFrame, percent: int
+) -> DataFrame:
+    """Entries of the lists that may hold further links.
+
+    Adds the group so far, whether the head of the list links, the most it can agree, and the sketch.
+    """
     a, b = F.least("head.node", "node"), F.greatest("head.node", "node")
-    known = entries.withColumns({"a": a, "b": b}).join(checked, ["a", "b"], "left").join(groups, "node", "left")
-    is_head = F.col("head.node") == F.col("node")
+    known = entries.withColumns({"a": a, "b": b}).join(checked, ["a", "b"], "left")
     ratio = F.least("n", "head.n") / F.greatest("n", "head.n")
-    return known.select(
+    known = known.where("head.node <> node").select(
         "token", "node", "n", "pos",
-        F.coalesce("component", "node").alias("group"),
-        (is_head | F.coalesce("linked", F.lit(False))).alias("linked"),
-        F.when(is_head, 1.0).otherwise(F.coalesce("most", ratio)).alias("most"),
+        F.coalesce("linked", F.lit(False)).alias("linked"),
+        F.coalesce("most", ratio).alias("most"),
     )
+    # the head itself is compared already; what is left needs two others, one far from the head
+    near = (~F.col("linked")) & (F.col("most") >= 1 - 2 * (1 - percent / 100) - 1e-9)
+    of_list = Window.partitionBy("token")
+    open_ = (
+        known.withColumns(
+            {
+                "apart": F.sum((~F.col("linked")).cast("int")).over(of_list),
+                "near": F.sum(near.cast("int")).over(of_list),
+                "met": F.sum(F.col("linked").cast("int")).over(of_list),
+            }
+        )
+        .where("apart >= 2 or (near >= 1 and met >= 1)")
+        .drop("apart", "near", "met")
+    )
+    return (
+        open_.join(groups, "node", "left")
+        .withColumn("group", F.coalesce("component", "node"))
+        .drop("component")
+        .join(sets.select("node", *_BITS), "node")
+    )
 
 
 def _remaining(rows: DataFrame, percent: int) -> DataFrame:
@@ -208,16 +235,18 @@ def _remaining(rows: DataFrame, percent: int) -> DataFrame:
     Sets that link with the head of their list are one group already. What the head's answers say
     settles most other pairs: distances obey the triangle inequality, so a set
     that links with the head can't link with one that is too far from the head. In a list,
-    entries too far apart in size or position are skipped.
+    entries too far apart in size, position or sketch are skipped.
     """
     far = 1 - percent / 100
-    x, y = (rows.select(*[F.col(c).alias(f"{c}_{s}") for c in rows.columns if c != "token"], "token") for s in "xy")
+    x, y = (_side(rows, s, "token") for s in "xy")
     before = F.least("pos_x", "pos_y")
     after = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
+    total = F.col("n_x") + F.col("n_y")
     near = (
         (F.col("group_x") != F.col("group_y"))
         & _ratio_fits(F.col("n_x"), F.col("n_y"), percent)
-        & ((100 + percent) * (before + after) >= percent * (F.col("n_x") + F.col("n_y")))
+        & ((100 + percent) * (before + after) >= percent * total)
+        & ((100 + percent) * _overlap_bound("x", "y") >= percent * total)
     )
     apart = x.where("not linked_x").join(y.where("not linked_y"), "token").where(near & F.expr("node_x < node_y"))
     derived = (
@@ -257,7 +286,7 @@ def link_documents(
     checked = _verified(first, sets, docs, k, percent)
     links = checked.where("linked").select("a", "b")
     groups = stage(components(links), "groups")
-    rest = _remaining(stage(_relations(entries, checked, groups, percent), "relations"), percent)
+    rest = _remaining(stage(_relations(entries, checked, groups, sets, percent), "relations"), percent)
     rest = stage(rest.join(first, ["a", "b"], "left_anti").select("a", "na", "b", "nb"), "pairs")
     links = links.union(_verified(rest, sets, docs, k, percent).where("linked").select("a", "b"))
     joined = components(links).join(classes, "node")
