@@ -19,6 +19,10 @@ SHINGLE, PERCENT = 4, 85
 MOST_COMMON = 1 << 16
 #: Longs of a set's sketch; each bit is the parity of the elements that fall on it.
 SKETCH = 8
+#: A set of so many shingles also has a longer sketch.
+LONG_SET, LONG_SKETCH = 1024, 256
+#: Sets that are compared with one other set in one place.
+MEMBERS = 10_000
 #: Rows of ids that may be broadcast (32 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 4_000_000
 
@@ -54,6 +58,21 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (percent * n + 99) // 100 + 1
 
 
+def _set_hashes(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of every set: of the sum of its elements' hashes."""
+    total = np.zeros(len(shingles) + 1, np.uint64)
+    np.cumsum(mix(shingles ^ np.uint64(0x5851F42D4C957F2D)), out=total[1:])
+    return signed(mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64)))
+
+
+def _parities(shingles: np.ndarray, owner: np.ndarray, sets: int, longs: int) -> np.ndarray:
+    """The sketch of every set: whether an odd number of its elements falls on each bit."""
+    bits = longs * 64
+    cell = owner * bits + (shingles % np.uint64(bits)).astype(np.int64)
+    odd = np.bincount(cell, minlength=sets * bits).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(sets, bits), axis=1).view(np.int64).reshape(sets, longs)
+
+
 def _signatures(docs: DataFrame, common: np.ndarray, k: int, percent: int) -> DataFrame:
     """Of every document: the size and hash of its set, its first shingles, and its sketch."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
@@ -63,31 +82,31 @@ def _signatures(docs: DataFrame, common: np.ndarray, k: int, percent: int) -> Da
             shingles, first = distinct_shingles(words_of(piece.column(1), SPACED_LOWER), k)
             n = np.diff(first)
             owner = np.repeat(np.arange(len(n)), n)
-            # the same set, the same sum
-            total = np.concatenate([[0], np.cumsum(mix(shingles ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
-            total = total.astype(np.uint64)
-            node = mix((total[first[1:]] - total[first[:-1]]) + n.astype(np.uint64))
+            node = _set_hashes(shingles, first).view(np.uint64)
             # the order of all sets: rare shingles by hash, then common ones
             last = np.isin(shingles, sent.value)
             order = np.lexsort((shingles, last, owner))
             place = np.arange(len(shingles)) - np.repeat(first[:-1], n)
             keep = place < np.repeat(prefix_length(n, percent), n)
-            bits = SKETCH * 64
-            cell = owner * bits + (shingles % np.uint64(bits)).astype(np.int64)
-            parity = np.bincount(cell, minlength=len(n) * bits).astype(np.uint8) & 1
-            sketch = np.packbits(parity.reshape(len(n), bits), axis=1).view(np.int64)
+            sketch = _parities(shingles, owner, len(n), SKETCH)
+            large = n >= LONG_SET
+            row = np.cumsum(large) - 1
+            wide = _parities(shingles[large[owner]], row[owner[large[owner]]], int(large.sum()), LONG_SKETCH)
+            wide = pa.ListArray.from_arrays(
+                pa.array((np.concatenate([[0], np.cumsum(large)]) * LONG_SKETCH).astype(np.int32)), pa.array(wide.ravel())
+            )
             lengths = np.where(n > 0, prefix_length(n, percent), 0)
             prefix = pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)),
                 pa.array(signed(shingles[order][keep])),
             )
             yield pa.RecordBatch.from_arrays(
-                [piece.column(0), pa.array(n), pa.array(signed(node)), prefix, *map(pa.array, sketch.T.copy())],
-                ["id", "n", "node", "prefix", *_BITS],
+                [piece.column(0), pa.array(n), pa.array(signed(node)), prefix, wide, *map(pa.array, sketch.T.copy())],
+                ["id", "n", "node", "prefix", "wide", *_BITS],
             )
 
     longs = ", ".join(f"{c} long" for c in _BITS)
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n long, node long, prefix array<long>, {longs}")
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n long, node long, prefix array<long>, wide array<long>, {longs}")
 
 
 def _ratio_fits(n: Column, m: Column, percent: int) -> Column:
@@ -97,21 +116,25 @@ def _ratio_fits(n: Column, m: Column, percent: int) -> Column:
 def _entries(sets: DataFrame) -> DataFrame:
     """The index: lists of the sets that begin with a shingle, single ones left out.
 
-    A list stands in the order of the sets' first shingles, so near copies are neighbours. Every
-    entry knows its neighbour, and the head of its list: the set that stands in most lists, which among near
+    A list stands in the order of the sets' sizes. Every entry knows its neighbour, and the head of its list: the set that stands in most lists, which among near
     copies is the one closest to all.
     """
-    listed = sets.select(
-        "node", "n", F.element_at("prefix", 1).alias("lead"), F.posexplode("prefix").alias("pos", "token")
+    # size and place in one long, which keeps the largest shuffle narrow
+    listed = sets.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select(
+        "token", "node", (F.shiftleft("n", 31) + F.col("pos")).alias("packed")
     )
-    order = Window.partitionBy("token").orderBy("lead", "n", "node")
-    one = F.struct("node", "n")
-    shared = stage(
-        listed.withColumns({"prior": F.lag(one).over(order), "next": F.lead("node").over(order)})
-        .where("prior is not null or next is not null")
-        .drop("next", "lead"),
-        "shared",
+    order = Window.partitionBy("token").orderBy("packed", "node")
+    prior, size = F.lag("node").over(order), F.shiftright(F.lag("packed").over(order), 31)
+    shared = listed.withColumns({"prior": F.struct(prior.alias("node"), size.alias("n")), "next": F.lead("node").over(order)})
+    shared = shared.where("prior.node is not null or next is not null").select(
+        "token",
+        "node",
+        F.shiftright("packed", 31).alias("n"),
+        (F.col("packed").bitwiseAND((1 << 31) - 1)).cast("int").alias("pos"),
+        F.when(F.col("prior.node").isNotNull(), F.col("prior")).alias("prior"),
     )
+    shared = stage(shared, "shared")
+    one = F.struct("node", "n")
     lists = shared.groupBy("node").agg(F.count("*").alias("lists"))
     best = Window.partitionBy("token").orderBy(F.desc("lists"), "node")
     return shared.join(lists, "node").withColumn("head", F.first(one).over(best)).drop("lists")
@@ -143,15 +166,82 @@ def _side(rows: DataFrame, side: str, *kept: str) -> DataFrame:
     return rows.select(*[F.col(c) if c in kept else F.col(c).alias(f"{c}_{side}") for c in rows.columns])
 
 
+def _wide_bound() -> Column:
+    """As ``_overlap_bound``, by the longer sketches where both sets have one."""
+    differ = F.aggregate(
+        F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x
+    )
+    both = (F.size("wide_a") > 0) & (F.size("wide_b") > 0)
+    return F.when(both, F.floor((F.col("na") + F.col("nb") - differ) / 2))
+
+
+def _meetings(pairs: DataFrame) -> DataFrame:
+    """Where each set has to go: of a pair the one with more partners is the hub, the other comes to it.
+
+    A hub with very many members has several places, each with a copy of its set.
+    """
+    ends = pairs.select("a", "b").union(pairs.select("b", "a").toDF("a", "b"))
+    degree = ends.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"))
+    met = pairs.join(degree.toDF("a", "da"), "a").join(degree.toDF("b", "db"), "b")
+    first = (F.col("da") > F.col("db")) | ((F.col("da") == F.col("db")) & F.expr("a < b"))
+    members = met.select(
+        F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"),
+        F.pmod(
+            F.xxhash64(F.when(first, F.col("b")).otherwise(F.col("a"))),
+            F.ceil(F.greatest("da", "db") / MEMBERS),
+        ).alias("place"),
+        F.when(first, F.col("b")).otherwise(F.col("a")).alias("node"),
+    )
+    hubs = members.select("hub", "place").distinct().select("hub", "place", F.col("hub").alias("node"))
+    return members.withColumn("member", F.lit(True)).union(hubs.withColumn("member", F.lit(False)))
+
+
+def _brought(docs: DataFrame, sets: DataFrame, meetings: DataFrame, k: int) -> DataFrame:
+    """The sets, made again from the texts, at their places."""
+    chosen = sets.select("node", "id").join(
+        meetings.groupBy("node").agg(F.collect_list(F.struct("hub", "place", "member")).alias("to")), "node"
+    )
+    chosen = stage(chosen, "chosen")
+    small = F.broadcast(chosen) if meetings.count() <= BROADCAST_ROWS else chosen
+    texts = docs.join(small, "id").select("node", "text", "to")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text"):
+            shingles, first = distinct_shingles(words_of(piece.column(1), SPACED_LOWER), k)
+            lists = piece.column(2)
+            count = np.diff(lists.offsets.to_numpy())
+            owner = np.repeat(np.arange(piece.num_rows), count)
+            # another text may share the id
+            real = (_set_hashes(shingles, first) == piece.column(0).to_numpy())[owner]
+            flat = lists.flatten().filter(pa.array(real))
+            owner = owner[real]
+            values = [shingles[first[i] : first[i + 1]].tobytes() for i in owner]
+            yield pa.RecordBatch.from_arrays(
+                [flat.field(0), flat.field(1), flat.field(2), piece.column(0).take(pa.array(owner)), pa.array(values, pa.binary())],
+                ["hub", "place", "member", "node", "value"],
+            )
+
+    return texts.mapInArrow(run, "hub long, place long, member boolean, node long, value binary")
+
+
 def _intersections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows by hub and place, the hub first: every member's overlap with its hub."""
+    hub, own = None, np.zeros(0, np.uint64)
     for batch in batches:
-        overlap = np.empty(batch.num_rows, np.int64)
-        for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
-            both = np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)])
-            both.sort()
-            overlap[i] = np.count_nonzero(both[1:] == both[:-1])
+        out = []
+        for h, member, node, value in zip(
+            batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)
+        ):
+            elements = np.frombuffer(value.as_buffer(), np.uint64)
+            if not member:
+                hub, own = h, elements
+            elif h == hub:
+                both = np.concatenate([own, elements])
+                both.sort()
+                out.append((h, len(own), node, len(elements), np.count_nonzero(both[1:] == both[:-1])))
+        columns = zip(*out) if out else [[]] * 5
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:4], pa.array(overlap)], ["a", "na", "b", "nb", "overlap"]
+            [pa.array(c, pa.int64()) for c in columns], ["x", "nx", "y", "ny", "overlap"]
         )
 
 
@@ -159,30 +249,28 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percen
     """Every pair with ``linked`` and ``most``, which its similarity doesn't exceed.
 
     Sketches rule most pairs out. Only for the rest the sets are made again from the
-    texts, and intersected.
+    texts, meet once for each pair, and are intersected.
     """
-    sketches = sets.select("node", "n", *_BITS)
+    sketches = sets.select("node", "n", "wide", *_BITS)
     rough = pairs.join(_side(sketches, "a").withColumnRenamed("node_a", "a"), "a")
     rough = rough.join(_side(sketches, "b").withColumnRenamed("node_b", "b"), "b")
-    rough = rough.select("a", "na", "b", "nb", _overlap_bound("a", "b").alias("overlap"))
-    rough = stage(rough.withColumn("linked", _links(percent)), "rough")
-    left = rough.where("linked").select("a", "na", "b", "nb")
-    wanted = left.select("a").union(left.select("b")).distinct().toDF("node")
-    chosen = stage(only(sets.select("node", "id"), wanted, "node"), "chosen")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text"):
-            shingles, first = distinct_shingles(words_of(piece.column(1), SPACED_LOWER), k)
-            values = [shingles[a:b].tobytes() for a, b in zip(first, first[1:])]
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(values, pa.binary())], ["node", "value"])
-
-    small = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
-    texts = docs.join(small, "id").select("node", "text")
-    values = stage(texts.mapInArrow(run, "node long, value binary").dropDuplicates(["node"]), "sets")
-    met = left.join(values.toDF("a", "va"), "a").join(values.toDF("b", "vb"), "b")
-    exact = met.select("a", "na", "b", "nb", "va", "vb").mapInArrow(
-        _intersections, "a long, na long, b long, nb long, overlap long"
+    bound = F.least(_overlap_bound("a", "b"), _wide_bound())
+    rough = stage(
+        rough.select("a", "na", "b", "nb", bound.alias("overlap")).withColumn("linked", _links(percent)), "rough"
+    )
+    meetings = stage(_meetings(rough.where("linked").select("a", "b")), "meetings")
+    brought = _brought(docs, sets, meetings, k).repartition("hub", "place")
+    exact = brought.sortWithinPartitions("hub", "place", "member", "node").mapInArrow(
+        _intersections, "x long, nx long, y long, ny long, overlap long"
     )
+    swap = F.col("x") > F.col("y")
+    exact = exact.select(
+        F.least("x", "y").alias("a"),
+        F.when(swap, F.col("ny")).otherwise(F.col("nx")).alias("na"),
+        F.greatest("x", "y").alias("b"),
+        F.when(swap, F.col("nx")).otherwise(F.col("ny")).alias("nb"),
+        "overlap",
+    ).distinct()
     both = rough.where("not linked").unionByName(exact.withColumn("linked", _links(percent)))
     most = (F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("most")
     return stage(both.select("a", "b", "linked", most), "verified")
