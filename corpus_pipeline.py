@@ -1,16 +1,59 @@
-"""The corpus pipeline: cleans the documents stage by stage and encodes what is left."""
+"""The corpus pipeline: cleans the documents stage by stage and encodes what is left.
+
+Every stage reads all that the one before kept and works on whole texts. A document
+without id is kept by the stages that need one.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillscope.llm import bpe
+from tillscope.llm import bpe, decontaminate, jaccard, secret_scan, toxicity
+from tillscope.session import scratch_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Documents of at least this toxicity go.
+TOXIC = 0.3
+_SPANS = "spans of secrets"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the class models, fitted on three quarters of the labels, don't call toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    learn = toxicity.bucket(F.col("doc_id"), 4) != 2
+    return toxicity.with_scores(docs, labels, learn).where(F.col("score") < TOXIC).select("row.*")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of linked documents the one with the smallest id; texts without words link with none."""
+    linked = jaccard.link_documents(docs, k=5, percent=80)
+    keep = linked.where("component_id = doc_id").select("doc_id").distinct()
+    first = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi")
+    return first.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of whose words fewer than a twentieth stand in benchmark passages."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.find_passages(docs, benchmark).withColumn("n_hit", decontaminate.words_hit(F.col("spans")))
+    hit = found.where(decontaminate.is_contaminated(F.col("n_words"), F.col("n_hit"))).select("doc_id").distinct()
+    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by a mask; others are unchanged."""
+    spans = F.col(_SPANS)
+    text = F.when(F.size(spans) > 0, secret_scan.masked(F.col("text"), spans)).otherwise(F.col("text"))
+    length = F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    marked = secret_scan.with_spans(docs, spans=_SPANS)
+    return marked.withColumn("text", text).withColumn("n_chars", length).select(*docs.columns)
+
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and the bytes they decode to."""
@@ -20,16 +63,22 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("jaccard_join", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("secrets", mask_secrets),
     ("byte_bpe", encode),
 ]
 
-#: Language models and vocabulary files are beyond SQL.
+#: Fitted language models and vocabulary files are beyond SQL.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages, one after the other, to the documents."""
+    """Applies all stages to the documents; each but the last is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    at = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+        docs = spark.read.parquet(f"{at}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -170,25 +170,33 @@ def _entropy_spans(text: Column, base: Column, rank: int, one: CharacterClass) -
     return _as_spans(F.filter(_matches(text, _class_pattern(one.letters), 0), keep), rank, one.name)
 
 
-def find_secrets(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Spans of secrets in every text: code points, end exclusive, by start, then kind as listed.
-
-    Returns ``key``, the text as ``text`` and ``spans`` (start, rank of the kind, end, kind). First
-    the named patterns: leftmost non-overlapping matches of each, those too short
-    dropped. Then runs of one character class: a window of ``WINDOW`` characters slides
-    over each run with counts kept up to date, and a run whose largest Shannon entropy
-    reaches the bound of its class is a secret, unless a pattern of ``ALLOWED`` fits it or a
-    span found before overlaps it. A null or empty text has no spans; null keys, repeated rows and other columns
-    make no difference. No shuffle and no Python: each row is worked on where it lies.
+def with_spans(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
+    """All rows and columns, and the spans of secrets in the text as a further column.
+
+    Spans (start, rank of the kind, end, kind) are in code points, end exclusive, by start, then
+    kind as listed. First the named patterns: leftmost non-overlapping matches of each,
+    those too short dropped. Then runs of one character class: a window of ``WINDOW``
+    characters slides over each run with counts kept up to date, and a run whose largest Shannon
+    entropy reaches the bound of its class is a secret, unless a pattern of ``ALLOWED`` fits
+    it or a span found before overlaps it. A null or empty text has no spans. No shuffle
+    and no Python: each row is worked on where it lies.
     """
-    rows = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    whole = F.coalesce(F.col(text), F.lit(""))
     base = []
     for rank, kind in enumerate(BASE_KINDS):
-        base.append(_as_spans(_long_enough(_matches(F.col("text"), kind.pattern, kind.group), kind), rank, kind.name))
-    rows = rows.withColumn("spans", F.concat(*base))
+        base.append(_as_spans(_long_enough(_matches(whole, kind.pattern, kind.group), kind), rank, kind.name))
+    rows = df.withColumn(spans, F.concat(*base))
     for rank, one in enumerate(CLASSES, len(BASE_KINDS)):
-        rows = rows.withColumn("spans", F.concat("spans", _entropy_spans(F.col("text"), F.col("spans"), rank, one)))
-    return rows.withColumn("spans", F.array_sort("spans"))
+        rows = rows.withColumn(spans, F.concat(F.col(spans), _entropy_spans(whole, F.col(spans), rank, one)))
+    return rows.withColumn(spans, F.array_sort(F.col(spans)))
+
+
+def find_secrets(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``key``, ``text`` and the ``spans`` of secrets (see ``with_spans``) of every row.
+
+    Null keys, repeated rows and other columns make no difference.
+    """
+    return with_spans(df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")))
 
 
 def span_text(spans: Column) -> Column:

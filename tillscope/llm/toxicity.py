@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillscope.llm.words import ALNUM_LOWER, Words, pieces, signed, window_hashes, words_of
 
@@ -249,7 +250,6 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
 def _scored(docs: DataFrame, model: Model, *kept: str) -> DataFrame:
     """``id``, further columns, and the features and the score of every text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    types = dict(docs.dtypes)
     columns = ["id", *kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +261,8 @@ def _scored(docs: DataFrame, model: Model, *kept: str) -> DataFrame:
                 [*columns, *FEATURES, "score"],
             )
 
-    schema = ", ".join([f"{c} {types[c]}" for c in columns] + [f"{c} double" for c in [*FEATURES, "score"]])
+    numbers = [T.StructField(c, T.DoubleType()) for c in [*FEATURES, "score"]]
+    schema = T.StructType([docs.schema[c] for c in columns] + numbers)
     return docs.select(*columns, "text").mapInArrow(run, schema)
 
 
@@ -278,3 +279,11 @@ def score_documents(
     docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
     model = fit(docs, labels, learn, key, label)
     return _scored(docs, model).select(F.col("id").alias(key), "score")
+
+
+def with_scores(
+    df: DataFrame, labels: DataFrame, learn: Column, text: str = "text", key: str = "doc_id", label: str = "toxic"
+) -> DataFrame:
+    """As ``score_documents``, with every whole row: ``row`` (a struct of its columns) and ``score``."""
+    docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"), F.struct(*df.columns).alias("row"))
+    return _scored(docs, fit(docs.drop("row"), labels, learn, key, label), "row").select("row", "score")
