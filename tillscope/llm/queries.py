@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.llm import bpe, decontaminate, jaccard, language, nearest, secret_scan, substrings, tokencount, toxicity
+from tillscope.llm import bpe, decontaminate, jaccard, language, nearest, quotes, secret_scan, substrings, tokencount, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without quotes, what it replies to, and its place in the reply tree."""
+    return quotes.reply_paths(quotes.link_quotes(table(spark, sf_dir, "conversations")))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts by named pattern, and all spans."""
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
@@ -107,6 +112,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_quote_linking": op2_quote_linking,
     "op3_secrets": op3_secrets,
     "op4_nearest": op4_nearest,
     "op5_token_counts": op5_token_counts,
@@ -117,4 +123,68 @@ QUERIES: dict[str, Query] = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quote_linking": r"""
+        WITH RECURSIVE messages AS (
+            SELECT conv_id AS conv, turn, first(role ORDER BY coalesce(role, ''), coalesce(text, '')) AS role,
+                   first(coalesce(text, '') ORDER BY coalesce(role, ''), coalesce(text, '')) AS text
+            FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
+        ),
+        split AS (
+            SELECT conv, turn, unnest(string_split(text, chr(10))) AS line,
+                   generate_subscripts(string_split(text, chr(10)), 1) AS n
+            FROM messages
+        ),
+        lines AS (
+            SELECT conv, turn, n,
+                   length(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level,
+                   trim(regexp_replace(regexp_replace(line, '^(?:[ \t]*>)+', ''), '\r$', '')) AS body
+            FROM split
+        ),
+        islands AS (
+            SELECT *, n - row_number() OVER (PARTITION BY conv, turn, level ORDER BY n) AS island FROM lines
+        ),
+        passages AS (
+            SELECT conv, turn, level, min(n) AS n, string_agg(body, chr(10) ORDER BY n) AS body
+            FROM islands GROUP BY conv, turn, level, island HAVING trim(string_agg(body, chr(10) ORDER BY n)) <> ''
+        ),
+        own AS (
+            SELECT conv, turn, string_agg(body, chr(10) ORDER BY n) AS own_text FROM passages WHERE level = 0 GROUP BY ALL
+        ),
+        parts AS (
+            SELECT conv, turn, unnest([own_text] || string_split(own_text, chr(10))
+                   || string_split_regex(own_text, '\n\s*\n')) AS part
+            FROM own
+        ),
+        sources AS (
+            SELECT conv, trim(regexp_replace(lower(part), '[^\p{L}\p{N}]+', ' ', 'g')) AS words, min(turn) AS source
+            FROM parts GROUP BY ALL HAVING length(words) >= 8
+        ),
+        found AS (
+            SELECT q.conv, q.turn, q.level, s.source
+            FROM passages q JOIN sources s
+              ON s.conv = q.conv AND s.source < q.turn
+             AND s.words = trim(regexp_replace(lower(q.body), '[^\p{L}\p{N}]+', ' ', 'g'))
+            WHERE q.level > 0
+        ),
+        replies AS (
+            SELECT m.conv, m.turn, m.role, coalesce(o.own_text, '') AS own_text,
+                   (SELECT count(*) FROM passages q WHERE q.conv = m.conv AND q.turn = m.turn AND q.level > 0) AS n_quotes,
+                   (SELECT count(*) FROM found f WHERE f.conv = m.conv AND f.turn = m.turn) AS n_linked,
+                   coalesce(
+                       (SELECT f.source FROM found f WHERE f.conv = m.conv AND f.turn = m.turn
+                        ORDER BY f.level, f.source DESC LIMIT 1),
+                       lag(m.turn) OVER (PARTITION BY m.conv ORDER BY m.turn)
+                   ) AS reply_to
+            FROM messages m LEFT JOIN own o ON o.conv = m.conv AND o.turn = m.turn
+        ),
+        paths AS (
+            SELECT conv, turn, turn AS root, 0::BIGINT AS depth FROM replies WHERE reply_to IS NULL
+            UNION ALL
+            SELECT r.conv, r.turn, p.root, p.depth + 1 FROM replies r
+            JOIN paths p ON p.conv = r.conv AND p.turn = r.reply_to
+        )
+        SELECT r.conv AS conv_id, r.turn, r.role, r.own_text, r.n_quotes, r.n_linked, r.reply_to, p.root, p.depth
+        FROM replies r JOIN paths p ON p.conv = r.conv AND p.turn = r.turn
+    """,
+}
