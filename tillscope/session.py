@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def local_session(cores: int | str = 8, app: str = "tillscope") -> SparkSession:
@@ -28,6 +31,23 @@ def local_session(cores: int | str = 8, app: str = "tillscope") -> SparkSession:
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, for functions that run there."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tillscope-"), "tillscope.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(top)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Folder for written intermediate tables.
 
