@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillscope.llm import bpe, decontaminate, jaccard, secret_scan, toxicity
-from tillscope.session import scratch_dir
+from tillscope.session import scratch_dir, ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -25,6 +25,7 @@ _SPANS = "spans of secrets"
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the class models, fitted on three quarters of the labels, don't call toxic."""
+    ship_package(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     learn = toxicity.bucket(F.col("doc_id"), 4) != 2
     return toxicity.with_scores(docs, labels, learn).where(F.col("score") < TOXIC).select("row.*")
@@ -32,6 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of linked documents the one with the smallest id; texts without words link with none."""
+    ship_package(spark)
     linked = jaccard.link_documents(docs, k=5, percent=80)
     keep = linked.where("component_id = doc_id").select("doc_id").distinct()
     first = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi")
@@ -40,6 +42,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words fewer than a twentieth stand in benchmark passages."""
+    ship_package(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.find_passages(docs, benchmark).withColumn("n_hit", decontaminate.words_hit(F.col("spans")))
     hit = found.where(decontaminate.is_contaminated(F.col("n_words"), F.col("n_hit"))).select("doc_id").distinct()
@@ -57,6 +60,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and the bytes they decode to."""
+    ship_package(spark)
     return bpe.encode_decode(
         docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tillscope.llm.words import SPACED, Words, mix, pieces, signed, window_hashes, words_of
 
 #: Consecutive words of a passage, and of the shingles of which it is known by its smallest.
-WINDOW, SHINGLE = 20, 6
+WINDOW, SHINGLE = 20, 4
 #: Segments that are worked on together, and from how many on the windows of one anchor go separate ways.
 BATCH_SEGMENTS, HOT_SEGMENTS, MOST_HOT = 100_000, 20_000, 1 << 16
 
@@ -103,11 +103,12 @@ def anchors(words: Words, window: int, k: int) -> tuple[np.ndarray, ...]:
     return hashes[at[first]], document[start[first]], start[first], start[last]
 
 
-_ANCHOR = "key long, sure boolean, id long, anchor long, first int, last int"
-
-
 def _anchors_of(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """Anchors of all documents. Of equal ones in a piece only the first looks for others elsewhere."""
+    """Segments of all documents: ``key`` (the anchor), ``content`` (a hash of its words), ``id``, ``first`` and ``last``.
+
+    Of equal segments in a piece only the first goes on. The others are repeats, without
+    ``content`` and with a key of their own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
@@ -115,28 +116,52 @@ def _anchors_of(docs: DataFrame, window: int, k: int) -> DataFrame:
             hashes, document, first, last = anchors(words, window, k)
             if not len(hashes):
                 continue
-            _, of, count = np.unique(hashes, return_inverse=True, return_counts=True)
-            repeated = count[of] > 1
-            order = np.lexsort((np.arange(len(of)), of))
-            leads = np.empty(len(of), bool)
-            leads[order] = np.append(True, of[order][1:] != of[order][:-1])
-            ids = piece.column(0).to_numpy()[document]
-            # the others are known to repeat and go anywhere
-            apart = mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + first.astype(np.uint64))
-            base = words.first[:-1][document]
+            content = window_hashes(words.hashes, first, last - first + window)
+            ids, base = piece.column(0).to_numpy()[document], words.first[:-1][document]
+            place = first - base
+            order = np.lexsort((place, ids, content, hashes))
+            same = np.append(
+                False,
+                (hashes[order][1:] == hashes[order][:-1]) & (content[order][1:] == content[order][:-1]),
+            )
+            again = np.append(
+                False, same[1:] & (ids[order][1:] == ids[order][:-1]) & (place[order][1:] == place[order][:-1])
+            )
+            order, same = order[~again], same[~again]  # a repeated row is no repeat of its words
+            apart = mix(ids[order].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place[order].astype(np.uint64))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(signed(np.where(leads, hashes, apart))),
-                    pa.array(repeated),
-                    pa.array(ids),
-                    pa.array(signed(hashes)),
-                    pa.array((first - base).astype(np.int32)),
-                    pa.array((last - base).astype(np.int32)),
+                    pa.array(signed(np.where(same, apart, hashes[order]))),
+                    pa.array(signed(content[order]), mask=same),
+                    pa.array(ids[order]),
+                    pa.array(place[order].astype(np.int32)),
+                    pa.array((last - base)[order].astype(np.int32)),
                 ],
-                ["key", "sure", "id", "anchor", "first", "last"],
+                ["key", "content", "id", "first", "last"],
             )
 
-    return docs.mapInArrow(run, _ANCHOR)
+    found = docs.mapInArrow(run, "key long, content long, id long, first int, last int")
+    # both places in one long, mostly zeros, which keeps the largest shuffle small
+    return found.select("key", "content", "id", (F.col("first") * F.lit(64).cast("long") + F.col("last") - F.col("first")).alias("at"))
+
+
+def _sorted_out(found: DataFrame, window: int) -> DataFrame:
+    """Segments with ``repeat`` (the whole segment stands earlier) and ``mixed`` (its anchor has other contents too)."""
+    by = Window.partitionBy("key")
+    order = by.orderBy("content", "id", "at")
+    same = F.col("content") == F.lag("content").over(order)
+    once = ~((F.col("id") == F.lag("id").over(order)) & (F.col("at") == F.lag("at").over(order)))
+    told = found.withColumns(
+        {
+            "repeat": F.col("content").isNull() | (F.coalesce(same, F.lit(False)) & F.coalesce(once, F.lit(True))),
+            "copy": F.coalesce(same & ~once, F.lit(False)),
+            "mixed": F.coalesce(F.min("content").over(by) != F.max("content").over(by), F.lit(False)),
+        }
+    )
+    first = F.floor(F.col("at") / 64).cast("int")
+    return told.where("not copy and (repeat or mixed)").select(
+        "key", "id", first.alias("first"), (first + (F.col("at") % 64).cast("int")).alias("last"), "repeat"
+    )
 
 
 def _hot_anchors(docs: DataFrame, window: int, k: int) -> np.ndarray:
@@ -159,7 +184,7 @@ def _segments(docs: DataFrame, candidates: DataFrame, hot: np.ndarray, window: i
     Those of hot anchors are cut into single windows, which go by their own hash.
     """
     sent = docs.sparkSession.sparkContext.broadcast(hot)
-    runs = candidates.groupBy("id").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("runs"))
+    runs = candidates.groupBy("id").agg(F.collect_list(F.struct("key", "first", "last")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
@@ -332,20 +357,19 @@ def remove_repeats(
     key are one document: repeats of a row lose the same words.
 
     Shards of reference text can't all be sent everywhere, so windows are dealt by the smallest
-    shingle in them, which equal windows share. Anchors (those shingles) that occur once are
-    dropped; around the others, segments of words meet by anchor, and a suffix automaton of the
-    earlier segments gives the matching statistics of the next.
+    shingle in them, their anchor, which equal windows share. The windows around one anchor are a segment.
+    Segments that meet no other at their anchor are unique; of segments of one content all but the first are repeats.
+    Only where an anchor has several contents their words meet, and a
+    suffix automaton of the earlier segments gives the matching statistics of the next.
     """
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     docs = rows.where("id is not null")
-    found = _anchors_of(docs, window, k)
-    order = Window.partitionBy("key").orderBy("id", "first")
-    candidates = found.withColumns(
-        {"prior": F.lag("id").over(order), "next": F.lead("id").over(order)}
-    ).where("sure or prior is not null or next is not null")
-    segments = _segments(docs, candidates.select("id", "anchor", "first", "last"), _hot_anchors(docs, window, k), window)
-    spans = _covered(segments, window).groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    found = _sorted_out(_anchors_of(docs, window, k), window)
+    segments = _segments(docs, found.where("not repeat"), _hot_anchors(docs, window, k), window)
+    whole = found.where("repeat").select("id", F.col("first").alias("start"), (F.col("last") + window).alias("stop"))
+    spans = _covered(segments, window).union(whole)
+    spans = spans.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     none = F.array().cast("array<struct<start:int,stop:int>>")
     cut = docs.join(spans, "id", "left").select("id", "text", F.coalesce("spans", none).alias("spans"))
-    whole = rows.where("id is null").select("id", "text", none.alias("spans"))
-    return _kept(cut.union(whole)).withColumnRenamed("id", key)
+    without = rows.where("id is null").select("id", "text", none.alias("spans"))
+    return _kept(cut.union(without)).withColumnRenamed("id", key)
