@@ -133,13 +133,24 @@ def test_months_end_to_end(spark, layout, tmp_path):
     assert bulk.count() == results.bulk.count()
 
 
-def test_long_sections_are_written_as_lines(spark, tmp_path):
-    df = spark.range(30).select(F.lit("p").alias("periodo"), F.col("id").alias("n"))
+@pytest.mark.parametrize("rows", [10, 60_000])
+def test_growing_sections_are_lines_at_every_size(spark, tmp_path, rows):
+    df = spark.range(rows).select(F.lit("p").alias("periodo"), F.col("id").alias("n"))
     path = str(tmp_path / "r")
-    reports.write_report(path, "t", "d", {"short": df.limit(3), "long": df}, nested_rows=10)
+    reports.write_report(path, "t", "d", {"short": df.limit(3), "long": df}, as_lines=["long"])
     document = _document(path)
     assert document["long"] == "long/" and len(document["short"][0]["dettagli"]) == 3
-    assert spark.read.json(f"{path}/long").count() == 30
+    assert spark.read.json(f"{path}/long").count() == rows
+
+
+def test_years_are_found_at_any_depth(spark, tmp_path):
+    row = spark.range(1).select(F.col("id").alias("x"))
+    root = f"{tmp_path}/{receipts.LINES_FOLDER}/area=A"
+    for n, branch in enumerate(["", "b/", "b/c/d/e/f/", "z/z/z/z/"]):
+        row.withColumn("x", F.lit(n)).write.parquet(f"{root}/{branch}year=2024/month=3/day=1")
+    row.write.parquet(f"{root}/year=2023/month=3/day=1")
+    got = receipts.scan_period(spark, str(tmp_path), 2024, 3)
+    assert sorted(r.x for r in got.select("x").collect()) == [0, 1, 2, 3]
 
 
 def test_mission_report_labels(spark):

@@ -44,6 +44,12 @@ def finite_or(col: Column, value: float | None) -> Column:
     return F.when(is_finite(col), as_double(col)).otherwise(F.lit(value).cast("double"))
 
 
+def earliest(col: Column, *by: Column) -> Column:
+    """Aggregate: the value of the first row, by ``by`` with nulls last, that has one; ties take the smallest."""
+    order = [part for i, b in enumerate(by) for part in (b.isNull().alias(f"none{i}"), b.alias(f"by{i}"))]
+    return F.min(F.when(col.isNotNull(), F.struct(*order, col.alias("value"))))["value"]
+
+
 def model_input(col: Column) -> Column:
     """Numeric input for models: finite, zero when missing, clipped."""
     return F.least(F.greatest(finite_or(col, 0.0), F.lit(-CLIP_LIMIT)), F.lit(CLIP_LIMIT))

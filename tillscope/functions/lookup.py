@@ -73,5 +73,5 @@ def attach(
 
 
 def attach_per_period(facts: DataFrame, stats: DataFrame) -> DataFrame:
-    """Inner join with one row per period; bounded by the number of periods."""
-    return facts.join(F.broadcast(stats), "period")
+    """Inner join with one row per period, null among them; bounded by the number of periods."""
+    return _join(facts, stats, ["period"], "inner", small=True)

@@ -132,9 +132,8 @@ def cashier_alerts(baskets: DataFrame) -> DataFrame:
 def produce_weighing_errors(lines: DataFrame) -> DataFrame:
     """Weighed lines whose unit price is far from the product's median, by MAD."""
     keys = ["period", "product_id"]
-    weighed = lines.where((F.col("weight") > 0) & (F.col("line_total") > 0)).withColumn(
-        "unit_price", X.as_double(F.col("line_total")) / X.as_double(F.col("weight"))
-    )
+    weight, total = (X.finite_or(F.col(c), None) for c in ("weight", "line_total"))
+    weighed = lines.where((weight > 0) & (total > 0)).withColumn("unit_price", total / weight)
     # distinct prices with their counts serve both medians
     prices = stage(value_counts(weighed, keys, "unit_price"), "unit-prices")
     centers = counted_quantiles(prices, keys, {"med_price": median()}).drop("n")
@@ -169,7 +168,7 @@ def produce_weighing_errors(lines: DataFrame) -> DataFrame:
 def cashier_receipts(lines: DataFrame) -> DataFrame:
     """One row per cashier and receipt: value, voids, discounts, abort, payment.
 
-    The payment code is that of the earliest line. Grouping by the header
+    The payment code is that of the earliest line that has one. Grouping by the header
     columns first keeps the pass over the lines a hash aggregation.
     """
     header = ("date_str", "time_str", "payment_method_code")
@@ -182,7 +181,7 @@ def cashier_receipts(lines: DataFrame) -> DataFrame:
         X.as_double(F.coalesce(F.sum("value"), F.lit(0))).alias("receipt_value"),
         F.coalesce(F.sum("voids"), F.lit(0)).alias("void_items_count"),
         F.coalesce(F.max("aborted"), F.lit(0)).alias("was_aborted"),
-        F.min(F.struct(*header))["payment_method_code"].alias("pay_code"),
+        X.earliest(F.col("payment_method_code"), F.col("date_str"), F.col("time_str")).alias("pay_code"),
     )
 
 

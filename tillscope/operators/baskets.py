@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tillscope import schema
 from tillscope.functions import exprs as X
 
-# One receipt normally has one header; where lines disagree, the smallest
-# (date, time, cashier, store) tuple that occurs on the receipt counts.
+# One receipt normally has one header; where lines disagree, each field is that of
+# the earliest line that has it.
 _HEADER = ("date_str", "time_str", "cashier_id", "store_id")
 
 
@@ -26,7 +26,7 @@ def basket_features(lines: DataFrame) -> DataFrame:
     and the first one shrinks the lines before the shuffle.
     """
     total = F.col("line_total")
-    weight = F.coalesce(X.as_double(F.col("weight")), F.lit(0.0))
+    weight = X.finite_or(F.col("weight"), 0.0)
     fresh = weight > 0
     void = F.col("is_item_void").cast("boolean")
     parts = lines.groupBy("period", "receipt_id", *_HEADER).agg(
@@ -56,18 +56,16 @@ def basket_features(lines: DataFrame) -> DataFrame:
         X.as_double(_total(F.col("fresh_value"))).alias("fresh_value_sum"),
         X.ratio(F.sum("unit_price"), F.sum("unit_price_lines")).alias("avg_basket_unit_price"),
         X.ratio(F.sum("delta"), F.sum("delta_lines")).alias("avg_price_delta_per_basket"),
-        F.min(F.struct(*_HEADER)).alias("header"),
+        *[X.earliest(F.col(c), F.col("date_str"), F.col("time_str")).alias(c) for c in _HEADER],
     )
-    day, hour = X.parse_day(F.col("header.date_str")), X.hour_prefix(F.col("header.time_str"))
+    day, hour = X.parse_day(F.col("date_str")), X.hour_prefix(F.col("time_str"))
     size, value = F.col("basket_size"), F.col("basket_value")
     return whole.withColumns(
         {
             "hour_of_day": hour,
             "is_weekend": X.weekend_flag(day),
-            "store_numeric": X.md5_bucket(F.col("header.store_id"), 1000),
+            "store_numeric": X.md5_bucket(F.col("store_id"), 1000),
             "peak_hour_pressure_numeric": X.peak_flag(hour),
-            "cashier_id": F.col("header.cashier_id"),
-            "store_id": F.col("header.store_id"),
             "is_single_item_flag": (size == 1).cast("byte"),
             "basket_value_per_item": X.fill_missing(X.ratio(value, size)),
             "void_rate_per_receipt": X.fill_missing(X.ratio(F.col("total_voids"), size)),
@@ -86,7 +84,7 @@ def basket_features(lines: DataFrame) -> DataFrame:
                 F.col("avg_price_delta_per_basket"), F.lit(0.0)
             ),
         }
-    ).drop("header")
+    ).drop("date_str", "time_str")
 
 
 def ensure_cashier(baskets: DataFrame) -> DataFrame:

@@ -160,7 +160,7 @@ def assign_missions(
         segment = F.lit(schema.STANDARD)
         for period, model in models.items():
             named = model.mission(centroid_space)
-            segment = F.when(F.col("period") == period, named).otherwise(segment)
+            segment = F.when(F.col("period").eqNullSafe(F.lit(period)), named).otherwise(segment)
     pending = F.col("shopping_mission") == "PENDING"
     return flagged.withColumn(
         "shopping_mission", F.when(pending, segment).otherwise(F.col("shopping_mission"))

@@ -1,8 +1,8 @@
 """Isolation forest over receipts or cashiers, grown and scored in Spark tasks.
 
-Trees see small row samples, so growing them is cheap at any data size: a
-hash of the row id picks a bounded pool, each tree takes its sample from the
-pool, and the trees grow in parallel. The forest is bounded by the number of
+Trees see small row samples, so growing them is cheap at any data size: hashes
+of the row id and the tree pick each tree's rows from all rows in one scan, and
+the trees grow in parallel. The forest is bounded by the number of
 trees and their depth; scoring is one vectorised pass over the rows.
 """
 
@@ -136,21 +136,16 @@ def fit_forest(
     if count == 0:
         return None
     sample = min(tree_rows, count)
-    pool_rows = min(count, trees * tree_rows)
-    chance = X.hash_fraction(F.col(id_col), F.lit(seed))
     inputs = [X.model_input(F.col(f)).alias(f"x{i}") for i, f in enumerate(features)]
-    pool = rows.select(F.col(id_col).cast("string").alias("id"), chance.alias("chance"), *inputs)
-    if count > 2 * pool_rows:
-        # twice the pool is expected to pass; the sort below sees only those
-        pool = pool.where(F.col("chance") < 2.0 * pool_rows / count)
-    pool = pool.orderBy("chance", "id").limit(pool_rows)
-
+    every = rows.select(F.col(id_col).cast("string").alias("id"), *inputs)
     # each tree takes the rows with its smallest hashes; three times the sample
-    # is expected to pass the filter, so the ranking per tree stays small
-    picked = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    # is expected to be under the bound, so only those are exploded and ranked
+    bound = F.lit(3.0 * sample / count)
+    drawn = F.filter(
+        F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: X.hash_fraction(F.col("id"), t, F.lit(seed)) < bound
+    )
+    picked = every.withColumn("tree", F.explode(drawn))
     picked = picked.withColumn("draw", X.hash_fraction(F.col("id"), F.col("tree"), F.lit(seed)))
-    if pool_rows > 3 * sample:
-        picked = picked.where(F.col("draw") < 3.0 * sample / pool_rows)
     order = Window.partitionBy("tree").orderBy("draw", "id")
     picked = picked.withColumn("position", F.row_number().over(order)).where(
         F.col("position") <= sample
@@ -172,7 +167,7 @@ def fit_forest(
 
 def _per_period(rows: DataFrame, score: Callable[[DataFrame, str], DataFrame]) -> DataFrame | None:
     """``score`` applied to each period by itself; ``None`` without rows."""
-    parts = [score(rows.where(F.col("period") == p), p) for p in periods_of(rows)]
+    parts = [score(rows.where(F.col("period").eqNullSafe(F.lit(p))), p) for p in periods_of(rows)]
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 

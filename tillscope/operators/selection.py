@@ -17,9 +17,7 @@ from tillscope.operators.missions import standardize
 # Size of the forest and of its report.
 FOREST_TREES = 100
 TOP_FEATURES = 3
-# Deeper levels hardly move the importances, but every task sends the
-# statistics of all open nodes, and those double per level.
-FOREST_DEPTH = 8
+FOREST_DEPTH, FOREST_BINS = 10, 128
 # Folds, penalties and cut of the lasso path.
 LASSO_FOLDS = 5
 LASSO_ALPHAS = 100
@@ -39,6 +37,8 @@ def rf_importance(
     target: str = TARGET,
     top_n: int = TOP_FEATURES,
     seed: int = 42,
+    max_depth: int = FOREST_DEPTH,
+    max_bins: int = FOREST_BINS,
 ) -> DataFrame:
     """The ``top_n`` impurity importances of a random forest, highest first."""
     columns = [*features, target]
@@ -51,7 +51,8 @@ def rf_importance(
         labelCol=target,
         numTrees=FOREST_TREES,
         featureSubsetStrategy="all",
-        maxDepth=FOREST_DEPTH,
+        maxDepth=max_depth,
+        maxBins=max_bins,
         maxMemoryInMB=1024,
         seed=seed,
     ).fit(rows.select("features", target))

@@ -109,6 +109,7 @@ def write(results: PeriodResults, out: str) -> None:
             "anomalie_sweethearting_cassieri": reports.integrity_report(results.alerts),
             "alert_pesatura_ortofrutta": reports.integrity_report(results.produce),
         },
+        as_lines=["alert_pesatura_ortofrutta"],
     )
     reports.write_report(
         f"{out}/reports/behavior",

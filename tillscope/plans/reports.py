@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillscope import schema
-from tillscope.session import stage
-
-# A section with more rows than this is written as JSON lines next to the report.
-NESTED_ROWS = 50_000
 
 # What the sections of each report hold, written into its metadata.
 DICTIONARY = {
@@ -48,14 +44,15 @@ def write_report(
     description: str,
     sections: Mapping[str, DataFrame],
     records: str = "dettagli",
-    nested_rows: int = NESTED_ROWS,
+    as_lines: Collection[str] = (),
 ) -> None:
-    """Writes one report folder.
+    """Writes one report folder, in the same form at every size.
 
     ``report`` holds one nested document: metadata, then each section as a list
-    of {periodo, records}. A section is measured first; one with more than
-    ``nested_rows`` rows goes to ``<section>/periodo=...`` as JSON lines, whole,
-    and the document names that folder instead.
+    of {periodo, records}. Sections named in ``as_lines``, those that grow with
+    the data, go to ``<section>/periodo=...`` as JSON lines, and the document
+    names that folder. The other sections have a few rows for each period and
+    mission, or one for each cashier.
     """
     spark = next(iter(sections.values())).sparkSession
     fields = {f: f for df in sections.values() for f in df.columns}
@@ -66,8 +63,8 @@ def write_report(
     )
     document = spark.range(1).select("id", metadata.alias("metadata"))
     for name, section in sections.items():
-        df = stage(section, "report-section")
-        if df.count() > nested_rows:
+        df = section
+        if name in as_lines:
             df.write.mode("overwrite").partitionBy("periodo").json(f"{path}/{name}")
             document = document.withColumn(name, F.lit(f"{name}/"))
             continue

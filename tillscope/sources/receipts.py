@@ -16,7 +16,6 @@ from tillscope.functions import exprs as X
 # Folder layout below the data path.
 LINES_FOLDER = "raw_normalized/venduto"
 CSV_SEPARATOR = ";"
-_MAX_BRANCH_DEPTH = 3
 
 
 def period_of(year: Column, month: Column) -> Column:
@@ -33,13 +32,28 @@ def _glob(spark: SparkSession, pattern: str) -> list[str]:
     return [str(status.getPath()) for status in fs.globStatus(path) or []]
 
 
+def _folders_below(spark: SparkSession, path: str) -> list[str]:
+    jvm = spark.sparkContext._jvm
+    parent = jvm.org.apache.hadoop.fs.Path(path)
+    fs = parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [str(status.getPath()) for status in fs.listStatus(parent) if status.isDirectory()]
+
+
 def month_folders(spark: SparkSession, data_path: str, year: int, area: str | None) -> list[str]:
-    """Year folders of the area (or of all areas), at any depth below it."""
-    root = f"{data_path.rstrip('/')}/{LINES_FOLDER}/area={area or '*'}"
+    """Year folders of the area (or of all areas), at any depth below it.
+
+    Walks the folders down to those of years; what lies below a year isn't listed.
+    """
+    waiting = _glob(spark, f"{data_path.rstrip('/')}/{LINES_FOLDER}/area={area or '*'}")
     found: list[str] = []
-    for depth in range(_MAX_BRANCH_DEPTH + 1):
-        found += _glob(spark, f"{root}/{'*/' * depth}year={year}")
-    return sorted(set(found))
+    while waiting:
+        for folder in _folders_below(spark, waiting.pop()):
+            name = folder.rsplit("/", 1)[1]
+            if name == f"year={year}":
+                found.append(folder)
+            elif not name.startswith("year="):
+                waiting.append(folder)
+    return sorted(found)
 
 
 def scan_period(
