@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are worked on together; a longer document is a piece of its own.
-PIECE_BYTES = 4 << 20
+#: Bytes of text that are worked on together, which bounds a worker's memory; a longer document is a piece of its own.
+PIECE_BYTES = 3 << 19
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -71,7 +71,7 @@ class _Powers:
     def upto(self, n: int) -> None:
         if len(self.up) >= n:
             return
-        size = max(n, 2 * len(self.up))
+        size = n + n // 4
         self.up = np.full(size, _BASE, np.uint64)
         self.up[0] = 1
         np.multiply.accumulate(self.up, out=self.up)
@@ -87,7 +87,8 @@ def window_hashes(values: np.ndarray, start: np.ndarray, length: np.ndarray | in
     """Hash of ``values[start:start + length]`` for every start, by one running sum."""
     _powers.upto(len(values) + 1)
     total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _powers.up[: len(values)], out=total[1:])
+    np.multiply(values, _powers.up[: len(values)], out=total[1:])
+    np.cumsum(total, out=total)
     return mix((total[start + length] - total[start]) * _powers.down[start])
 
 
