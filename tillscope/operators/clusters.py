@@ -3,8 +3,9 @@
 One pass over the cached points moves the centres of every model one step:
 each task adds up its points per centre, and only those sums (a few numbers
 per centre) are shuffled. Ten restarts, or ten restarts of nine values of k,
-therefore cost the passes of a single fit. The centres start where they settle
-on a small sample, which leaves few passes over all points.
+therefore cost the passes of a single fit. A few rounds over all points draw
+candidates far apart and weigh them; the centres start where they settle on
+those, which leaves few passes over all points.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Passes at most, and squared movement of the centres that ends them.
 MAX_PASSES = 300
 TOLERANCE = 1e-4
-# Starting centres come from about this many points.
-START_POINTS = 4096
+# Rounds in which starting points are drawn from all rows, and about how many each draws.
+OVERSAMPLING_ROUNDS, OVERSAMPLE = 5, 200
 
 
 @dataclass
@@ -40,11 +41,11 @@ class _Fit:
     done: bool = False
 
 
-def _spread_start(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Centres drawn far apart: each with a chance in step with its squared distance."""
-    chosen = [points[rng.integers(len(points))]]
+def _spread_start(points: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Centres drawn far apart: each with a chance in step with weight times squared distance."""
+    chosen = [points[rng.choice(len(points), p=weights / weights.sum())]]
     for _ in range(k - 1):
-        nearest = ((points[:, None, :] - np.array(chosen)) ** 2).sum(axis=2).min(axis=1)
+        nearest = weights * ((points[:, None, :] - np.array(chosen)) ** 2).sum(axis=2).min(axis=1)
         total = nearest.sum()
         if total == 0:  # fewer distinct points than centres
             break
@@ -61,12 +62,12 @@ def _nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return label, squared[np.arange(len(x)), label]
 
 
-def _settle(sample: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    """Moves the starting centres to rest on the sample."""
+def _settle(points: np.ndarray, weights: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Moves the starting centres to rest on the weighted points."""
     for _ in range(MAX_PASSES):
-        label, _ = _nearest(sample, centers)
-        count = np.bincount(label, minlength=len(centers))
-        total = np.column_stack([np.bincount(label, c, len(centers)) for c in sample.T])
+        label, _ = _nearest(points, centers)
+        count = np.bincount(label, weights, len(centers))
+        total = np.column_stack([np.bincount(label, weights * c, len(centers)) for c in points.T])
         moved = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centers)
         still = ((moved - centers) ** 2).sum() <= TOLERANCE
         centers = moved
@@ -75,6 +76,47 @@ def _settle(sample: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return centers
 
 
+def _candidates(points: DataFrame, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Points spread over all rows, and how many rows are nearest to each.
+
+    Rounds of oversampling: every row enters with a chance in step with its squared
+    distance to the points so far. Hashes of the rows decide, so the same rows come
+    whatever the partitioning. All restarts start from these points.
+    """
+    first = points.orderBy("draw", *names).select(*names).limit(1).toPandas().to_numpy(dtype=float)
+    found = first
+
+    def cost(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = sum(float(_nearest(b[list(names)].to_numpy(dtype=float), found)[1].sum()) for b in batches)
+        yield pd.DataFrame({"cost": [total]})
+
+    for round_ in range(OVERSAMPLING_ROUNDS):
+        total = points.mapInPandas(cost, "cost double").agg(F.sum("cost")).first()[0]
+        if not total:
+            break
+
+        def draw(batches: Iterator[pd.DataFrame], total=total, round_=round_) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                x = b[list(names)].to_numpy(dtype=float)
+                # another fraction of the same hash for every round
+                chance = (b["draw"].to_numpy() * float(7919 ** (round_ + 1))) % 1.0
+                yield b[list(names)][chance < OVERSAMPLE * _nearest(x, found)[1] / total]
+
+        rows = points.mapInPandas(draw, ", ".join(f"{n} double" for n in names)).toPandas()
+        found = np.unique(np.vstack([found, rows.to_numpy(dtype=float)]), axis=0)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(len(found))
+        for b in batches:
+            n += np.bincount(_nearest(b[list(names)].to_numpy(dtype=float), found)[0], minlength=len(found))
+        yield pd.DataFrame({"i": np.arange(len(found)), "n": n})
+
+    near = points.mapInPandas(count, "i int, n double").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
+    weights = np.zeros(len(found))
+    weights[near["i"].to_numpy()] = near["n"].to_numpy()
+    return found[weights > 0], weights[weights > 0]
+
+
 def _pass(points: DataFrame, names: Sequence[str], fits: Sequence[_Fit]) -> pd.DataFrame:
     """Per model and centre: points, their sums and their squared distances."""
     centers = [f.centers for f in fits]
@@ -117,14 +159,12 @@ def kmeans_restarts(
     draw = X.hash_fraction(F.col(id_col), F.lit(seed))
     points = rows.select(*inputs, draw.alias("draw")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        count = points.count()
-        start = points.where(F.col("draw") < START_POINTS / max(count, 1)) if count > START_POINTS else points
-        pool = start.orderBy("draw", *names).select(*names).toPandas().to_numpy(dtype=float)
+        found, weights = _candidates(points, names) if not points.isEmpty() else (np.zeros((0, len(names))), None)
         fits = []
         for k in ks:
             for attempt in range(n_init):
                 rng = np.random.default_rng([seed, k, attempt])
-                fits.append(_Fit(k, _settle(pool, _spread_start(pool, k, rng))))
+                fits.append(_Fit(k, _settle(found, weights, _spread_start(found, weights, k, rng))))
         coordinates = points.select(*names)
         for _ in range(MAX_PASSES):
             active = [f for f in fits if not f.done]

@@ -54,8 +54,18 @@ def _baskets(spark: SparkSession, sf_dir: str, by_year: bool = False) -> DataFra
     return baskets.basket_features(lines.line_price_features(narrow))
 
 
-def _staged(spark: SparkSession, sf_dir: str, by_year: bool = False) -> DataFrame:
-    return stage(_baskets(spark, sf_dir, by_year), "baskets")
+def _core(spark: SparkSession, sf_dir: str, by_year: bool = False) -> DataFrame:
+    """Receipts without price features: no product median, nothing written, columns pruned."""
+    return baskets.basket_features(_lines(spark, sf_dir, by_year))
+
+
+# What the models and audits of receipts read.
+_MODEL_COLUMNS = ("period", "receipt_id", "basket_value", *schema.MISSION_FEATURES)
+
+
+def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The receipts' columns for models, written once: they are read several times."""
+    return stage(_core(spark, sf_dir).select(*_MODEL_COLUMNS), "receipts")
 
 
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
@@ -73,12 +83,11 @@ def _settled(df: DataFrame, *columns: str) -> DataFrame:
 
 def scan_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the first half of the months March to May 1997."""
-    raw = raw_receipt_lines(spark, sf_dir)
-    day = X.parse_day(F.col("scontrinoData"))
-    wanted = (
-        (F.year(day) == 1997) & F.month(day).between(3, 5) & F.dayofmonth(day).between(1, 15)
-    )
-    return lines.normalize_lines(raw.where(wanted)).select(
+    day = F.col("o_orderdate")
+    # the range reaches the files; the days are left to a filter
+    wanted = (day >= F.lit("1997-03-01").cast("date")) & (day < F.lit("1997-06-01").cast("date"))
+    raw = raw_receipt_lines(spark, sf_dir, wanted=wanted & F.dayofmonth(day).between(1, 15))
+    return lines.normalize_lines(raw).select(
         "receipt_id", "product_id", "line_total", "weight", "store_id", "date_str", "cashier_id"
     ).withColumn("line_total", X.as_double(F.col("line_total")))
 
@@ -140,24 +149,24 @@ def canonical_features_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validate_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(baskets.validate_metrics(_baskets(spark, sf_dir)), 4, "total", "avg")
+    return _rounded(baskets.validate_metrics(_core(spark, sf_dir)), 4, "total", "avg")
 
 
 def mission_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return missions.flag_bulk(_baskets(spark, sf_dir)).select(
+    return missions.flag_bulk(_core(spark, sf_dir)).select(
         "receipt_id", "basket_size", "basket_value_per_item", "shopping_mission"
     )
 
 
 def mission_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = missions.assign_missions(_baskets(spark, sf_dir), GIVEN_MODEL, "raw")
+    named = missions.assign_missions(_core(spark, sf_dir), GIVEN_MODEL, "raw")
     return named.withColumn("cluster", GIVEN_MODEL.cluster()).select(
         "receipt_id", "cluster", "shopping_mission"
     )
 
 
 def _insights(spark: SparkSession, sf_dir: str, by_year: bool) -> DataFrame:
-    named = missions.assign_missions(_baskets(spark, sf_dir, by_year), GIVEN_MODEL, "raw")
+    named = missions.assign_missions(_core(spark, sf_dir, by_year), GIVEN_MODEL, "raw")
     return _rounded(missions.mission_insights(named), 2, "total_mission_revenue")
 
 
@@ -181,7 +190,7 @@ def standardized_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def centroid_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names the mean receipt of each store and basket size."""
-    centers = _baskets(spark, sf_dir).groupBy("store_id", "basket_size").agg(
+    centers = _core(spark, sf_dir).groupBy("store_id", "basket_size").agg(
         F.count(F.lit(1)).alias("receipts"),
         F.round(F.avg("basket_value_per_item"), 4).alias("item_value"),
         F.round(F.avg("freshness_weight_ratio"), 6).alias("fresh_ratio"),
@@ -238,7 +247,7 @@ def consensus_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(selection.vif(_baskets(spark, sf_dir)), 6, "vif")
+    return _rounded(selection.vif(_core(spark, sf_dir)), 6, "vif")
 
 
 def anomaly_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,7 +259,10 @@ def anomaly_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cashier_sweethearting(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = "cashier_sweethearting_z_score"
-    out = audits.tag_cashier_sweethearting(_staged(spark, sf_dir)).select(
+    receipts = stage(
+        _baskets(spark, sf_dir).select("period", "receipt_id", "cashier_id", "basket_value", "discount_ratio"), "discounts"
+    )
+    out = audits.tag_cashier_sweethearting(receipts).select(
         "receipt_id", "cashier_id", z, "cashier_sweethearting_anomaly_score"
     )
     return _rounded(out, 6, z)

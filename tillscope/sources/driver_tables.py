@@ -8,17 +8,20 @@ from pyspark.sql import functions as F
 ALL = "ALL"
 
 
-def raw_receipt_lines(spark: SparkSession, sf_dir: str, period: Column | None = None) -> DataFrame:
+def raw_receipt_lines(
+    spark: SparkSession, sf_dir: str, period: Column | None = None, wanted: Column | None = None
+) -> DataFrame:
     """``lineitem`` joined with ``orders``, in the raw point-of-sale columns.
 
-    ``period`` may use the order columns; by default there is one period. Both
-    tables grow together, so the join is left to a shuffle on the order key.
+    ``period`` may use the order columns; by default there is one period. ``wanted``
+    picks orders, before the join. Both tables grow together, so the join is left to a shuffle on the order key.
     """
     period = F.lit(ALL) if period is None else period
     key, customer = F.col("o_orderkey"), F.col("o_custkey")
     text = lambda c, width: F.lpad(c.cast("string"), width, "0")
     # what belongs to the receipt is worked out once per order, before the join
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+    picked = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = (picked if wanted is None else picked.where(wanted)).select(
         "o_orderkey",
         F.concat(F.lit("S"), (customer % 10).cast("string")).alias("negozioCodice"),
         F.date_format("o_orderdate", "yyyyMMdd").alias("scontrinoData"),
