@@ -58,7 +58,7 @@ def line_calendar(lines: DataFrame) -> DataFrame:
                 "hour_of_day": X.hour_prefix(F.col("time_str")),
                 "selfScanning": F.when(scan == "Y", 1).when(scan == "N", 0).cast("byte"),
                 "store_numeric": X.md5_bucket(F.col("store_id"), 1000),
-                "weight": F.coalesce(X.as_double(F.col("weight")), F.lit(0.0)),
+                "weight": X.finite_or(F.col("weight"), 0.0),
             }
         )
         .withColumns(

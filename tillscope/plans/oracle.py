@@ -93,6 +93,21 @@ baskets AS (
   FROM summed
 )"""
 
+# The lines with missing and malformed values.
+_DIRTY = _LINES.replace("lines AS (", "clean AS (") + """,
+lines AS (
+  SELECT * REPLACE (
+    CASE WHEN CAST(product_id AS INTEGER) % 12 = 0 THEN CAST('nan' AS DOUBLE)
+      WHEN CAST(product_id AS INTEGER) % 20 <> 0 THEN weight END AS weight,
+    CASE WHEN CAST(product_id AS INTEGER) % 5 <> 0 THEN cashier_id END AS cashier_id,
+    CASE WHEN CAST(product_id AS INTEGER) % 6 <> 0 THEN payment_method_code END AS payment_method_code,
+    CASE WHEN CAST(product_id AS INTEGER) % 7 = 0 THEN 'bad'
+      WHEN CAST(product_id AS INTEGER) % 11 <> 0 THEN date_str END AS date_str,
+    CASE WHEN CAST(product_id AS INTEGER) % 9 = 0 THEN 'xx:yy'
+      WHEN CAST(product_id AS INTEGER) % 13 <> 0 THEN time_str END AS time_str
+  ) FROM clean
+)"""
+
 _ALL = "'ALL'"
 _YEAR = "CAST(year(o_orderdate) AS VARCHAR)"
 
@@ -351,6 +366,51 @@ ORACLE_SQL: dict[str, str] = {
         FROM lines GROUP BY period""",
         *_L,
     ),
+    "dirty_time_quality": _with(
+        """ SELECT period, count(*) AS line_count,
+          count(*) FILTER (WHERE time_str IS NOT NULL
+            AND TRY_CAST(substr(time_str, 1, 2) AS INTEGER) IS NULL) AS bad_time_count,
+          count(*) FILTER (WHERE date_str IS NOT NULL
+            AND try_strptime(date_str, '%Y%m%d') IS NULL) AS bad_date_count,
+          count(*) FILTER (WHERE time_str IS NULL) AS missing_time_count,
+          count(*) FILTER (WHERE date_str IS NULL) AS missing_date_count
+        FROM lines GROUP BY period""",
+        _DIRTY,
+    ),
+    "dirty_receipts": _with(
+        """, whole AS (
+          SELECT receipt_id, count(*) AS basket_size,
+            bool_or(isfinite(weight) AND weight > 0) IS TRUE AS has_fresh_produce,
+            coalesce(sum(weight) FILTER (WHERE isfinite(weight) AND weight > 0), 0.0) AS fresh_weight_sum,
+            coalesce(sum(weight) FILTER (WHERE isfinite(weight)), 0.0) AS total_weight,
+            CAST(coalesce(sum(line_total) FILTER (WHERE isfinite(weight) AND weight > 0), 0) AS DOUBLE)
+              AS fresh_value_sum,
+            first(cashier_id ORDER BY date_str NULLS LAST, time_str NULLS LAST, cashier_id)
+              FILTER (WHERE cashier_id IS NOT NULL) AS cashier_id,
+            min(store_id) AS store_id,
+            first(time_str ORDER BY date_str NULLS LAST, time_str NULLS LAST)
+              FILTER (WHERE time_str IS NOT NULL) AS time_str,
+            first(date_str ORDER BY date_str NULLS LAST, time_str NULLS LAST)
+              FILTER (WHERE date_str IS NOT NULL) AS date_str
+          FROM lines GROUP BY receipt_id
+        )
+        SELECT * EXCLUDE (time_str, date_str), TRY_CAST(substr(time_str, 1, 2) AS INTEGER) AS hour_of_day,
+          CAST(isodow(try_strptime(date_str, '%Y%m%d')) IN (6, 7) AS TINYINT) AS is_weekend
+        FROM whole""",
+        _DIRTY,
+    ),
+    "dirty_cashier_receipts": _with(
+        """ SELECT period, cashier_id, receipt_id, CAST(sum(line_total) AS DOUBLE) AS receipt_value,
+          CAST(sum(CAST(is_item_void AS INTEGER)) AS BIGINT) AS void_items_count,
+          max(CAST(is_abort AS INTEGER)) AS was_aborted,
+          first(payment_method_code ORDER BY date_str NULLS LAST, time_str NULLS LAST, payment_method_code)
+            FILTER (WHERE payment_method_code IS NOT NULL) AS pay_code
+        FROM lines GROUP BY period, cashier_id, receipt_id""",
+        _DIRTY,
+    ),
+    "dirty_produce": _with(
+        _PRODUCE.replace("WHERE weight > 0", "WHERE isfinite(weight) AND weight > 0"), _DIRTY
+    ),
     "standard_price": _with(
         """ SELECT period, product_id, priced_lines, CAST(standard AS DOUBLE) AS "Standard_Price"
         FROM prices""",

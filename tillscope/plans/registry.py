@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillscope import schema
@@ -114,6 +114,44 @@ def time_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.time_quality(_lines(spark, sf_dir))
 
 
+def _dirty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines with missing and malformed values, by remainders of the product number."""
+    product = F.col("product_id").cast("int")
+
+    def spoilt(column: str, absent: int, bad: int | None = None, value: object = None) -> Column:
+        out = F.when(product % absent != 0, F.col(column))
+        return out if bad is None else F.when(product % bad == 0, F.lit(value)).otherwise(out)
+
+    return _lines(spark, sf_dir).withColumns(
+        {
+            "weight": spoilt("weight", 20, 12, float("nan")),
+            "cashier_id": spoilt("cashier_id", 5),
+            "payment_method_code": spoilt("payment_method_code", 6),
+            "date_str": spoilt("date_str", 11, 7, "bad"),
+            "time_str": spoilt("time_str", 13, 9, "xx:yy"),
+        }
+    )
+
+
+def dirty_time_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.time_quality(_dirty_lines(spark, sf_dir))
+
+
+def dirty_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return baskets.basket_features(_dirty_lines(spark, sf_dir)).select(
+        "receipt_id", "basket_size", "has_fresh_produce", "fresh_weight_sum", "total_weight",
+        "fresh_value_sum", "cashier_id", "store_id", "hour_of_day", "is_weekend",
+    )
+
+
+def dirty_cashier_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audits.cashier_receipts(_dirty_lines(spark, sf_dir))
+
+
+def dirty_produce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audits.produce_weighing_errors(_dirty_lines(spark, sf_dir))
+
+
 def standard_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.standard_price(_lines(spark, sf_dir))
     return out.withColumn("Standard_Price", X.as_double(F.col("Standard_Price")))
@@ -361,6 +399,10 @@ QUERIES: dict[str, Query] = {
     "normalize_lines": normalize_lines,
     "line_calendar": line_calendar,
     "time_quality": time_quality,
+    "dirty_time_quality": dirty_time_quality,
+    "dirty_receipts": dirty_receipts,
+    "dirty_cashier_receipts": dirty_cashier_receipts,
+    "dirty_produce": dirty_produce,
     "standard_price": standard_price,
     "line_price_features": line_price_features,
     "lines_per_receipt": lines_per_receipt,
