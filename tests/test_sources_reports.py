@@ -58,29 +58,28 @@ def test_scan_reads_branches_and_all_areas(spark, layout):
         receipts.scan_period(spark, root, 1999, 4)
 
 
-MESSY = (
-    "id;product;price;date\n1;Apple;0.50;2024-01-01\n2;Banana;0.30;2024-01-02\n"
-    "ERROR_ROW_HERE;No;Data\n3;Cherry;0.75;2024-01-03;EXTRA\n4;Date;FREE;2024-01-04\n"
+RAGGED = "\n".join(
+    ["code;label;amount;day", "7;soap;1.20;2025-05-01", "8;plums", "9;rope;2,x;2025-05-02", "10;tea;3;2025-05-03;late;later"]
 )
 
 
 def test_messy_csv(spark, tmp_path):
-    (tmp_path / "messy.csv").write_text(MESSY)
+    (tmp_path / "ragged.csv").write_text(RAGGED + "\n")
     df = receipts.read_receipts(spark, str(tmp_path))
-    assert df.columns == ["id", "product", "price", "date"] and df.count() == 5
-    typed = receipts.read_csv(spark, str(tmp_path), "id string, product string, price double, date string")
-    prices = {r["product"]: r["price"] for r in typed.collect()}
-    assert prices == {"Apple": 0.5, "Banana": 0.3, "No": None, "Cherry": 0.75, "Date": None}
+    assert df.columns == ["code", "label", "amount", "day"] and df.count() == 4
+    typed = receipts.read_csv(spark, str(tmp_path), "code string, label string, amount double, day string")
+    amounts = {r["label"]: r["amount"] for r in typed.collect()}
+    assert amounts == {"soap": 1.2, "plums": None, "rope": None, "tea": 3.0}
 
 
 def test_parquet_wins_over_csv(spark, tmp_path):
-    (tmp_path / "messy.csv").write_text(MESSY)
-    spark.createDataFrame([(1, "Mock Item", 10.5)], "id int, product string, price double").write.parquet(
+    (tmp_path / "ragged.csv").write_text(RAGGED + "\n")
+    spark.createDataFrame([(3, 0.25)], "code int, amount double").write.parquet(
         str(tmp_path / "part")
     )
     df = receipts.read_receipts(spark, str(tmp_path / "part"))
-    assert df.columns == ["id", "product", "price"] and df.count() == 1
-    assert receipts.read_receipts(spark, str(tmp_path / "*.csv"), fmt="csv").count() == 5
+    assert df.columns == ["code", "amount"] and df.count() == 1
+    assert receipts.read_receipts(spark, str(tmp_path / "*.csv"), fmt="csv").count() == 4
     with pytest.raises(FileNotFoundError, match="nothing"):
         receipts.read_receipts(spark, str(tmp_path / "nothing"))
 
