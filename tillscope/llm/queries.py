@@ -125,7 +125,93 @@ QUERIES: dict[str, Query] = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op6_decontamination": rf"""
+        WITH doc AS (
+            SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ),
+        item AS (
+            SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark WHERE item_id IS NOT NULL
+        ),
+        places AS (
+            SELECT item_id, w, least(13, len(w)) AS n, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS i
+            FROM item WHERE len(w) > 0
+        ),
+        phrases AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM places),
+        starts AS (
+            SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i
+            FROM doc, (SELECT DISTINCT n FROM phrases) WHERE len(w) >= n
+        ),
+        hits AS (
+            SELECT doc_id, i, d.n, item_id
+            FROM (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM starts) d
+            JOIN phrases p ON p.k = d.k AND p.n = d.n
+        ),
+        covered AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit
+            FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM hits) GROUP BY doc_id
+        ),
+        found AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+        )
+        SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+               coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+    """,
+    "op8_substring_dedup": r"""
+        WITH doc AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ),
+        windows AS (
+            SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k
+            FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS i FROM doc WHERE len(w) >= 20)
+        ),
+        repeats AS (
+            SELECT doc_id, i FROM windows
+            QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1
+        ),
+        gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 19)) AS p FROM repeats),
+        words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM doc),
+        kept AS (
+            SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text
+            FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+        )
+        SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+               sha256(coalesce(text, '')) AS kept_sha256
+        FROM doc LEFT JOIN kept USING (doc_id)
+    """,
+    "op10_jaccard_join": rf"""
+        WITH RECURSIVE doc AS (
+            SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+        ),
+        shingles AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS k
+            FROM (
+                SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS i FROM doc WHERE len(w) > 0
+            )
+        ),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        links AS (
+            SELECT x, y
+            FROM (
+                SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared
+                FROM shingles a JOIN shingles b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL
+            ) JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y
+            WHERE 100 * shared >= 85 * (s.n + t.n - shared)
+        ),
+        reach AS (
+            SELECT doc_id, doc_id AS root FROM doc
+            UNION
+            SELECT y, root FROM reach JOIN links ON x = doc_id
+        )
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, min(root) AS component_id
+        FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, n
+    """,
     "op2_quote_linking": r"""
         WITH RECURSIVE messages AS (
             SELECT conv_id AS conv, turn, first(role ORDER BY coalesce(role, ''), coalesce(text, '')) AS role,
