@@ -156,3 +156,14 @@ def test_mission_report_labels(spark):
     got = QUERIES["report_missions"](spark, SF)
     labels = {r[0] for r in got.select("`Missione Spesa`").collect()}
     assert labels and all("Trip" not in name for name in labels)
+
+
+def test_scratch_can_be_cleared(spark):
+    from tillscope import session
+
+    before = session._staged.pop(spark.sparkContext.applicationId, [])
+    staged = session.stage(spark.range(3), "kept")
+    (folder,) = session._staged[spark.sparkContext.applicationId]
+    assert staged.count() == 3 and os.path.isdir(folder.removeprefix("file://"))
+    assert session.clear_scratch(spark) == 1 and not os.path.exists(folder.removeprefix("file://"))
+    session._staged[spark.sparkContext.applicationId] = before
