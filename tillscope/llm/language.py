@@ -18,8 +18,9 @@ from tillscope.llm.words import pieces, text_bytes
 
 #: Hashed byte pairs and triples of a text.
 CELLS = 1024
-#: Rows of each language that the machines are fitted on, those of the smallest hash.
-ROWS_PER_LANGUAGE = 2000
+#: Rows of each language that the machines are fitted on, those of the smallest hash. (Up to 1,000 Spark
+#: ranks inside each partition first, so a language with most rows gathers nowhere.)
+ROWS_PER_LANGUAGE = 1000
 UNKNOWN = "und"
 
 # Languages of the larger families; any other language is a family of its own.
