@@ -29,6 +29,13 @@ lines AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 )"""
 
+def _mean(column: str, count: str, unit: int) -> str:
+    """A mean of whole numbers of ``unit`` parts, rounded to four digits, half up, in whole numbers."""
+    total = f"CAST(round({column} * {count} * CAST({unit} AS DOUBLE)) AS BIGINT)"
+    up = f"((abs({total}) * 20000 + {count} * {unit}) // ({count} * {2 * unit}))"
+    return f"sign({total}) * CAST({up} AS DOUBLE) / CAST(10000 AS DOUBLE) AS {column}"
+
+
 # Exact median of a column per group: the mean of the two middle rows.
 _PRICES = """,
 ranked AS (
@@ -75,8 +82,8 @@ summed AS (
 baskets AS (
   SELECT period, receipt_id, basket_value, basket_size, has_fresh_produce, discounted_item_count,
     fresh_weight_sum, total_weight, total_voids, void_value, fresh_value_sum,
-    round(avg_basket_unit_price + 3e-6, 4) AS avg_basket_unit_price,
-    round(avg_price_delta_per_basket + 3e-6, 4) AS avg_price_delta_per_basket,
+    {unit_price},
+    {price_delta},
     hour_of_day,
     CAST(isodow(order_day) IN (6, 7) AS TINYINT) AS is_weekend,
     CAST('0x' || substr(md5(store_id), 1, 8) AS BIGINT) % 1000 AS store_numeric,
@@ -91,7 +98,16 @@ baskets AS (
     fresh_value_sum / (basket_value + CAST(0.000001 AS DOUBLE)) AS freshness_value_ratio,
     void_value / (basket_value + void_value + CAST(0.000001 AS DOUBLE)) AS leakage_pct
   FROM summed
-)"""
+)""".replace("{unit_price}", _mean("avg_basket_unit_price", "basket_size", 1_000_000)).replace(
+    "{price_delta}", _mean("avg_price_delta_per_basket", "basket_size", 200)
+)
+
+_FINGERPRINT_MEANS = ", ".join(
+    _mean(column, "total_transactions", unit)
+    for column, unit in (
+        ("avg_transaction_value", 100), ("void_rate_per_receipt", 1), ("abort_rate", 1), ("cash_reliance_ratio", 1),
+    )
+)
 
 # The lines with missing and malformed values.
 _DIRTY = _LINES.replace("lines AS (", "clean AS (") + """,
@@ -228,10 +244,7 @@ risks AS (
   FROM fingerprints WINDOW p AS (PARTITION BY period)
 )"""
 
-_SHOWN_RISKS = """ SELECT period, cashier_id, total_transactions,
-  round(avg_transaction_value + 3e-6, 4) AS avg_transaction_value,
-  round(void_rate_per_receipt + 3e-6, 4) AS void_rate_per_receipt,
-  round(abort_rate + 3e-6, 4) AS abort_rate, round(cash_reliance_ratio + 3e-6, 4) AS cash_reliance_ratio,
+_SHOWN_RISKS = f""" SELECT period, cashier_id, total_transactions, {_FINGERPRINT_MEANS},
   round(risk, 6) AS risk_score
 FROM risks"""
 
@@ -554,10 +567,7 @@ ORACLE_SQL: dict[str, str] = {
         _FINGERPRINTS,
     ),
     "cashier_fingerprint": _with(
-        """ SELECT period, cashier_id, total_transactions,
-          round(avg_transaction_value + 3e-6, 4) AS avg_transaction_value,
-          round(void_rate_per_receipt + 3e-6, 4) AS void_rate_per_receipt,
-          round(abort_rate + 3e-6, 4) AS abort_rate, round(cash_reliance_ratio + 3e-6, 4) AS cash_reliance_ratio
+        f""" SELECT period, cashier_id, total_transactions, {_FINGERPRINT_MEANS}
         FROM fingerprints""",
         *_L,
         _FINGERPRINTS,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,13 +72,21 @@ def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def _settled(df: DataFrame, *columns: str) -> DataFrame:
-    """Rounds means to four digits, a little off the half-way points.
+def _settled(df: DataFrame, count: str, units: Mapping[str, int]) -> DataFrame:
+    """Means rounded to four digits, half up, in whole numbers.
 
-    Means of prices often end exactly half-way, where the last bit of a sum,
-    and so the order of adding, would decide.
+    Means of prices often end exactly half-way, where the last bit of a sum of
+    doubles, and so the order of adding, would decide. A unit says of how many parts of
+    one the summed values are whole numbers; the sum in these parts is one too.
     """
-    return df.withColumns({c: F.round(F.col(c) + 3e-6, 4) for c in columns})
+    n = F.col(count).cast("long")
+
+    def rounded(column: str, unit: int) -> Column:
+        total = F.round(F.col(column) * n * F.lit(float(unit))).cast("long")
+        up = F.floor((F.abs(total) * 20_000 + n * unit).cast("decimal(38,0)") / (n * (2 * unit)).cast("decimal(20,0)"))
+        return F.signum(total.cast("double")) * up / F.lit(1e4)
+
+    return df.withColumns({c: rounded(c, unit) for c, unit in units.items()})
 
 
 def scan_period(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,15 +183,16 @@ def lines_per_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.lines_per_receipt(_lines(spark, sf_dir))
 
 
-_BASKET_MEANS = ("avg_basket_unit_price", "avg_price_delta_per_basket")
+# Prices by weight are no whole cents; a millionth is as near as doubles allow.
+_BASKET_MEANS = {"avg_basket_unit_price": 1_000_000, "avg_price_delta_per_basket": 200}
 
 
 def canonical_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _settled(_baskets(spark, sf_dir), *_BASKET_MEANS)
+    return _settled(_baskets(spark, sf_dir), "basket_size", _BASKET_MEANS)
 
 
 def canonical_features_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _settled(_baskets(spark, sf_dir, by_year=True), *_BASKET_MEANS)
+    return _settled(_baskets(spark, sf_dir, by_year=True), "basket_size", _BASKET_MEANS)
 
 
 def validate_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,14 +351,14 @@ def cashier_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.cashier_receipts(_lines(spark, sf_dir))
 
 
-_FINGERPRINT_MEANS = (
-    "avg_transaction_value", "void_rate_per_receipt", "abort_rate", "cash_reliance_ratio",
-)
+_FINGERPRINT_MEANS = {
+    "avg_transaction_value": 100, "void_rate_per_receipt": 1, "abort_rate": 1, "cash_reliance_ratio": 1,
+}
 
 
 def cashier_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = audits.cashier_fingerprint(_lines(spark, sf_dir))
-    return _settled(out, *_FINGERPRINT_MEANS)
+    return _settled(out, "total_transactions", _FINGERPRINT_MEANS)
 
 
 def _risks(spark: SparkSession, sf_dir: str, by_year: bool = False) -> DataFrame:
@@ -357,7 +366,7 @@ def _risks(spark: SparkSession, sf_dir: str, by_year: bool = False) -> DataFrame
 
 
 def _shown_risks(risks: DataFrame) -> DataFrame:
-    return _rounded(_settled(risks, *_FINGERPRINT_MEANS), 6, "risk_score")
+    return _rounded(_settled(risks, "total_transactions", _FINGERPRINT_MEANS), 6, "risk_score")
 
 
 def behavioral_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
