@@ -15,8 +15,10 @@ from tillscope.session import stage
 
 #: Rows that the tree is fitted on, those of the smallest hash; every row is indexed.
 SAMPLE_ROWS = 20_000
-#: Children of a node, rows that a leaf should hold, and sampled rows that it needs.
-BRANCHES, LEAF_ROWS, LEAF_SAMPLE = 8, 256, 8
+#: Most children of a node, and sampled rows that a leaf needs.
+BRANCHES, LEAF_SAMPLE = 8, 8
+#: A leaf should hold so large a power of the number of rows: what leaves answer grows slower than the rows.
+LEAF_POWER = 0.7
 #: Recall to reach on the calibrating queries, and how many they are.
 RECALL, CALIBRATING = 0.97, 256
 #: Rows of either side of a block that one task compares.
@@ -89,7 +91,7 @@ def grow(sample: np.ndarray, leaf_sample: int) -> Tree:
         tree.children.append([])
         tree.leaf.append(-1)
         if len(rows) > leaf_sample:
-            centers, of = _k_means(sample[rows], BRANCHES, rng)
+            centers, of = _k_means(sample[rows], min(BRANCHES, -(-len(rows) // leaf_sample)), rng)
             used = np.unique(of)
             if len(used) > 1:
                 tree.centers[me] = centers[used]
@@ -239,7 +241,7 @@ def search(
     n = few.count()
     sample = few.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("v").toArrow().combine_chunks()
     points = _matrix(sample["v"].combine_chunks() if isinstance(sample["v"], pa.ChunkedArray) else sample["v"])
-    tree = grow(points, max(LEAF_SAMPLE, len(points) * LEAF_ROWS // max(n, 1)))
+    tree = grow(points, max(LEAF_SAMPLE, int(len(points) * n**LEAF_POWER / max(n, 1))))
     index = stage(_indexed(few, tree), "leaves")
     size = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}
 
