@@ -67,6 +67,23 @@ def test_toxicity_finds_roots_of_words(spark):
     assert got.count() == 400 + len(ODD) and got.where("score is null or score < 0 or score > 1").count() == 0
 
 
+def test_toxicity_scores_keep_the_share_beyond_the_bound(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for i in range(1500):
+        bad = i % 10 == 0
+        words = ["".join(rng.choice(["ka", "lo", "mi", "tu"], 3)) for _ in range(10)]
+        # the root stands in nearly half of the ordinary texts too
+        words[0] = "zyxwug" if bad or rng.random() < 0.45 else words[0]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    docs, table = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    for bound in (20_000, 150):  # all rows; all toxic ones and a ninth of the others
+        monkeypatch.setattr(toxicity, "ROWS_PER_CLASS", bound)
+        got = toxicity.score_documents(docs, table, learn=F.lit(True))
+        assert got.agg(F.avg("score")).first()[0] == pytest.approx(0.1, abs=0.05), bound
+
+
 def test_toxicity_without_two_classes(spark):
     one = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
     for labels in (one, one.limit(0)):

@@ -107,14 +107,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def calibrated(features: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Weights of a ridge logistic regression, by Newton's method."""
+def calibrated(features: np.ndarray, label: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Weights of a ridge logistic regression, by Newton's method; ``rows`` says how many each row stands for."""
     x = np.column_stack([np.ones(len(features)), features])
     w = np.zeros(x.shape[1])
     ridge = np.diag([1e-3, *[1e-2] * features.shape[1]])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (label - p) - ridge @ w)
+        curve = (x * (rows * p * (1 - p))[:, None]).T @ x
+        step = np.linalg.solve(curve + ridge, x.T @ (rows * (label - p)) - ridge @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -122,15 +123,26 @@ def calibrated(features: np.ndarray, label: np.ndarray) -> np.ndarray:
 
 
 def _chosen(labels: DataFrame, key: str, label: str, learn: Column) -> DataFrame:
-    """Keys and labels of at most so many rows of each class, those of the smallest hash."""
+    """Keys and labels of at most so many rows of each class, those of the smallest hash.
+
+    ``stands_for`` is how many labelled rows of its class, over all rows, each one taken stands for.
+    """
     rows = (
         labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & learn)
         .groupBy(F.col(key).alias("id"))
         .agg(F.max(label).alias("label"))
         .withColumn("h", F.xxhash64("id"))
     )
-    sides = [rows.where(F.col("label") == c).orderBy("h", "id").limit(ROWS_PER_CLASS) for c in (0, 1)]
-    return sides[0].union(sides[1]).select("id", "label", (F.pmod("h", F.lit(CALIBRATE)) == 0).alias("calibrates"))
+    count = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    sides = [
+        rows.where(F.col("label") == c)
+        .orderBy("h", "id")
+        .limit(ROWS_PER_CLASS)
+        .withColumn("stands_for", F.lit(max(count.get(c, 0) / ROWS_PER_CLASS, 1.0)))
+        for c in (0, 1)
+    ]
+    calibrates = (F.pmod("h", F.lit(CALIBRATE)) == 0).alias("calibrates")
+    return sides[0].union(sides[1]).select("id", "label", "stands_for", calibrates)
 
 
 def _class_counts(labelled: DataFrame) -> DataFrame:
@@ -210,7 +222,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     The class counts come from a bounded sample of labelled rows (``ROWS_PER_CLASS`` of each class)
     and keep ``MOST_GRAMS`` expressions, so the model may be broadcast. Both classes share
     one backoff distribution, the continuation counts: in how many distinct words
-    of all documents an expression stands.
+    of all documents an expression stands. Calibrating rows count for all labelled rows of their
+    class, so a score means the same whether or not the sample's bound is reached.
     """
     chosen = F.broadcast(_chosen(labels, key, label, learn))
     labelled = docs.join(chosen, "id")
@@ -238,9 +251,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
         # an expression that no labelled row has backs off in both classes
         float(np.log(side["toxic"][0]) - np.log(side["ordinary"][0])),
     )
-    held = _scored(labelled.where("calibrates").select("id", "text", "label"), model, "label").toPandas()
+    held = labelled.where("calibrates").select("id", "text", "label", "stands_for")
+    held = _scored(held, model, "label", "stands_for").toPandas()
     if held["label"].nunique() == 2:
-        model.weights = calibrated(held[FEATURES].to_numpy(), held["label"].to_numpy().astype(float))
+        label = held["label"].to_numpy().astype(float)
+        model.weights = calibrated(held[FEATURES].to_numpy(), label, held["stands_for"].to_numpy())
     else:
         # no row of one class to calibrate on: evidence of about 150 to 1 is even odds
         model.weights = np.array([-5.0, 1.0, 0.0, 0.0])
