@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from conftest import rows_of
 from tillscope import schema
 from tillscope.operators import missions, outliers, selection
+from tillscope.functions import exprs as X
+from tillscope.operators import clusters
 from tillscope.operators.clusters import kmeans_restarts
 from tillscope.operators.missions import MissionModel
 
@@ -91,6 +93,19 @@ def test_kmeans_cost_is_that_of_its_centres(trips):
     assert cost == pytest.approx(((v[:, None] - centers[:, 0]) ** 2).min(axis=1).sum(), rel=1e-9)
 
 
+def test_kmeans_candidates_stay_few(spark):
+    rows = spark.range(100_000)
+    points = rows.select(
+        X.hash_fraction(F.col("id"), F.lit(1)).alias("x0"),
+        X.hash_fraction(F.col("id"), F.lit(2)).alias("x1"),
+        X.hash_fraction(F.col("id"), F.lit(3)).alias("draw"),
+    )
+    found, weights = clusters._candidates(points, ["x0", "x1"])
+    expected = clusters.OVERSAMPLING_ROUNDS * clusters.OVERSAMPLE
+    assert 0.8 * expected < len(found) < 1.2 * expected
+    assert weights.sum() == 100_000
+
+
 def test_elbow(spark, trips):
     curve = missions.elbow_curve(trips, max_k=5, n_init=3).toPandas()
     assert list(curve["k"]) == [2, 3, 4, 5] and curve["wcss"].is_monotonic_decreasing

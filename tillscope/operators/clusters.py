@@ -95,14 +95,14 @@ def _candidates(points: DataFrame, names: Sequence[str]) -> tuple[np.ndarray, np
         if not total:
             break
 
-        def draw(batches: Iterator[pd.DataFrame], total=total, round_=round_) -> Iterator[pd.DataFrame]:
+        def draw(batches: Iterator[pd.DataFrame], total=total) -> Iterator[pd.DataFrame]:
             for b in batches:
                 x = b[list(names)].to_numpy(dtype=float)
-                # another fraction of the same hash for every round
-                chance = (b["draw"].to_numpy() * float(7919 ** (round_ + 1))) % 1.0
-                yield b[list(names)][chance < OVERSAMPLE * _nearest(x, found)[1] / total]
+                yield b[list(names)][b["chance"].to_numpy() < OVERSAMPLE * _nearest(x, found)[1] / total]
 
-        rows = points.mapInPandas(draw, ", ".join(f"{n} double" for n in names)).toPandas()
+        # every round has a hash of its own
+        drawn = points.withColumn("chance", X.hash_fraction(F.col("draw"), F.lit(round_)))
+        rows = drawn.mapInPandas(draw, ", ".join(f"{n} double" for n in names)).toPandas()
         found = np.unique(np.vstack([found, rows.to_numpy(dtype=float)]), axis=0)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
