@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm.helpers import ODD, documents
 from tillscope.llm import language, queries, toxicity
+from tillscope.llm.words import ALNUM_LOWER, words_of
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -84,6 +85,18 @@ def test_toxicity_scores_keep_the_share_beyond_the_bound(spark, monkeypatch):
         assert got.agg(F.avg("score")).first()[0] == pytest.approx(0.1, abs=0.05), bound
 
 
+def test_toxicity_knows_every_expression_of_the_learning_rows(spark):
+    letters = np.random.default_rng(6).integers(97, 123, (200, 500, 20), np.uint8)
+    rows = [(i, " ".join(bytes(word).decode() for word in text)) for i, text in enumerate(letters)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    docs = documents(spark, rows).select(F.col("doc_id").alias("id"), "text")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    chosen = toxicity._chosen(labels, "doc_id", "toxic", F.lit(True)).where("not calibrates").collect()
+    words = words_of(pa.array([rows[r.id][1] for r in chosen]), ALNUM_LOWER)
+    short = np.unique(toxicity.word_grams(words, np.arange(len(words.hashes)))[0])
+    assert len(short) > 1 << 20 and np.isin(short, model.grams).all()
+
+
 def test_toxicity_without_two_classes(spark):
     one = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
     for labels in (one, one.limit(0)):

@@ -17,9 +17,8 @@ from tillscope.llm.words import ALNUM_LOWER, Words, pieces, signed, window_hashe
 #: A long one that too few labelled rows have backs off to the short one at the same place.
 GRAM, LONG_GRAM = 5, 8
 LEAST_ROWS = 2
-#: Labelled rows that the class models and the calibration use, of each class, and most expressions kept.
+#: Labelled rows that the class models and the calibration use, of each class.
 ROWS_PER_CLASS = 20_000
-MOST_GRAMS = 1 << 20
 #: One labelled row in so many calibrates; the others are counted.
 CALIBRATE = 4
 DISCOUNT = 0.75
@@ -220,15 +219,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     """Fits on ``docs`` (id, text) and on the labelled rows for which ``learn`` holds.
 
     The class counts come from a bounded sample of labelled rows (``ROWS_PER_CLASS`` of each class)
-    and keep ``MOST_GRAMS`` expressions, so the model may be broadcast. Both classes share
+    and keep all their expressions; those grow with these rows' texts alone, so the model may be broadcast. Both classes share
     one backoff distribution, the continuation counts: in how many distinct words
     of all documents an expression stands. Calibrating rows count for all labelled rows of their
     class, so a score means the same whether or not the sample's bound is reached.
     """
     chosen = F.broadcast(_chosen(labels, key, label, learn))
     labelled = docs.join(chosen, "id")
-    top = _class_counts(labelled.where("not calibrates")).orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "gram")
-    rows = top.limit(MOST_GRAMS).toArrow().combine_chunks()
+    rows = _class_counts(labelled.where("not calibrates")).select("gram", "toxic", "ordinary").toArrow().combine_chunks()
     grams = rows["gram"].to_numpy().view(np.uint64)
     order = np.argsort(grams)
     grams = grams[order]
