@@ -128,6 +128,25 @@ def test_secrets_against_plain_version(spark):
     assert entropy[4] == ["entropy_base64"] and entropy[5] == []
 
 
+def test_entropy_beside_other_spans_and_words(spark):
+    key = "9fQ2xL7vR4tB8nW3kZ6pT1yH5cJ0mD"
+    digits = "0f1e2d3c4b5a69788796a5b4"
+    uuid = "550e8400-e29b-41d4-a716-446655440000"
+    texts = {
+        f"{key}/token=abcd1234": [(0, 30), (31, 45)],
+        f"abc-{digits}-{key}": [(4, 28), (29, 59)],
+        f"/example/{key}": [(9, 39)],
+        f"{key}-{uuid}": [(0, 30)],
+        f"x {key}example y": [],
+        (key * 3) + "xXxX" + (key * 3): [(0, 184)],
+        f"/{key}": [(0, 31)],
+        "docs/example/some-long/path_of/words": [],
+    }
+    rows = documents(spark, list(enumerate(texts)))
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in secret_scan.find_secrets(rows).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
 def test_entropy_slides(spark):
     rnd = random.Random(2)
     strings = ["".join(rnd.choice("0123456789abcdef") for _ in range(n)) for n in (19, 20, 21, 60)] + ["a" * 30]

@@ -51,14 +51,24 @@ CLASSES = (
     CharacterClass("entropy_base64", _UPPER + _UPPER.lower() + "0123456789+/_=-", 3.8),
 )
 
+_UUID = r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
 #: Strings of high entropy that aren't secrets, as patterns of the whole string.
 ALLOWED = (
     r"[A-Za-z]+",  # long words
     r"[A-Za-z]*[a-z]([/_=-][A-Za-z]*[a-z])+",  # paths and compounds of words
     r"[0-9]+",  # numbers
-    r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUIDs
-    r".*(?i:example|placeholder|changeme|xxxx|0000|abcdef|123456).*",
+    _UUID,
 )
+#: What is no secret inside a longer string: UUIDs, and tokens that hold such a word. Longer tokens hold one by chance.
+LONGEST_TOKEN = 64
+ALLOWED_TOKENS = (
+    r"(?<![A-Za-z0-9])(?:"
+    + _UUID
+    + r"(?![A-Za-z0-9])|(?=[A-Za-z0-9]{1,"
+    + str(LONGEST_TOKEN)
+    + r"}(?![A-Za-z0-9]))[A-Za-z0-9]*?(?i:example|placeholder|changeme|xxxx|0000|abcdef|123456)[A-Za-z0-9]*)"
+)
+_SEPARATORS = "[/+=_-]*"
 
 
 def _matches(text: Column, pattern: str, group: int) -> Column:
@@ -157,17 +167,55 @@ def _class_pattern(letters: str) -> str:
     return "[" + letters.replace("-", "\\-").replace("/", "\\/") + "]{" + str(WINDOW) + ",}"
 
 
+def _pieces(run: Column, base: Column) -> Column:
+    """What is left of a run without the base spans and the allowed tokens in it, and the separators beside these."""
+    ends = "array<struct<start:int,end:int>>"
+    tokens = F.transform(
+        _matches(run["hit"], ALLOWED_TOKENS, 0),
+        lambda t: F.struct((run["start"] + t["start"]).alias("start"), (run["start"] + t["end"]).alias("end")),
+    )
+    inside = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    cuts = F.concat(F.transform(inside, lambda b: F.struct(b["start"], b["end"])), tokens)
+    last = F.struct(run["end"].alias("start"), run["end"].alias("end"))
+    start = F.struct(run["start"].alias("at"), F.array().cast(ends).alias("found"))
+
+    def step(done: Column, cut: Column) -> Column:
+        one = F.struct(done["at"].alias("start"), cut["start"].alias("end"))
+        found = F.when(cut["start"] - done["at"] >= WINDOW, F.concat(done["found"], F.array(one)))
+        return F.struct(
+            F.greatest(done["at"], cut["end"]).alias("at"), F.coalesce(found, done["found"]).alias("found")
+        )
+
+    left = F.aggregate(F.concat(F.array_sort(cuts), F.array(last)), start, step, lambda done: done["found"])
+
+    def trimmed(x: Column) -> Column:
+        hit = F.substring(run["hit"], x["start"] - run["start"] + 1, x["end"] - x["start"])
+        before = F.length(F.regexp_extract(hit, f"^{_SEPARATORS}", 0))
+        after = F.length(F.regexp_extract(hit, f"(?<!{_SEPARATORS[:-1]}){_SEPARATORS}$", 0))
+        # the run's own ends stay as they are
+        first = F.when(x["start"] > run["start"], before).otherwise(0)
+        size = F.length(hit) - first - F.when(x["end"] < run["end"], after).otherwise(0)
+        return F.struct(
+            (x["start"] + first).alias("start"),
+            (x["start"] + first + size).alias("end"),
+            F.substring(hit, first + 1, size).alias("hit"),
+        )
+
+    return F.transform(left, trimmed)
+
+
 def _entropy_spans(text: Column, base: Column, rank: int, one: CharacterClass) -> Column:
-    """Runs of a class with a window of high entropy, not allowed and not inside a base span."""
+    """Pieces of a class's runs, beside base spans, with a window of high entropy and not allowed."""
 
     def keep(x: Column) -> Column:
         allowed = F.lit(False)
         for pattern in ALLOWED:
             allowed = allowed | x["hit"].rlike(f"^(?:{pattern})$")
-        inside = F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        return F.when(allowed | inside, F.lit(False)).otherwise(peak_entropy(x["hit"], one.letters) >= one.bits)
+        high = F.coalesce(peak_entropy(x["hit"], one.letters) >= one.bits, F.lit(False))
+        return F.when(allowed, F.lit(False)).otherwise(high)
 
-    return _as_spans(F.filter(_matches(text, _class_pattern(one.letters), 0), keep), rank, one.name)
+    pieces = F.flatten(F.transform(_matches(text, _class_pattern(one.letters), 0), lambda run: _pieces(run, base)))
+    return _as_spans(F.filter(pieces, keep), rank, one.name)
 
 
 def with_spans(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
@@ -178,7 +226,8 @@ def with_spans(df: DataFrame, text: str = "text", spans: str = "spans") -> DataF
     those too short dropped. Then runs of one character class: a window of ``WINDOW``
     characters slides over each run with counts kept up to date, and a run whose largest Shannon
     entropy reaches the bound of its class is a secret, unless a pattern of ``ALLOWED`` fits
-    it or a span found before overlaps it. A null or empty text has no spans. No shuffle
+    it. Spans found before and ``ALLOWED_TOKENS`` are taken out of a run first, and each piece that is
+    left is judged as a run. A null or empty text has no spans. No shuffle
     and no Python: each row is worked on where it lies.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
