@@ -87,14 +87,28 @@ def stage(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(conf).delete(target, True)
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Deletes the files of a table that ``stage`` wrote; for rounds of a loop whose successor is written."""
+    app = df.sparkSession.sparkContext.applicationId
+    for folder in {os.path.dirname(path) for path in df.inputFiles()}:
+        known = [path for path in _staged.get(app, []) if os.path.basename(path) in folder.split("/")]
+        for path in known:
+            _delete(df.sparkSession, path)
+            _staged[app].remove(path)
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Deletes the tables that ``stage`` wrote in this application; returns how many there were.
 
     For the end of a run: results that still read those tables must be written before.
     """
     paths = _staged.pop(spark.sparkContext.applicationId, [])
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+        _delete(spark, path)
     return len(paths)
