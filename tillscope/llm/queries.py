@@ -4,11 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.llm import bpe, decontaminate, jaccard, language, nearest, quotes, secret_scan, substrings, tokencount, toxicity
+from tillscope.llm import (
+    bpe,
+    centroids,
+    decontaminate,
+    jaccard,
+    language,
+    nearest,
+    quotes,
+    runs,
+    secret_scan,
+    simhash,
+    substrings,
+    tokencount,
+    toxicity,
+)
 from tillscope.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,6 +127,49 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of the vectors around eight centres, exactly, after ten rounds."""
+    order = F.sha2(F.concat(F.lit("3:"), F.col("vec_id").cast("long").cast("string")), 256)
+    found = centroids.cluster_vectors(table(spark, sf_dir, "embeddings"), order)
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return found.select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256")
+    )
+
+
+def planted_loop(seed: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The loop of a tenth of the texts, by a hash of their id: its first word and its length."""
+    g = seed // 10
+    begin = g % n
+    return begin, np.where(seed % 10 == 0, 1 + (n - begin) // (3 + g % 8), 0)
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document, loops planted in a tenth of them included."""
+    seed = F.crc32(F.col("doc_id").cast("string"))
+    found = runs.find_runs(table(spark, sf_dir, "documents"), seed, planted_loop)
+    top = runs.longest(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    text = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        top["start"].alias("start"),
+        top["length"].alias("length"),
+        top["period"].alias("period"),
+        F.floor(1000 * top["length"] / top["period"]).alias("exponent_milli"),
+        F.sha2(text, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and the component of those that differ by few bits."""
+    found = simhash.link_near_copies(table(spark, sf_dir, "documents"))
+    name = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
+    return found.select("doc_id", name.alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quote_linking": op2_quote_linking,
@@ -123,11 +181,59 @@ QUERIES: dict[str, Query] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_centroids": op11_centroids,
+    "op12_runs": op12_runs,
+    "op13_simhash": op13_simhash,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _centroids_sql(rounds: int = 10) -> str:
+    """One assignment and one move of the centres for each round, then the last assignment."""
+    nearest = """
+        near{t} AS MATERIALIZED (
+            SELECT place, first(vec_id) AS vec_id, first(x) AS x, first(d ORDER BY d, c) AS d, first(c ORDER BY d, c) AS c
+            FROM (
+                SELECT v.place, v.vec_id, v.x, m.c,
+                       list_sum(list_transform(generate_series(1, 64), lambda i: (v.x[i] - m.x[i]) * (v.x[i] - m.x[i]))) AS d
+                FROM vectors v, centres{t} m
+            ) GROUP BY place
+        )"""
+    moved = """
+        centres{n} AS MATERIALIZED (
+            SELECT m.c, coalesce(s.x, m.x) AS x
+            FROM centres{t} m LEFT JOIN (
+                SELECT c, list(CAST((total - ((total % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x
+                FROM (
+                    SELECT c, i, sum(v) AS total, count(*) AS n
+                    FROM (SELECT c, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM near{t}) GROUP BY c, i
+                ) GROUP BY c
+            ) s ON s.c = m.c
+        )"""
+    steps = [part.format(t=t, n=t + 1) for t in range(rounds) for part in (nearest, moved)] + [nearest.format(t=rounds)]
+    return f"""
+        WITH vectors AS MATERIALIZED (
+            SELECT row_number() OVER () AS place, vec_id,
+                   list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+            FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64
+        ),
+        centres0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), x) - 1 AS c, x
+            FROM vectors WHERE vec_id IS NOT NULL QUALIFY c < 8
+        ),
+        {",".join(steps)}
+        SELECT vec_id, CAST(n.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+               CAST(sum(d) OVER (PARTITION BY n.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(m.x, ',')) AS centroid_sha256
+        FROM near{rounds} n JOIN centres{rounds} m ON m.c = n.c
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_centroids": _centroids_sql(),
     "op6_decontamination": rf"""
         WITH doc AS (
             SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents

@@ -161,3 +161,22 @@ def distinct_shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 def signed(hashes: np.ndarray) -> np.ndarray:
     """64-bit hashes as the long values that Spark has."""
     return hashes.view(np.int64)
+
+
+def joined(data: np.ndarray, start: np.ndarray, end: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The given words, those of a group joined by blanks: bytes, and where each word starts in them.
+
+    ``group`` says of each word, in order, whose it is. The next word's start (or the end) is one
+    blank behind a word's end, but for the last word of a group, which has no blank.
+    """
+    width = end - start + 1
+    last = np.ones(len(start), bool)
+    last[:-1] = group[1:] != group[:-1]
+    width[last] -= 1
+    edge = np.concatenate([np.zeros(1, np.int64), np.cumsum(width, dtype=np.int64)])
+    place = np.arange(edge[-1]) + np.repeat(start - edge[:-1], width)
+    blank = np.zeros(edge[-1], bool)
+    blank[edge[1:][~last] - 1] = True
+    if not edge[-1]:
+        return np.zeros(0, np.uint8), edge
+    return np.where(blank, np.uint8(32), data[np.minimum(place, len(data) - 1)]), edge
