@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from conftest import rows_of
 from tillscope.functions import exprs as X
-from tillscope.functions.lookup import attach
-from tillscope.functions.quantiles import group_quantiles, linear, median, nearest, order_bucket
+from tillscope.functions import quantiles
+from tillscope.functions.lookup import _heavy, attach
+from tillscope.functions.quantiles import group_quantiles, linear, median, nearest, range_bucket
 from tillscope.session import stage
 
 
@@ -91,12 +92,42 @@ def test_group_quantiles_against_brute_force(spark, window_values):
         assert got[key]["q30"] == pytest.approx(np.percentile(v, 30), rel=1e-12)
 
 
-def test_order_bucket_never_decreases(spark):
+@pytest.mark.parametrize("first", [True, False])
+def test_range_buckets_never_decrease(spark, first):
     rng = np.random.default_rng(5)
-    v = np.sort(np.concatenate([rng.normal(0, 10.0**e, 200) for e in range(-6, 9)]))
-    df = spark.createDataFrame([(float(x),) for x in v], "v double")
-    buckets = [r[0] for r in df.coalesce(1).select(order_bucket(F.col("v"))).collect()]
-    assert buckets == sorted(buckets)
+    v = np.concatenate([rng.normal(0, 10.0**e, 200) for e in range(-6, 9)])
+    for part in (v, v[v > 0], -v[v > 0], 1e6 + v[np.abs(v) < 1e-3], [0.0, 1e-300, float("inf")], [-1e308, 1e308], [2.0]):
+        part = np.sort(part)
+        low, high = F.lit(float(part[0])), F.lit(float(part[-1]))
+        df = spark.createDataFrame([(float(x),) for x in part], "v double").coalesce(1)
+        buckets = [r[0] for r in df.select(range_bucket(F.col("v"), low, high, first)).collect()]
+        assert buckets == sorted(buckets) and (len(part) == 1 or buckets[0] < buckets[-1])
+
+
+def test_close_values_are_cut_until_few_are_left(spark, monkeypatch):
+    # 200,000 values inside 1e-9 of their size, as many tiny ones around zero, and a plain group
+    rows = spark.range(200_000)
+    close = rows.select(F.lit("close").alias("g"), (F.lit(1e6) + (F.col("id") * 7919 % 200_000) * 1e-9).alias("v"))
+    tiny = rows.select(F.lit("tiny").alias("g"), ((F.col("id") * 104_729 % 200_000) - 100_000).cast("double").alias("v"))
+    tiny = tiny.withColumn("v", F.col("v") * 1e-200)
+    plain = rows.limit(1000).select(F.lit("plain").alias("g"), F.col("id").cast("double").alias("v"))
+    df = close.union(tiny).union(plain)
+    ranked, inside = [], quantiles._inside
+
+    def watched(counts, ranges, keys, wanted):
+        out = inside(counts, ranges, keys, wanted)
+        ranked.append(out.groupBy(*keys, "_i").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(quantiles, "_inside", watched)
+    picks = {"med": median(), "q01": nearest(0.01), "q99": linear(0.99)}
+    got = {r["g"]: r for r in group_quantiles(df, ["g"], "v", picks, window_values=100).collect()}
+    assert ranked[-1] <= 100
+    for g, part in df.toPandas().groupby("g"):
+        v = np.sort(part["v"].to_numpy())
+        assert got[g]["med"] == pytest.approx(np.median(v), rel=1e-15, abs=0)
+        assert got[g]["q01"] == v[int(np.floor(0.01 * (len(v) - 1) + 0.5))]
+        assert got[g]["q99"] == pytest.approx(np.percentile(v, 99), rel=1e-12, abs=0)
 
 
 def test_counted_values(spark):
@@ -106,7 +137,7 @@ def test_counted_values(spark):
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
-@pytest.mark.parametrize("limits", [{}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "hot_share": 4}])
+@pytest.mark.parametrize("limits", [{}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "task_rows": 20}])
 def test_attach_is_the_same_on_every_path(spark, how, limits):
     facts = spark.range(400).select(
         F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.lit(None)).otherwise(
@@ -123,6 +154,21 @@ def test_attach_is_the_same_on_every_path(spark, how, limits):
     assert rows_of(got, "id", "x") == sorted(want, key=repr)
 
 
+def test_heavy_keys_are_split(spark):
+    # 2,000 keys of 50 rows each, and one of a third of all rows
+    facts = spark.range(150_000).select(F.when(F.col("id") < 50_000, -1).otherwise(F.col("id") % 2000).alias("k"), "id")
+    lookup = spark.range(-1, 2000).select(F.col("id").alias("k"), (F.col("id") * 3).alias("x"))
+    got = attach(facts, lookup, ["k"], broadcast_bytes=0, task_rows=40)
+    assert got.count() == 150_000 and got.where("x <> 3 * k or x is null").count() == 0
+    heavy = _heavy(facts, ["k"], 40, 100_000)
+    assert heavy.count() == 2001 and heavy.where("k = -1").first()["_parts"] == 1250
+    part = F.pmod(F.xxhash64("k", "id"), F.col("_parts"))
+    sizes = facts.join(heavy, "k").groupBy("k", part).count().agg(F.max("count")).first()[0]
+    assert sizes < 90  # parts of about 40 rows
+    # a bound on the number of split keys raises the rows of a part
+    assert _heavy(facts, ["k"], 40, 2).count() == 0 and _heavy(facts, ["k"], 40, 4).count() == 1
+
+
 def test_staged_tables_keep_types_and_prune(spark):
     df = spark.createDataFrame([("1997", 1, 2.5), ("1998", 2, None), (None, 3, 1.0)], "period string, n int, v double")
     back = stage(df, "t", by="period")

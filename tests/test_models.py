@@ -1,6 +1,11 @@
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conftest import rows_of
@@ -87,6 +92,59 @@ def test_periods_get_their_own_models(spark, trips):
     )
 
 
+def test_periods_share_passes_and_keep_null(spark, trips, monkeypatch):
+    passes = []
+    run = clusters._pass
+    monkeypatch.setattr(clusters, "_pass", lambda *a: passes.append(1) or run(*a))
+    price = F.col("basket_value_per_item")
+    years = [trips.withColumns({"period": F.lit(p).cast("string"), "basket_value_per_item": price * n})
+             for n, p in enumerate(["1997", None, "1998", "1999"], 1)]
+    alone = [missions.segment_missions(y, n_clusters=5) for y in years]
+    most = max(_passes(passes, one) for one in alone)
+    together = missions.segment_missions(reduce(DataFrame.unionByName, years), n_clusters=5)
+    assert _passes(passes, together) <= most + 1  # not the sum
+    for n, (year, one) in enumerate(zip(["1997", None, "1998", "1999"], alone)):
+        own = together.where(F.col("period").eqNullSafe(F.lit(year)))
+        assert rows_of(own, "receipt_id", "shopping_mission") == rows_of(one, "receipt_id", "shopping_mission")
+    assert len({r[0] for r in together.where("period is null").select("shopping_mission").collect()}) > 2
+
+
+def _passes(counted, df):
+    """Passes that were made since the last call; fits are made when ``df`` is built."""
+    n = len(counted)
+    counted.clear()
+    return n
+
+
+def test_kmeans_against_mllib(spark):
+    rng = np.random.default_rng(11)
+    size, item = rng.integers(1, 12, 6000), rng.lognormal(3, 0.7, 6000)
+    rows = [basket(i, int(s), float(v), float(f), "pq"[i % 2]) for i, (s, v, f) in enumerate(zip(size, item, rng.random(6000)))]
+    df = spark.createDataFrame(rows, BASKET)
+    curve = missions.elbow_curve(df, max_k=5).toPandas().set_index(["period", "k"])["wcss"]
+    for period in "pq":
+        scaled = missions.standardize(df.where(F.col("period") == period), FEATURES)
+        points = VectorAssembler(inputCols=[f"{f}_scaled" for f in FEATURES], outputCol="features").transform(scaled).cache()
+        for k in (3, 5):
+            best = min(KMeans(k=k, seed=s, maxIter=50).fit(points).summary.trainingCost for s in range(2))
+            assert curve[period, k] <= 1.01 * best
+
+
+def test_saved_models_serve_other_periods(spark, trips, tmp_path):
+    pending = trips.where(~missions.bulk_rule())
+    other = pending.withColumns({"period": F.lit("r"), "basket_value_per_item": F.col("basket_value_per_item") * 9})
+    missions.save_models(missions.fit_period_models(pending.unionByName(other)), str(tmp_path / "models"))
+    models = missions.load_models(spark, str(tmp_path / "models"))
+    assert rows_of(models, "period") == [("p",), ("r",)]
+    for period, model in (("a", "p"), ("p", "p"), ("q", "p"), ("r", "r"), ("z", "r"), (None, "p")):
+        later = trips.withColumn("period", F.lit(period).cast("string"))
+        own = missions.MissionModel.from_row(models.where(F.col("period") == model).first())
+        got = rows_of(missions.segment_missions(later, model=models), "receipt_id", "shopping_mission")
+        assert got == rows_of(missions.segment_missions(later, model=own), "receipt_id", "shopping_mission")
+    nothing = missions.segment_missions(trips, model=models.where("false"))
+    assert {r[0] for r in nothing.select("shopping_mission").distinct().collect()} == {schema.B2B, schema.STANDARD}
+
+
 def test_kmeans_cost_is_that_of_its_centres(trips):
     cost, centers = kmeans_restarts(trips, [F.col("basket_value_per_item")], "receipt_id", [3], 4, 1)[3]
     v = np.array([r[0] for r in trips.select("basket_value_per_item").collect()])
@@ -99,8 +157,9 @@ def test_kmeans_candidates_stay_few(spark):
         X.hash_fraction(F.col("id"), F.lit(1)).alias("x0"),
         X.hash_fraction(F.col("id"), F.lit(2)).alias("x1"),
         X.hash_fraction(F.col("id"), F.lit(3)).alias("draw"),
+        F.lit(0).alias("p"),
     )
-    found, weights = clusters._candidates(points, ["x0", "x1"])
+    found, weights = clusters._candidates(points, ["x0", "x1"])[0]
     expected = clusters.OVERSAMPLING_ROUNDS * clusters.OVERSAMPLE
     assert 0.8 * expected < len(found) < 1.2 * expected
     assert weights.sum() == 100_000
@@ -192,6 +251,30 @@ def test_vif(spark, linear_baskets):
     assert sampled.count() == 3
 
 
+def test_models_of_several_periods(spark, linear_baskets, monkeypatch):
+    monkeypatch.setattr(selection, "FOREST_TREES", 5)
+    other = linear_baskets.withColumns({"period": F.lit(None).cast("string"), "basket_value": F.col("freshness_weight_ratio") * 7})
+    both = linear_baskets.unionByName(other)
+    for model, value in ((selection.lasso_importance, "coefficient"), (selection.vif, "vif"), (selection.rf_importance, "importance")):
+        got = model(both)
+        for part, period in ((linear_baskets, "p"), (other, None)):
+            own = {r["feature"]: r[value] for r in got.collect() if r["period"] == period}
+            assert own == pytest.approx({r["feature"]: r[value] for r in model(part).collect()}) and own
+    top = {r["period"]: r["feature"] for r in selection.rf_importance(both, top_n=1).collect()}
+    assert top == {"p": "basket_size", None: "freshness_weight_ratio"}
+    agreed = selection.consensus_features(selection.rf_importance(both), selection.lasso_importance(both)).collect()
+    assert {r["feature"] for r in agreed if r["period"] is None} == {"freshness_weight_ratio"}
+
+
+@pytest.mark.parametrize("fraction,want", [(0.1, 100), (0.5, 250), (1.0, 500)])
+def test_samples_have_an_exact_size(linear_baskets, fraction, want):
+    both = linear_baskets.unionByName(linear_baskets.limit(30).withColumn("period", F.lit(None).cast("string")))
+    sample = selection.exact_sample(both, "receipt_id", fraction)
+    assert {r["period"]: r["count"] for r in sample.groupBy("period").count().collect()} == {"p": want, None: 30}
+    again = selection.exact_sample(both.repartition(7), "receipt_id", fraction)
+    assert rows_of(sample, "period", "receipt_id") == rows_of(again, "period", "receipt_id")
+
+
 def test_path_constant():
     assert list(outliers.path_constant(np.array([1, 2]))) == [0.0, 1.0]
     assert outliers.path_constant(256) == pytest.approx(10.2448, abs=1e-3)
@@ -207,6 +290,30 @@ def cloud(spark):
     return spark.createDataFrame(data)
 
 
+def test_forests_of_all_periods_in_the_same_jobs(spark, cloud):
+    def jobs(df):
+        spark.sparkContext.setJobGroup("forest", "")
+        outliers.anomaly_score(df, ["a", "b"])
+        found = len(spark.sparkContext.statusTracker().getJobIdsForGroup("forest"))
+        spark.sparkContext.setJobGroup(f"other{found}", "")
+        return found
+
+    small = cloud.where("receipt_id < 'r2'")
+    years = small.withColumn("period", F.when(F.length("receipt_id") > 3, F.concat(F.lit("y"), F.substring("receipt_id", 4, 1))))
+    one = jobs(small.withColumn("period", F.lit("p")))
+    assert years.select("period").distinct().count() == 11 and jobs(years) - one <= one
+
+
+def test_given_trees_by_hand(spark):
+    forest = outliers.IsolationForests(
+        ("a", "b"), (4, 4), np.array([[0], [1]]), np.array([[2.0], [5.0]]), np.array([[1.0, 3.0], [2.0, 4.0]])
+    )
+    df = spark.createDataFrame([(0, 1.0, 9.0), (0, 3.0, 9.0), (1, 9.0, 5.0), (1, 9.0, 5.5), (None, 1.0, 1.0)], "f int, a double, b double")
+    got = [r[0] for r in df.select(forest.score(F.col("f"))).coalesce(1).collect()]
+    mean = float(outliers.path_constant(4))
+    assert got[:4] == pytest.approx([-(2 ** (-d / mean)) for d in (1.0, 3.0, 2.0, 4.0)]) and got[4] is None
+
+
 def test_planted_outliers_rank_first(cloud):
     scored = outliers.anomaly_score(cloud, ["a", "b"]).toPandas().sort_values("anomaly_score")
     assert set(scored.head(10)["receipt_id"]) == {f"r{i}" for i in range(10)}

@@ -4,6 +4,7 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from conftest import rows_of
 from tillscope.plans import pipeline, reports
@@ -72,6 +73,49 @@ def test_messy_csv(spark, tmp_path):
     assert amounts == {"soap": 1.2, "plums": None, "rope": None, "tea": 3.0}
 
 
+def test_problems_of_rows_and_files(spark, tmp_path):
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old" / "ragged.csv").write_text(RAGGED + '\n11;"a;b";4;2025-05-04\n12;"c;d"\n')
+    (tmp_path / "old" / "fine.csv").write_text("code;label;amount;day\n13;ink;5;2025-05-05\n")
+    columns = T.StructType.fromDDL("code string, label string, amount double, day string")
+    spark.createDataFrame([("1", "jam", 2.5, "2025-05-06")], columns).write.parquet(str(tmp_path / "new"))
+    (tmp_path / "new" / "stray.csv").write_text("x;y\n1;2\n")
+    rows = receipts.read_folders(spark, [str(tmp_path / "old"), str(tmp_path / "new")], columns)
+    got = {r["label"]: (r["problem"], r["amount"], r["format"]) for r in rows.collect()}
+    assert got == {
+        "soap": (None, 1.2, "csv"), "plums": ("short", None, "csv"), "rope": ("unparseable", None, "csv"),
+        "tea": ("long", 3.0, "csv"), "a;b": (None, 4.0, "csv"), "c;d": ("short", None, "csv"), "ink": (None, 5.0, "csv"),
+        "jam": (None, 2.5, "parquet"),
+    }
+    files = {os.path.basename(r["file"]): tuple(r)[2:] for r in receipts.file_quality(rows).collect()}
+    assert files["ragged.csv"] == (6, 3, 2, 1, 1) and files["fine.csv"] == (1, 1, 0, 0, 0)
+    with pytest.raises(FileNotFoundError):
+        receipts.read_folders(spark, [str(tmp_path / "none")], columns)
+
+
+def test_layout_query_opens_only_the_folders_asked_for(spark):
+    got = QUERIES["scan_layout"](spark, SF)
+    folders = {os.path.dirname(f).split(receipts.LINES_FOLDER + "/")[1] for f in _files(got)}
+    assert folders <= {
+        f"{area}/year=1997/month={m}/day=1" for area in ("area=382", "area=500/north/inner") for m in (3, 4, 5)
+    }
+    assert {f.split("/")[0] for f in folders} == {"area=382", "area=500"}
+
+
+def test_period_documents(spark, tmp_path):
+    a = spark.createDataFrame([("x", "1", 0.5), ("x", "2", 0.7), (None, "3", 0.1)], ["periodo", "Codice Cassiere", "Tasso Storni"])
+    b = spark.createDataFrame([("y", "Spesa", 3)], ["periodo", "Missione Spesa", "Numero Scontrini"])
+    documents = reports.period_documents("t", "d", {"cassieri": a, "missioni": b})
+    reports.write_documents(documents, str(tmp_path / "docs"))
+    back = {r["periodo"]: r for r in reports.read_documents(spark, str(tmp_path / "docs"), documents).collect()}
+    assert set(back) == {"x", "y", None}
+    assert [tuple(c) for c in back["x"]["cassieri"]] == [("1", 0.5), ("2", 0.7)] and back["x"]["missioni"] == []
+    assert back["y"]["missioni"][0]["Numero Scontrini"] == 3 and len(back[None]["cassieri"]) == 1
+    assert set(back["y"]["metadata"]["dizionario_dati"]) == {
+        "periodo", "Codice Cassiere", "Tasso Storni", "Missione Spesa", "Numero Scontrini"
+    }
+
+
 def test_parquet_wins_over_csv(spark, tmp_path):
     (tmp_path / "ragged.csv").write_text(RAGGED + "\n")
     spark.createDataFrame([(3, 0.25)], "code int, amount double").write.parquet(

@@ -1,9 +1,8 @@
 """Equi-joins of a large table with a lookup table of unknown size.
 
-The lookup is written once and measured. If it is small it is broadcast. If
-not, keys that are frequent in the large table are served by a broadcast of
-those keys alone (fewer than ``HOT_SHARE`` of them can exist), and the rest by
-a shuffle join in which no single key is heavy. All keys match null-safely.
+The lookup is written once and measured. If it is small it is broadcast. If not, the rows of every key are
+counted: a key with more rows than a task should get is split into parts, and the lookup's row is
+copied for each; all other keys take part in the same shuffle join as they are. All keys match null-safely.
 """
 
 from __future__ import annotations
@@ -17,8 +16,10 @@ from pyspark.sql import functions as F
 from tillscope.session import stage
 
 BROADCAST_BYTES = 64 << 20
-# A key is hot when it holds at least one part in this many of all rows.
-HOT_SHARE = 1000
+# Rows of one key that a task may get.
+TASK_ROWS = 2_000_000
+# Keys that are split are fewer; with that many a task gets more rows. It bounds the broadcast of their names.
+HEAVY_KEYS = 100_000
 _FIXED_WIDTH = 16
 _ROW_OVERHEAD = 48
 
@@ -45,33 +46,45 @@ def _join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, small:
     return joined if how == "left_anti" else joined.drop(*[f"_r_{k}" for k in on])
 
 
+def _heavy(facts: DataFrame, on: Sequence[str], task_rows: int, most: int) -> DataFrame:
+    """Keys with more rows than a task should get, and into how many parts each is split; fewer than ``most`` keys."""
+    frequency = stage(facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")), "key-frequency")
+    total = frequency.agg(F.sum("_rows")).first()[0] or 0
+    limit = max(task_rows, -(-total // most))
+    heavy = frequency.where(F.col("_rows") > limit)
+    return stage(heavy.select(*on, F.ceil(F.col("_rows") / limit).cast("int").alias("_parts")), "heavy-keys")
+
+
 def attach(
     facts: DataFrame,
     lookup: DataFrame,
     on: Sequence[str],
     how: str = "left",
     broadcast_bytes: int = BROADCAST_BYTES,
-    hot_share: int = HOT_SHARE,
+    task_rows: int = TASK_ROWS,
     staged: bool = False,
 ) -> DataFrame:
     """Join ``lookup`` (unique on ``on``) to ``facts``; ``how`` is left or inner.
 
-    ``staged`` says that the lookup already is a written table.
+    ``staged`` says that the lookup already is a written table. ``facts`` without a key are matched like any other.
     """
     if not staged:
         lookup = stage(lookup, "lookup")
     if lookup_bytes(lookup) <= broadcast_bytes:
         return _join(facts, lookup, on, how, small=True)
 
-    frequency = stage(facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")), "key-frequency")
-    total = frequency.agg(F.sum("_rows")).first()[0] or 0
-    hot_keys = frequency.where(F.col("_rows") * hot_share >= total).select(*on)
-    hot = _join(hot_keys, lookup, on, how, small=False)
-    served = _join(facts, hot, on, "inner", small=True)
-    rest = _join(facts, hot_keys, on, "left_anti", small=True)
-    return served.unionByName(_join(rest, lookup, on, how, small=False))
-
-
-def attach_per_period(facts: DataFrame, stats: DataFrame) -> DataFrame:
-    """Inner join with one row per period, null among them; bounded by the number of periods."""
-    return _join(facts, stats, ["period"], "inner", small=True)
+    heavy = _heavy(facts, on, task_rows, HEAVY_KEYS)
+    if heavy.isEmpty():
+        return _join(facts, lookup, on, how, small=False)
+    # rows of a heavy key are dealt by a hash of the whole row, and each part meets a copy of the lookup's row
+    parts = F.coalesce("_parts", F.lit(1))
+    salted = _join(facts, heavy, on, "left", small=True)
+    salted = salted.withColumn("_part", F.pmod(F.xxhash64(*facts.columns), parts).cast("int")).drop("_parts")
+    copied = _join(lookup, heavy, on, "left", small=True)
+    copied = copied.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return _join(salted, copied, [*on, "_part"], how, small=False).drop("_part")
+
+
+def attach_per_period(facts: DataFrame, stats: DataFrame, how: str = "inner") -> DataFrame:
+    """Join with one row per period, null among them; bounded by the number of periods."""
+    return _join(facts, stats, ["period"], how, small=True)

@@ -51,7 +51,7 @@ def severity(scored: DataFrame) -> DataFrame:
         {"_critical": nearest(CRITICAL_QUANTILE), "_warning": nearest(WARNING_QUANTILE)},
     ).drop("n")
     # left, so that a period without any score keeps its rows
-    joined = scored.join(F.broadcast(limits), "period", "left")
+    joined = attach_per_period(scored, limits, "left")
     score = F.col("anomaly_score")
     return joined.withColumn(
         "severity",

@@ -1,21 +1,22 @@
-"""KMeans with many restarts and many k, advanced together.
+"""KMeans of many periods, with many restarts and many k, advanced together.
 
-One pass over the cached points moves the centres of every model one step:
-each task adds up its points per centre, and only those sums (a few numbers
-per centre) are shuffled. Ten restarts, or ten restarts of nine values of k,
+Centres are keyed by (period, k, restart). One pass over the cached points moves the centres of
+all of them one step: each task adds up its points per centre, and only those sums (a few numbers
+per centre) are shuffled. Ten restarts of nine values of k in every month of a year
 therefore cost the passes of a single fit. A few rounds over all points draw
-candidates far apart and weigh them; the centres start where they settle on
+candidates far apart in each period and weigh them; the centres start where they settle on
 those, which leaves few passes over all points.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,12 +30,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Passes at most, and squared movement of the centres that ends them.
 MAX_PASSES = 300
 TOLERANCE = 1e-4
-# Rounds in which starting points are drawn from all rows, and about how many each draws.
-OVERSAMPLING_ROUNDS, OVERSAMPLE = 5, 200
+# Rounds in which starting points are drawn from all rows, and about how many each draws in a period.
+OVERSAMPLING_ROUNDS, OVERSAMPLE = 2, 200
 
 
 @dataclass
 class _Fit:
+    period: int
     k: int
     centers: np.ndarray
     cost: float = float("inf")
@@ -76,96 +78,127 @@ def _settle(points: np.ndarray, weights: np.ndarray, centers: np.ndarray) -> np.
     return centers
 
 
-def _candidates(points: DataFrame, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Points spread over all rows, and how many rows are nearest to each.
+def _parts(batch: pa.RecordBatch, names: Sequence[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The rows of each period in a batch: period, their numbers in the batch, coordinates."""
+    column = {n: batch.column(batch.schema.get_field_index(n)).to_numpy() for n in ("p", *names)}
+    order = np.argsort(column["p"], kind="stable")
+    cuts = np.flatnonzero(np.diff(column["p"][order])) + 1
+    for rows in np.split(order, cuts):
+        if len(rows):
+            yield int(column["p"][rows[0]]), rows, np.column_stack([column[n][rows] for n in names])
+
+
+def _candidates(points: DataFrame, names: Sequence[str]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per period points spread over all its rows, and how many rows are nearest to each.
 
     Rounds of oversampling: every row enters with a chance in step with its squared
-    distance to the points so far. Hashes of the rows decide, so the same rows come
+    distance to the points of its period so far. Hashes of the rows decide, so the same rows come
     whatever the partitioning. All restarts start from these points.
     """
-    first = points.orderBy("draw", *names).select(*names).limit(1).toPandas().to_numpy(dtype=float)
-    found = first
+    first = points.groupBy("p").agg(F.min(F.struct("draw", *names)).alias("first")).select("p", "first.*").collect()
+    found = {r["p"]: np.array([[r[n] for n in names]]) for r in first}
 
-    def cost(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = sum(float(_nearest(b[list(names)].to_numpy(dtype=float), found)[1].sum()) for b in batches)
-        yield pd.DataFrame({"cost": [total]})
+    def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = dict.fromkeys(found, 0.0)
+        for batch in batches:
+            for p, _, x in _parts(batch, names):
+                total[p] += float(_nearest(x, found[p])[1].sum())
+        yield pa.RecordBatch.from_pydict({"p": pa.array(list(total), pa.int32()), "cost": pa.array(list(total.values()), pa.float64())})
 
     for round_ in range(OVERSAMPLING_ROUNDS):
-        total = points.mapInPandas(cost, "cost double").agg(F.sum("cost")).first()[0]
+        costs = points.mapInArrow(cost, "p int, cost double").groupBy("p").agg(F.sum("cost").alias("cost")).collect()
+        total = {r["p"]: r["cost"] for r in costs if r["cost"] > 0}
         if not total:
             break
 
-        def draw(batches: Iterator[pd.DataFrame], total=total) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                x = b[list(names)].to_numpy(dtype=float)
-                yield b[list(names)][b["chance"].to_numpy() < OVERSAMPLE * _nearest(x, found)[1] / total]
+        def draw(batches: Iterator[pa.RecordBatch], total=total) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                chance = batch.column(batch.schema.get_field_index("chance")).to_numpy()
+                taken = [np.zeros(0, np.int64)]
+                for p, rows, x in _parts(batch, names):
+                    if p in total:
+                        taken.append(rows[chance[rows] < OVERSAMPLE * _nearest(x, found[p])[1] / total[p]])
+                yield batch.take(pa.array(np.concatenate(taken))).select(["p", *names])
 
         # every round has a hash of its own
         drawn = points.withColumn("chance", X.hash_fraction(F.col("draw"), F.lit(round_)))
-        rows = drawn.mapInPandas(draw, ", ".join(f"{n} double" for n in names)).toPandas()
-        found = np.unique(np.vstack([found, rows.to_numpy(dtype=float)]), axis=0)
+        rows = drawn.mapInArrow(draw, "p int, " + ", ".join(f"{n} double" for n in names)).toPandas()
+        for p, new in rows.groupby("p"):
+            found[p] = np.unique(np.vstack([found[p], new[list(names)].to_numpy(dtype=float)]), axis=0)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros(len(found))
-        for b in batches:
-            n += np.bincount(_nearest(b[list(names)].to_numpy(dtype=float), found)[0], minlength=len(found))
-        yield pd.DataFrame({"i": np.arange(len(found)), "n": n})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = {p: np.zeros(len(c), np.int64) for p, c in found.items()}
+        for batch in batches:
+            for p, _, x in _parts(batch, names):
+                n[p] += np.bincount(_nearest(x, found[p])[0], minlength=len(n[p]))
+        for p, near in n.items():
+            some = np.flatnonzero(near)
+            columns = {"p": np.full(len(some), p, np.int32), "i": some.astype(np.int32), "n": near[some]}
+            yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
 
-    near = points.mapInPandas(count, "i int, n double").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
-    weights = np.zeros(len(found))
-    weights[near["i"].to_numpy()] = near["n"].to_numpy()
-    return found[weights > 0], weights[weights > 0]
+    near = points.mapInArrow(count, "p int, i int, n long").groupBy("p", "i").agg(F.sum("n").alias("n")).toPandas()
+    weighed = {}
+    for p, rows in near.groupby("p"):
+        rows = rows.sort_values("i")
+        weighed[p] = (found[p][rows["i"].to_numpy()], rows["n"].to_numpy(dtype=float))
+    return weighed
 
 
 def _pass(points: DataFrame, names: Sequence[str], fits: Sequence[_Fit]) -> pd.DataFrame:
     """Per model and centre: points, their sums and their squared distances."""
-    centers = [f.centers for f in fits]
-    sums = [f"s_{n}" for n in names]
+    of_period: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for model, fit in enumerate(fits):
+        of_period.setdefault(fit.period, []).append((model, fit.centers))
+    columns = ["n", "cost", *[f"s_{n}" for n in names]]
 
-    def collect_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals = [np.zeros((len(c), len(names) + 2)) for c in centers]
+    def collect_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            x = batch.to_numpy(dtype=float)
-            for c, total in zip(centers, totals, strict=True):
-                label, cost = _nearest(x, c)
-                for column, weights in enumerate([None, cost, *x.T]):
-                    total[:, column] += np.bincount(label, weights, minlength=len(c))
-        for model, total in enumerate(totals):
-            table = pd.DataFrame(total, columns=["n", "cost", *sums])
-            table.insert(0, "center", range(len(table)))
-            table.insert(0, "model", model)
-            yield table[table["n"] > 0]
-
-    schema = "model int, center int, n double, cost double, " + ", ".join(f"{s} double" for s in sums)
-    parts = points.mapInPandas(collect_sums, schema)
-    return (
-        parts.groupBy("model", "center")
-        .agg(*[F.sum(c).alias(c) for c in ["n", "cost", *sums]])
-        .toPandas()
-    )
-
-
-def kmeans_restarts(
+            for p, _, x in _parts(batch, names):
+                for model, centers in of_period.get(p, ()):
+                    total = totals.setdefault(model, np.zeros((len(centers), len(columns))))
+                    label, cost = _nearest(x, centers)
+                    for column, weights in enumerate([None, cost, *x.T]):
+                        total[:, column] += np.bincount(label, weights, minlength=len(centers))
+        for model, total in totals.items():
+            center = np.flatnonzero(total[:, 0])
+            table = {"model": np.full(len(center), model, np.int32), "center": center.astype(np.int32)}
+            table |= dict(zip(columns, total[center].T, strict=True))
+            yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in table.items()})
+
+    schema = "model int, center int, " + ", ".join(f"{c} double" for c in columns)
+    parts = points.mapInArrow(collect_sums, schema)
+    return parts.groupBy("model", "center").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
+
+
+def kmeans_by_period(
     rows: DataFrame,
     columns: Sequence[Column],
     id_col: str,
-    ks: Sequence[int],
+    ks: Mapping[int, Sequence[int]],
     n_init: int,
     seed: int,
-) -> dict[int, tuple[float, np.ndarray]]:
-    """For each k the lowest cost of ``n_init`` fits and its centres."""
+    period: str = "p",
+) -> dict[int, dict[int, tuple[float, np.ndarray]]]:
+    """For each period and k the lowest cost of ``n_init`` fits and its centres.
+
+    ``period`` is a column of small integers, ``ks`` the values of k for each. How many passes run over the rows depends on
+    the fit that takes longest, not on how many there are.
+    """
     names = [f"x{i}" for i in range(len(columns))]
-    inputs = [c.alias(n) for c, n in zip(columns, names, strict=True)]
+    inputs = [c.cast("double").alias(n) for c, n in zip(columns, names, strict=True)]
     draw = X.hash_fraction(F.col(id_col), F.lit(seed))
-    points = rows.select(*inputs, draw.alias("draw")).persist(StorageLevel.MEMORY_AND_DISK)
+    points = rows.select(F.col(period).cast("int").alias("p"), *inputs, draw.alias("draw"))
+    # sorted, so that an Arrow batch holds few periods
+    points = points.sortWithinPartitions("p").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        found, weights = _candidates(points, names) if not points.isEmpty() else (np.zeros((0, len(names))), None)
         fits = []
-        for k in ks:
-            for attempt in range(n_init):
-                rng = np.random.default_rng([seed, k, attempt])
-                fits.append(_Fit(k, _settle(found, weights, _spread_start(found, weights, k, rng))))
-        coordinates = points.select(*names)
+        for p, (found, weights) in sorted(_candidates(points, names).items()):
+            for k in ks.get(p, ()):
+                for attempt in range(n_init):
+                    rng = np.random.default_rng([seed, k, attempt])
+                    fits.append(_Fit(p, k, _settle(found, weights, _spread_start(found, weights, k, rng))))
+        coordinates = points.select("p", *names)
         for _ in range(MAX_PASSES):
             active = [f for f in fits if not f.done]
             if not active:
@@ -173,13 +206,27 @@ def kmeans_restarts(
             _advance(active, _pass(coordinates, names, active), names)
     finally:
         points.unpersist()
-    best: dict[int, tuple[float, np.ndarray]] = {}
+    best: dict[int, dict[int, tuple[float, np.ndarray]]] = {}
     for f in fits:
-        if f.k not in best or f.cost < best[f.k][0]:
-            best[f.k] = (f.cost, f.centers)
+        of_period = best.setdefault(f.period, {})
+        if f.k not in of_period or f.cost < of_period[f.k][0]:
+            of_period[f.k] = (f.cost, f.centers)
     return best
 
 
+def kmeans_restarts(
+    rows: DataFrame,
+    columns: Sequence[Column],
+    id_col: str,
+    ks: Sequence[int],
+    n_init: int,
+    seed: int,
+) -> dict[int, tuple[float, np.ndarray]]:
+    """The same for rows that are all of one period."""
+    one = rows.withColumn("_one", F.lit(0))
+    return kmeans_by_period(one, columns, id_col, {0: ks}, n_init, seed, "_one").get(0, {})
+
+
 def _advance(fits: Sequence[_Fit], sums: pd.DataFrame, names: Sequence[str]) -> None:
     """Move the centres to their means; a fit ends once they hardly move."""
     for model, found in sums.groupby("model"):

@@ -1,10 +1,12 @@
-"""Feature selection: forest and lasso importance, their consensus, and VIF."""
+"""Feature selection: forest and lasso importance, their consensus, and VIF; all for each period by itself."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
@@ -12,23 +14,30 @@ from pyspark.sql import functions as F
 
 from tillscope import schema
 from tillscope.functions import exprs as X
-from tillscope.operators.missions import standardize
+from tillscope.functions.lookup import attach_per_period
+from tillscope.functions.quantiles import Pick, group_quantiles
+from tillscope.operators.missions import periods_of, standardize
+from tillscope.session import stage
 
 # Size of the forest and of its report.
 FOREST_TREES = 100
 TOP_FEATURES = 3
 FOREST_DEPTH, FOREST_BINS = 10, 128
+FOREST_MEMORY_MB = 256
 # Folds, penalties and cut of the lasso path.
 LASSO_FOLDS = 5
 LASSO_ALPHAS = 100
 LASSO_PATH_LENGTH = 1e-3
 LASSO_MIN_ROWS = 5
 LASSO_MIN_COEFFICIENT = 1e-3
-# Fixed value: a VIF below this passes.
+# A VIF below this passes; rows that a sample keeps at least.
 VIF_LIMIT = 5.0
+VIF_SAMPLE_FLOOR = 100
 
 TARGET = "basket_value"
-_IMPORTANCE = "feature string, importance double"
+_IMPORTANCE = "period string, feature string, importance double"
+# Forests fitted at the same time.
+CONCURRENT_FITS = 4
 
 
 def rf_importance(
@@ -40,26 +49,42 @@ def rf_importance(
     max_depth: int = FOREST_DEPTH,
     max_bins: int = FOREST_BINS,
 ) -> DataFrame:
-    """The ``top_n`` impurity importances of a random forest, highest first."""
-    columns = [*features, target]
-    data = baskets.select(*[X.finite_or(F.col(c), 0.0).alias(c) for c in columns])
+    """The ``top_n`` impurity importances of a random forest for each period, highest first.
+
+    The model columns are written once, in one folder per period, and each fit reads only its own. A few fits
+    run at the same time, so a small period's jobs fill the gaps of another's.
+    """
     spark = baskets.sparkSession
-    if data.isEmpty():
-        return spark.createDataFrame([], _IMPORTANCE)
-    rows = VectorAssembler(inputCols=list(features), outputCol="features").transform(data)
-    forest = RandomForestRegressor(
-        labelCol=target,
-        numTrees=FOREST_TREES,
-        featureSubsetStrategy="all",
-        maxDepth=max_depth,
-        maxBins=max_bins,
-        maxMemoryInMB=1024,
-        seed=seed,
-    ).fit(rows.select("features", target))
-    table = [(f, float(v)) for f, v in zip(features, forest.featureImportances.toArray(), strict=True)]
-    return (
-        spark.createDataFrame(table, _IMPORTANCE).orderBy(F.desc("importance"), "feature").limit(top_n)
-    )
+    columns = [*features, target]
+    data = baskets.select("period", *[X.finite_or(F.col(c), 0.0).alias(c) for c in columns])
+    data = stage(data, "forest-rows", by="period")
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
+    cores = spark.sparkContext.defaultParallelism
+
+    @inheritable_thread_target(spark)
+    def fit(period: str | None) -> list[tuple]:
+        own = data.where(F.col("period").eqNullSafe(F.lit(period))).drop("period")
+        rows = assembler.transform(own).select("features", target)
+        # a small period is few files; its fit still takes all cores
+        if rows.rdd.getNumPartitions() < cores:
+            rows = rows.repartition(cores)
+        forest = RandomForestRegressor(
+            labelCol=target,
+            numTrees=FOREST_TREES,
+            featureSubsetStrategy="all",
+            maxDepth=max_depth,
+            maxBins=max_bins,
+            maxMemoryInMB=FOREST_MEMORY_MB,
+            cacheNodeIds=True,
+            seed=seed,
+        ).fit(rows)
+        return [(period, f, float(v)) for f, v in zip(features, forest.featureImportances.toArray(), strict=True)]
+
+    with ThreadPoolExecutor(CONCURRENT_FITS) as pool:
+        table = [row for rows in pool.map(fit, periods_of(data)) for row in rows]
+    place = Window.partitionBy("period").orderBy(F.desc("importance"), "feature")  # one row per feature
+    ranked = spark.createDataFrame(table, _IMPORTANCE).withColumn("_place", F.row_number().over(place))
+    return ranked.where(F.col("_place") <= top_n).drop("_place").orderBy("period", F.desc("importance"), "feature")
 
 
 def lasso_moments(
@@ -132,32 +157,17 @@ def _descend(gram: np.ndarray, cov: np.ndarray, alpha: float, w: np.ndarray) ->
     return w
 
 
-def lasso_importance(
-    baskets: DataFrame, features: Sequence[str] = schema.MISSION_FEATURES, target: str = TARGET
-) -> DataFrame:
-    """Coefficients of a cross-validated lasso that are not negligible.
-
-    Meant for one period; several are standardised apart and then pooled. The
-    penalty with the lowest mean error over the folds is refitted on all rows.
-    Only the fold sums reach the driver.
-    """
-    spark = baskets.sparkSession
-    p = len(features)
-    by_fold: dict[int, _Moments] = {}
-    for row in lasso_moments(baskets, features, target).collect():
-        part, fold = _Moments.from_row(row, p), row["fold"]
-        by_fold[fold] = by_fold[fold].combine(part) if fold in by_fold else part
-    folds = [by_fold[fold] for fold in sorted(by_fold)]
-    empty = spark.createDataFrame([], "feature string, coefficient double")
+def _lasso(folds: Sequence[_Moments], p: int) -> np.ndarray | None:
+    """Coefficients at the penalty of lowest mean error over the folds; ``None`` without enough rows or any relation."""
     if sum(m.n for m in folds) < LASSO_MIN_ROWS or len(folds) < 2:
-        return empty
+        return None
     whole = folds[0]
     for m in folds[1:]:
         whole = whole.combine(m)
     gram, cov = whole.centered()
     top = float(np.abs(cov).max())
     if top <= 1e-12:
-        return empty
+        return None
     alphas = np.geomspace(top, top * LASSO_PATH_LENGTH, LASSO_ALPHAS)
     errors = np.zeros((len(folds), LASSO_ALPHAS))
     for row, held_out in enumerate(folds):
@@ -172,64 +182,97 @@ def lasso_importance(
     w = np.zeros(p)
     for alpha in alphas[alphas >= chosen]:
         w = _descend(gram, cov, alpha, w)
-    kept = [(f, float(v)) for f, v in zip(features, w, strict=True) if abs(v) > LASSO_MIN_COEFFICIENT]
-    return spark.createDataFrame(kept, "feature string, coefficient double")
+    return w
+
+
+def lasso_importance(
+    baskets: DataFrame, features: Sequence[str] = schema.MISSION_FEATURES, target: str = TARGET
+) -> DataFrame:
+    """Coefficients of each period's cross-validated lasso that are not negligible.
+
+    The penalty with the lowest mean error over the folds is refitted on all rows of the period.
+    One aggregation gives the sums of all periods and folds, and only those reach the driver.
+    """
+    by_period: dict[str | None, list[_Moments]] = {}
+    for row in lasso_moments(baskets, features, target).orderBy("period", "fold").collect():
+        by_period.setdefault(row["period"], []).append(_Moments.from_row(row, len(features)))
+    kept = []
+    for period, folds in by_period.items():
+        w = _lasso(folds, len(features))
+        if w is not None:
+            found = zip(features, w, strict=True)
+            kept += [(period, f, float(v)) for f, v in found if abs(v) > LASSO_MIN_COEFFICIENT]
+    return baskets.sparkSession.createDataFrame(kept, "period string, feature string, coefficient double")
 
 
 def consensus_features(forest: DataFrame, lasso: DataFrame) -> DataFrame:
-    """Features both models name, scored 0-100, best first."""
-    everything = Window.partitionBy()  # one row per feature
-    a = forest.withColumn("_top", F.max("importance").over(everything))
-    b = lasso.withColumn("_strength", F.abs("coefficient")).withColumn(
-        "_strongest", F.max("_strength").over(everything)
-    )
+    """Features both models of a period name, scored 0-100, best first. Tables without ``period`` are of one."""
+    keys = [c for c in ("period",) if c in forest.columns and c in lasso.columns]
+    group = Window.partitionBy(*keys)  # one row per feature
+    a = forest.withColumn("_top", F.max("importance").over(group))
+    b = lasso.withColumn("_strength", F.abs("coefficient")).withColumn("_strongest", F.max("_strength").over(group))
+    b = b.withColumnsRenamed({k: f"_r_{k}" for k in ("period", "feature")})
+    same = F.col("feature") == F.col("_r_feature")
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_r_{key}"))
     score = F.col("importance") / F.col("_top") * 50 + F.col("_strength") / F.col("_strongest") * 50
     return (
-        a.join(b, "feature")
-        .select("feature", F.round(score, 2).alias("consensus_score"))
-        .orderBy(F.desc("consensus_score"), "feature")
+        a.join(b, same)
+        .select(*keys, "feature", F.round(score, 2).alias("consensus_score"))
+        .orderBy(*keys, F.desc("consensus_score"), "feature")
     )
 
 
+def exact_sample(rows: DataFrame, key: str, fraction: float, floor: int = VIF_SAMPLE_FLOOR, seed: int = 42) -> DataFrame:
+    """Of each period the rows with the smallest hashes of ``key``: ``fraction`` of them, at least ``floor`` (or all).
+
+    The hash at the sample's size is found as an order statistic, so no task sorts a period.
+    """
+    drawn = rows.withColumn("_draw", X.hash_fraction(F.col(key), F.lit(seed)))
+    size = lambda n: F.greatest(F.least(n, F.lit(floor)), F.floor(n * F.lit(fraction)))
+    last = Pick(low=size, high=size, blend=lambda low, high, n: low)
+    cut = group_quantiles(drawn, ["period"], "_draw", {"_cut": last}).drop("n")
+    return attach_per_period(drawn, cut).where(F.col("_draw") <= F.col("_cut")).drop("_draw", "_cut")
+
+
 def vif(
     baskets: DataFrame,
     features: Sequence[str] = schema.MISSION_FEATURES,
     sample_fraction: float | None = None,
     seed: int = 42,
 ) -> DataFrame:
-    """Variance inflation factor of each feature, over rows finite in all of them.
+    """Variance inflation factor of each feature in each period, over rows finite in all of them.
 
-    By default all rows count; ``sample_fraction`` keeps a hash sample of the
-    receipts. The factors are the diagonal of the inverse correlation matrix.
+    By default all rows count; ``sample_fraction`` keeps a hash sample of a period's receipts, 100 of them at least (see
+    ``exact_sample``). The factors are the diagonal of the inverse correlation matrix.
+    One aggregation gives the correlations of all periods. A period of too few rows has no factors.
     """
-    spark = baskets.sparkSession
-    table = "feature string, vif double, status string"
-    usable = baskets
-    if sample_fraction is not None:
-        usable = usable.where(X.hash_fraction(F.col("receipt_id"), F.lit(seed)) < sample_fraction)
+    usable = baskets if sample_fraction is None else exact_sample(baskets, "receipt_id", sample_fraction, seed=seed)
     for f in features:
         usable = usable.where(X.is_finite(F.col(f)))
-    usable = usable.select(*[X.as_double(F.col(f)).alias(f) for f in features])
+    usable = usable.select("period", *[X.as_double(F.col(f)).alias(f) for f in features])
     p = len(features)
     pairs = [(i, j) for i in range(p) for j in range(i)]
-    row = usable.agg(
+    moments = usable.groupBy("period").agg(
         F.count(F.lit(1)).alias("n"),
         *[F.corr(features[i], features[j]).alias(f"r{i}_{j}") for i, j in pairs],
-    ).first()
-    if row["n"] < p + 1:
-        return spark.createDataFrame([], table)
-    corr = np.eye(p)
-    for i, j in pairs:
-        value = row[f"r{i}_{j}"]
-        corr[i, j] = corr[j, i] = np.nan if value is None else value
-    if not np.isfinite(corr).all():
-        factors = [None] * p  # a constant feature has no correlation
-    elif abs(np.linalg.det(corr)) < 1e-14:
-        factors = [float("inf")] * p
-    else:
-        factors = [float(v) for v in np.diag(np.linalg.inv(corr))]
-    rows = [
-        (f, v, None if v is None else "PASS" if v < VIF_LIMIT else "HIGH COLLINEARITY")
-        for f, v in zip(features, factors, strict=True)
-    ]
-    return spark.createDataFrame(rows, table)
+    )
+    rows = []
+    for row in moments.orderBy("period").collect():
+        if row["n"] < p + 1:
+            continue
+        corr = np.eye(p)
+        for i, j in pairs:
+            value = row[f"r{i}_{j}"]
+            corr[i, j] = corr[j, i] = np.nan if value is None else value
+        if not np.isfinite(corr).all():
+            factors = [None] * p  # a constant feature has no correlation
+        elif abs(np.linalg.det(corr)) < 1e-14:
+            factors = [float("inf")] * p
+        else:
+            factors = [float(v) for v in np.diag(np.linalg.inv(corr))]
+        rows += [
+            (row["period"], f, v, None if v is None else "PASS" if v < VIF_LIMIT else "HIGH COLLINEARITY")
+            for f, v in zip(features, factors, strict=True)
+        ]
+    return baskets.sparkSession.createDataFrame(rows, "period string, feature string, vif double, status string")

@@ -332,6 +332,97 @@ def _moments() -> str:
     )
 
 
+# The year, unknown for orders of February; a null period is a group like any other.
+_SPOILT_YEAR = "CASE WHEN month(o_orderdate) <> 2 THEN CAST(year(o_orderdate) AS VARCHAR) END"
+_NULLSAFE_B = tuple(part.replace("l.period = p.period", "l.period IS NOT DISTINCT FROM p.period") for part in _B)
+
+
+def _severity(score: str) -> str:
+    """Severity of a score of ``baskets`` by the 1 % and 5 % order statistics of each period, null among them."""
+    return f""", scores AS (
+          SELECT period, receipt_id, {score} AS anomaly_score FROM baskets
+        ), placed AS (
+          SELECT period, receipt_id, anomaly_score,
+            row_number() OVER (PARTITION BY period ORDER BY anomaly_score) AS rn,
+            count(*) OVER (PARTITION BY period) AS n
+          FROM scores
+        ), limits AS (
+          SELECT period,
+            max(anomaly_score) FILTER (WHERE rn = round(0.01 * (n - 1)) + 1) AS q01,
+            max(anomaly_score) FILTER (WHERE rn = round(0.05 * (n - 1)) + 1) AS q05
+          FROM placed GROUP BY period
+        )
+        SELECT p.period, receipt_id, anomaly_score,
+          CASE WHEN anomaly_score <= q01 THEN 'critical' WHEN anomaly_score <= q05 THEN 'warning'
+            ELSE 'info' END AS severity
+        FROM placed p JOIN limits l ON p.period IS NOT DISTINCT FROM l.period"""
+
+
+def _given_forest() -> str:
+    """Path scores of the given trees: two for years before 1995, two for the others."""
+    values = ("basket_size", "basket_value_per_item", "freshness_weight_ratio")
+    trees = [
+        ((0, 4.0), (1, 40_000.0), (2, 0.5), (3.0, 5.5, 6.25, 2.0)),
+        ((1, 60_000.0), (0, 2.0), (2, 0.9), (6.0, 4.5, 2.5, 3.75)),
+        ((2, 0.2), (1, 30_000.0), (0, 6.0), (2.25, 5.0, 6.5, 3.0)),
+        ((0, 3.0), (0, 1.0), (1, 50_000.0), (1.5, 4.0, 5.25, 2.75)),
+    ]
+
+    def depth(top, left, right, leaves):
+        above = lambda node: f"{values[node[0]]} > {node[1]}"
+        return (
+            f"CASE WHEN {above(top)} THEN CASE WHEN {above(right)} THEN {leaves[3]} ELSE {leaves[2]} END "
+            f"ELSE CASE WHEN {above(left)} THEN {leaves[1]} ELSE {leaves[0]} END END"
+        )
+
+    early, late = (" + ".join(f"({depth(*t)})" for t in part) for part in (trees[:2], trees[2:]))
+    mean = f"2 * (2 * (ln(63) + {0.5772156649015329}) - {2 * 63 / 64})"
+    total = f"CAST(CASE WHEN period < '1995' THEN {early} ELSE {late} END AS DOUBLE)"
+    return f"round(0.5 - pow(2, -({total}) / ({mean})), 9)"
+
+
+def _vif_by_period() -> str:
+    return """, r AS (
+          SELECT period, corr(basket_size, basket_value_per_item) AS a,
+            corr(basket_size, freshness_weight_ratio) AS b,
+            corr(basket_value_per_item, freshness_weight_ratio) AS c
+          FROM baskets GROUP BY period
+        ), factors AS (
+          SELECT period, unnest(['basket_size', 'basket_value_per_item', 'freshness_weight_ratio']) AS feature,
+            unnest([1 - c * c, 1 - b * b, 1 - a * a])
+              / (1 + 2 * a * b * c - a * a - b * b - c * c) AS vif
+          FROM r
+        )
+        SELECT period, feature, round(vif, 6) AS vif,
+          CASE WHEN vif < 5 THEN 'PASS' ELSE 'HIGH COLLINEARITY' END AS status
+        FROM factors"""
+
+
+def _validation_of_partial() -> str:
+    rows = _validation().split(" UNION ALL ")
+    missing = """SELECT period, 'leakage_pct' AS metric, 'Percentuale Perdita (Leakage)' AS business_name,
+          CAST(NULL AS DOUBLE) AS total, CAST(NULL AS DOUBLE) AS avg, 'MISSING_COLUMN' AS status, NULL AS impact
+        FROM baskets GROUP BY period"""
+    zero = """SELECT period, 'total_voids' AS metric, 'Totale Articoli Stornati' AS business_name,
+          CAST(0 AS DOUBLE) AS total, CAST(0 AS DOUBLE) AS avg, 'ZERO_ALERT' AS status, 'cashier risk' AS impact
+        FROM baskets GROUP BY period"""
+    kept = [r for r in rows if "'leakage_pct'" not in r and "'total_voids'" not in r]
+    return " UNION ALL ".join([*kept, missing, zero])
+
+
+# The ragged text files of the stores from S3 on; the others are parquet.
+_CSV = """, numbered AS (
+          SELECT *, CAST(product_id AS INTEGER) AS n, CASE WHEN store_id < 'S3' THEN 'parquet' ELSE 'csv' END AS format
+          FROM lines
+        ), parsed AS (
+          SELECT receipt_id, product_id, cashier_id, store_id, format,
+            CASE WHEN format = 'parquet' OR (n % 17 <> 0 AND n % 23 <> 0) THEN CAST(line_total AS DOUBLE) END AS line_total,
+            CASE WHEN format = 'parquet' OR n % 17 <> 0 THEN date_str END AS date_str,
+            CASE WHEN format = 'parquet' THEN NULL WHEN n % 17 = 0 THEN 'short' WHEN n % 19 = 0 THEN 'long'
+              WHEN n % 23 = 0 THEN 'unparseable' END AS problem
+          FROM numbered
+        )"""
+
 _MD5_MOD_100 = "CAST('0x' || substr(md5(receipt_id), 1, 8) AS BIGINT) % 100"
 for _start in (9, 17, 25):
     _MD5_MOD_100 = (
@@ -346,6 +437,86 @@ ORACLE_SQL: dict[str, str] = {
           AND day(order_day) BETWEEN 1 AND 15""",
         *_L,
     ),
+    "scan_layout": _with(
+        """ SELECT CASE WHEN substr(store_id, 2) < '5' THEN '382' ELSE '500' END AS area,
+          strftime(order_day, '%Y-%m') AS period, receipt_id, product_id,
+          CAST(line_total AS DOUBLE) AS line_total, store_id
+        FROM lines WHERE year(order_day) = 1997 AND month(order_day) BETWEEN 3 AND 5
+          AND day(order_day) BETWEEN 1 AND 15""",
+        *_L,
+    ),
+    "csv_lines": _with(
+        " SELECT receipt_id, product_id, cashier_id, line_total, date_str, problem, format FROM parsed", *_L, _CSV
+    ),
+    "csv_quality": _with(
+        """ SELECT store_id, format, count(*) AS line_count,
+          count(*) FILTER (WHERE line_total IS NOT NULL AND date_str IS NOT NULL) AS complete_count,
+          count(*) FILTER (WHERE problem = 'short') AS short_count,
+          count(*) FILTER (WHERE problem = 'long') AS long_count,
+          count(*) FILTER (WHERE problem = 'unparseable') AS unparseable_count
+        FROM parsed GROUP BY store_id, format""",
+        *_L,
+        _CSV,
+    ),
+    "preview_lines": _with(
+        """ SELECT receipt_id, product_id, CAST(line_total AS DOUBLE) AS line_total FROM lines
+        ORDER BY receipt_id, line_total, product_id LIMIT 5""",
+        *_L,
+    ),
+    "validate_partial": _with(" " + _validation_of_partial(), *_B, period=_YEAR),
+    "receipts_without_cashier": _with(
+        """ SELECT receipt_id, 'N/A' AS cashier_id, CAST(0 AS DOUBLE) AS cashier_sweethearting_z_score,
+          CAST(0 AS TINYINT) AS cashier_sweethearting_anomaly_score FROM baskets""",
+        *_B,
+    ),
+    "mission_reuse": _with(" SELECT period, receipt_id, shopping_mission FROM assigned", *_B, _ASSIGNED, period=_YEAR),
+    "dirty_period_missions": _with(
+        " SELECT period, shopping_mission, count(*) AS receipt_count FROM assigned GROUP BY period, shopping_mission",
+        *_NULLSAFE_B,
+        _ASSIGNED,
+        period=_SPOILT_YEAR,
+    ),
+    "dirty_period_severity": _with(_severity("basket_value_per_item"), *_NULLSAFE_B, period=_SPOILT_YEAR),
+    "forest_severity": _with(_severity(_given_forest()), *_B, period=_YEAR),
+    "lasso_moments_by_period": _with(" " + _moments(), *_B, _SCALED, period=_YEAR),
+    "vif_by_period": _with(_vif_by_period(), *_B, period=_YEAR),
+    "consensus_correlations": _with(
+        """, relations AS (
+          SELECT period, unnest(['basket_size', 'basket_value_per_item', 'freshness_weight_ratio']) AS feature,
+            unnest([corr(x0, y), corr(x1, y), corr(x2, y)]) AS r,
+            unnest([covar_pop(x0, y), covar_pop(x1, y), covar_pop(x2, y)]) AS c
+          FROM scaled GROUP BY period
+        ), forest AS (
+          SELECT period, feature, r * r AS importance, max(r * r) OVER (PARTITION BY period) AS top
+          FROM relations WHERE abs(r) > 0.05
+        ), slopes AS (
+          SELECT period, feature, abs(c) AS strength, max(abs(c)) OVER (PARTITION BY period) AS strongest FROM relations
+        )
+        SELECT f.period, f.feature, round(importance / top * 50 + strength / strongest * 50, 2) AS consensus_score
+        FROM forest f JOIN slopes s ON f.period = s.period AND f.feature = s.feature""",
+        *_B,
+        _SCALED,
+        period=_YEAR,
+    ),
+    "report_documents": _with(
+        """, periods AS (SELECT DISTINCT period FROM lines),
+        sections AS (
+          SELECT period, 'insight_mensili' AS section, total_mission_revenue AS v FROM shares
+          UNION ALL SELECT period, 'fingerprint_comportamentale_cassieri', round(risk, 2) FROM risks WHERE risk > 0.5
+          UNION ALL SELECT period, 'analisi_perdita_margine', captured_revenue FROM leakage
+        ),
+        names AS (SELECT unnest(['insight_mensili', 'fingerprint_comportamentale_cassieri', 'analisi_perdita_margine'])
+          AS section)
+        SELECT p.period AS periodo, CAST(16 AS INTEGER) AS fields, n.section, CAST(count(v) AS INTEGER) AS records,
+          round(coalesce(sum(v), 0.0), 2) AS total
+        FROM periods p CROSS JOIN names n LEFT JOIN sections s ON s.period = p.period AND s.section = n.section
+        GROUP BY ALL""",
+        *_B,
+        _INSIGHTS,
+        _RISKS,
+        _LEAKAGE,
+        period=_YEAR,
+    ),
     "hash_sample": _with(
         f""" SELECT receipt_id, product_id, CAST(line_total AS DOUBLE) AS line_total
         FROM lines WHERE {_MD5_MOD_100} < 10""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,19 +31,27 @@ class PeriodResults:
     leakage: DataFrame
 
 
-def consensus(receipts: DataFrame) -> list[str]:
-    """Names of the features both models of one period agree on, best first."""
-    found = selection.consensus_features(
-        selection.rf_importance(receipts), selection.lasso_importance(receipts)
-    )
-    return [r["feature"] for r in found.collect()]
+def consensus(receipts: DataFrame) -> dict[str | None, list[str]]:
+    """Names of the features both models of a period agree on, best first, for each period that has any."""
+    found = selection.consensus_features(selection.rf_importance(receipts), selection.lasso_importance(receipts))
+    names: dict[str | None, list[str]] = {}
+    for row in found.collect():
+        names.setdefault(row["period"], []).append(row["feature"])
+    return names
 
 
 def diagnostics(receipts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Elbow curve and VIF of the consensus features, to check one period's models."""
+    """Elbow curve, and VIF of the consensus features (all features without any), for each period."""
     chosen = consensus(receipts)
-    vif = selection.vif(receipts, chosen or schema.MISSION_FEATURES)
-    return missions.elbow_curve(receipts), vif
+    alike: dict[tuple[str, ...], list[str | None]] = {}
+    for period in missions.periods_of(receipts):
+        alike.setdefault(tuple(chosen.get(period, schema.MISSION_FEATURES)), []).append(period)
+    parts = []
+    for features, periods in alike.items():
+        own = reduce(lambda a, b: a | b, [F.col("period").eqNullSafe(F.lit(p)) for p in periods])
+        parts.append(selection.vif(receipts.where(own), features))
+    factors = reduce(DataFrame.unionByName, parts) if parts else selection.vif(receipts)
+    return missions.elbow_curve(receipts), factors
 
 
 def score_anomalies(receipts: DataFrame) -> DataFrame:
@@ -50,11 +59,7 @@ def score_anomalies(receipts: DataFrame) -> DataFrame:
 
     A period without consensus features gets a null score and severity.
     """
-    features = {
-        period: consensus(receipts.where(F.col("period") == period))
-        for period in missions.periods_of(receipts)
-    }
-    scored = outliers.anomaly_score(receipts, features)
+    scored = outliers.anomaly_score(receipts, consensus(receipts))
     return audits.severity(stage(scored, "scored-receipts"))
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Collection, Mapping
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillscope import schema
@@ -56,10 +57,11 @@ def write_report(
     """
     spark = next(iter(sections.values())).sparkSession
     fields = {f: f for df in sections.values() for f in df.columns}
+    notes = [F.lit(x) for f in fields for x in (f, schema.FIELD_NOTES.get(f, f))]
     metadata = F.struct(
         F.lit(title).alias("titolo"),
         F.lit(description).alias("descrizione"),
-        F.array(*[F.lit(f) for f in fields]).alias("campi"),
+        F.create_map(*notes).alias("dizionario_dati"),
     )
     document = spark.range(1).select("id", metadata.alias("metadata"))
     for name, section in sections.items():
@@ -77,6 +79,39 @@ def write_report(
     document.drop("id").coalesce(1).write.mode("overwrite").json(f"{path}/report")
 
 
+def period_documents(title: str, description: str, sections: Mapping[str, DataFrame]) -> DataFrame:
+    """One nested document per period: ``periodo``, ``metadata`` and a list of records for each section.
+
+    The metadata explain every field of the sections (``schema.FIELD_NOTES``). A section without rows in a period is an
+    empty list. Sections have a few rows for each period and mission, or one for each cashier.
+    """
+    fields = ["periodo", *dict.fromkeys(c for df in sections.values() for c in df.columns if c != "periodo")]
+    notes = F.create_map(*[F.lit(x) for f in fields for x in (f, schema.FIELD_NOTES[f])])
+    metadata = F.struct(
+        F.lit(title).alias("titolo"), F.lit(description).alias("descrizione"), notes.alias("dizionario_dati")
+    )
+    # every record goes to its period under the name of its section; other sections are null there
+    parts = []
+    for name, df in sections.items():
+        record = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "periodo"])
+        parts.append(df.select("periodo", record.alias(name)))
+    records = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    lists = [F.sort_array(F.collect_list(name)).alias(name) for name in sections]
+    return records.groupBy("periodo").agg(*lists).withColumn("metadata", metadata).select("periodo", "metadata", *sections)
+
+
+def write_documents(documents: DataFrame, path: str) -> None:
+    """One JSON document per line, in a folder per period."""
+    folder = F.coalesce("periodo", F.lit("none"))
+    documents.withColumn("folder", folder).write.mode("overwrite").partitionBy("folder").json(path)
+
+
+def read_documents(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The documents below ``path``, parsed with the schema of ``like``."""
+    lines = spark.read.text(path).select("value")
+    return lines.select(F.from_json("value", like.schema).alias("d")).select("d.*")
+
+
 def write_bulk_audit(audit: DataFrame, path: str) -> None:
     """Bulk receipts as CSV with a header, one folder per period."""
     audit.write.mode("overwrite").option("header", True).partitionBy("period").csv(path)

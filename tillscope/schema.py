@@ -92,6 +92,28 @@ BEHAVIOR_REPORT_NAMES = {
     "captured_revenue": "Fatturato Acquisito",
     "leakage_pct": "Percentuale Perdita (Leakage)",
 }
+# What the fields of the reports mean.
+FIELD_NOTES = {
+    "periodo": "Mese o anno a cui si riferiscono le righe.",
+    "Missione Spesa": "Tipo di spesa assegnato allo scontrino.",
+    "Numero Scontrini": "Scontrini con questa missione.",
+    "Fatturato Totale Missione": "Somma dei valori di questi scontrini.",
+    "Valore Medio Spesa": "Valore medio di uno di questi scontrini.",
+    "Media Articoli per Spesa": "Righe per scontrino, in media.",
+    "Percentuale Fatturato": "Parte del fatturato del periodo, in percento.",
+    "Percentuale Traffico": "Parte degli scontrini del periodo, in percento.",
+    "Codice Cassiere": "Codice di chi sta alla cassa.",
+    "Score Anomalia Sweethearting": "-1 se gli sconti superano quelli dei colleghi, altrimenti 0.",
+    "Z-Score Deviazione": "Distanza dalla media dei colleghi, in deviazioni standard.",
+    "Score Rischio Comportamentale": "Somma pesata delle distanze dal comportamento medio.",
+    "Indice Uso Contanti": "Parte degli scontrini pagati in contanti.",
+    "Tasso Storni": "Righe stornate per scontrino.",
+    "Totale Sconti e Ribassi": "Somma degli sconti concessi.",
+    "Totale Articoli Stornati": "Numero di righe stornate.",
+    "Fatturato Acquisito": "Somma delle righe registrate.",
+    "Percentuale Perdita (Leakage)": "Sconti divisi per fatturato.",
+}
+
 # Metrics checked for suspicious zeros, with their business names.
 CHECKED_METRICS = {
     "basket_value": "Fatturato (Basket Value)",

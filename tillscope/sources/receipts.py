@@ -121,6 +121,75 @@ def read_receipts(
     return read_csv(spark, path, columns)
 
 
+#: Column with the whole text of a row that doesn't fit, and what is wrong with it.
+REST, PROBLEM = "_rest", "problem"
+SHORT, LONG, UNPARSEABLE = "short", "long", "unparseable"
+
+
+def read_csv_checked(spark: SparkSession, path: str | Sequence[str], columns: T.StructType) -> DataFrame:
+    """The rows of ``read_csv`` with a ``problem``: short, long, unparseable (a value of another type), or null.
+
+    What can be read of a bad row is in its columns. Fields between quotes may hold separators. Spark
+    tells problems only together with columns, so ask for at least one of them, too.
+    """
+    reader = spark.read.option("sep", CSV_SEPARATOR).option("header", True).option("mode", "PERMISSIVE")
+    reader = reader.option("columnNameOfCorruptRecord", REST).option("enforceSchema", False)
+    rows = reader.schema(T.StructType([*columns, T.StructField(REST, T.StringType())])).csv(path)
+    bare = F.regexp_replace(REST, '"[^"]*"', "")
+    fields = F.length(bare) - F.length(F.replace(bare, F.lit(CSV_SEPARATOR), F.lit(""))) + 1
+    problem = (
+        F.when(F.col(REST).isNull(), None)
+        .when(fields < len(columns), SHORT)
+        .when(fields > len(columns), LONG)
+        .otherwise(UNPARSEABLE)
+    )
+    return rows.withColumn(PROBLEM, problem).drop(REST)
+
+
+def read_folders(spark: SparkSession, folders: Sequence[str], columns: T.StructType) -> DataFrame:
+    """Receipts of several folders: of each its parquet files, or all its CSV files if it has none.
+
+    Adds ``problem`` (null for rows from parquet), ``format`` and ``file``, the path that a row comes from. All folders of one format
+    are read together. The partition columns of a folder are those of its own sub-folders.
+    """
+    chosen: dict[str, list[str]] = {"parquet": [], "csv": []}
+    for folder in folders:
+        chosen["parquet" if _holds_parquet(spark, folder) else "csv"].append(folder)
+    parts = []
+    for kind, paths in chosen.items():
+        for path in paths:
+            if kind == "parquet":
+                rows = spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
+                rows = rows.select(*[F.col(c.name).cast(c.dataType).alias(c.name) for c in columns], "_metadata.file_path")
+                rows = rows.withColumn(PROBLEM, F.lit(None).cast("string"))
+            else:
+                # the file is asked for on the bare scan, where its metadata are
+                rows = read_csv_checked(spark, path, columns).select(
+                    *[c.name for c in columns], PROBLEM, "_metadata.file_path"
+                )
+            parts.append(rows.withColumnRenamed("file_path", "file").withColumn("format", F.lit(kind)))
+    if not parts:
+        raise FileNotFoundError("no folders given")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _holds_parquet(spark: SparkSession, folder: str) -> bool:
+    """Whether any parquet file lies in the folder or in its sub-folders; the names of the first level are enough to tell most."""
+    try:
+        return bool(spark.read.option("pathGlobFilter", "*.parquet").parquet(folder).columns)
+    except AnalysisException:
+        validate_source(spark, folder)
+        return False
+
+
+def file_quality(rows: DataFrame) -> DataFrame:
+    """Per file of ``read_folders``: its rows, how many have a value in every column, and how many are short, long or unparseable."""
+    columns = [F.col(c).isNotNull() for c in rows.columns if c not in (PROBLEM, "file", "format")]
+    bad = [F.count_if(F.col(PROBLEM).eqNullSafe(F.lit(p))).alias(f"{p}_count") for p in (SHORT, LONG, UNPARSEABLE)]
+    complete = F.count_if(reduce(lambda a, b: a & b, columns)).alias("complete_count")
+    return rows.groupBy("file", "format").agg(F.count(F.lit(1)).alias("line_count"), complete, *bad)
+
+
 def validate_source(spark: SparkSession, path: str) -> list[str]:
     """Paths that match; ``FileNotFoundError`` when there are none."""
     found = _glob(spark, path)
