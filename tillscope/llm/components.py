@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.session import stage
+from tillscope.session import drop_staged, stage
 
 
 def _directed(pairs: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def components(links: DataFrame) -> DataFrame:
     Alternates two steps until nothing changes: every node hands its least neighbour to
     its larger neighbours, then to its smaller ones. The number of rounds grows with the logarithm of
     the longest chain. Every round is a shuffle of the edges that are left and is written
-    to the shared folder; nothing but a count and a checksum comes to the driver.
+    to the shared folder, and that of the round before deleted; nothing but a count and a checksum comes to the driver.
     """
     edges = stage(_directed(links), "edges")
     before = _digest(edges)
@@ -33,7 +33,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         met = large.join(least, "u")
         small = met.where("v <> m").select("v", "m").toDF("u", "v").union(met.select("u", "m").toDF("u", "v"))
-        edges = stage(small.where("u <> v").distinct(), "edges")
+        former, edges = edges, stage(small.where("u <> v").distinct(), "edges")
+        drop_staged(former)
         after = _digest(edges)
         if after == before:
             break

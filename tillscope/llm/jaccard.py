@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillscope.functions.lookup import attach
 from tillscope.llm.components import components
 from tillscope.llm.words import SPACED_LOWER, distinct_shingles, mix, pieces, signed, words_of
 from tillscope.session import stage
@@ -116,17 +117,25 @@ def _ratio_fits(n: Column, m: Column, percent: int) -> Column:
 def _entries(sets: DataFrame) -> DataFrame:
     """The index: lists of the sets that begin with a shingle, single ones left out.
 
-    A list stands in the order of the sets' sizes. Every entry knows its neighbour, and the head of its list: the set that stands in most lists, which among near
+    Near copies share many first shingles, and the lists of most of these hold the very same sets. Of lists with equal members one is
+    kept, as any pair of sets that meets in one of them meets in the other. A list stands in the order of the sets' sizes. Every
+    entry knows its neighbour, and the head of its list: the set that stands in most lists, which among near
     copies is the one closest to all.
     """
     # size and place in one long, which keeps the largest shuffle narrow
     listed = sets.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select(
         "token", "node", (F.shiftleft("n", 31) + F.col("pos")).alias("packed")
     )
+    members = Window.partitionBy("token")
+    told = [F.bit_xor(F.xxhash64("node", F.lit(i))).over(members).alias(f"told{i}") for i in (1, 2)]
+    shared = listed.select(
+        "*", F.count("*").over(members).alias("members"), F.min("node").over(members).alias("least"), *told
+    ).where("members > 1")
+    one_each = shared.where("node = least").groupBy("members", "told1", "told2").agg(F.min("token").alias("token"))
+    shared = shared.select("token", "node", "packed").join(one_each.select("token"), "token", "left_semi")
     order = Window.partitionBy("token").orderBy("packed", "node")
-    prior, size = F.lag("node").over(order), F.shiftright(F.lag("packed").over(order), 31)
-    shared = listed.withColumns({"prior": F.struct(prior.alias("node"), size.alias("n")), "next": F.lead("node").over(order)})
-    shared = shared.where("prior.node is not null or next is not null").select(
+    prior = F.struct(F.lag("node").over(order).alias("node"), F.shiftright(F.lag("packed").over(order), 31).alias("n"))
+    shared = shared.withColumn("prior", prior).select(
         "token",
         "node",
         F.shiftright("packed", 31).alias("n"),
@@ -381,7 +390,9 @@ def link_documents(
     least = joined.groupBy("component").agg(F.min("id").alias("least"))
     of_node = joined.join(least, "component").select("node", "least")
     ids = classes.join(of_node, "node", "left").select("node", F.coalesce("least", "id").alias("class_id"))
-    return signatures.join(ids, "node", "left").select(
+    # the rows of very many copies are split
+    found = attach(signatures.select("id", "n", "node"), ids, ["node"])
+    return found.select(
         F.col("id").alias(key),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("id")).alias("component_id"),

@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillscope.functions.lookup import attach
 from tillscope.llm.components import components
 from tillscope.llm.words import SPACED_LOWER, joined, pieces, signed, words_of
 from tillscope.session import stage
@@ -311,4 +312,6 @@ def link_near_copies(
     smallest = joined_.groupBy("component").agg(F.min("least").alias("of_component"))
     moved = joined_.join(smallest, "component").select("fp", "of_component")
     ids = classes.join(moved, "fp", "left").select("fp", F.coalesce("of_component", "least").alias("component_id"))
-    return marked.join(ids, "fp").select(F.col("id").alias(key), F.col("fp").alias("fingerprint"), "component_id")
+    # the rows of very many copies are split
+    found = attach(marked, ids, ["fp"], how="inner")
+    return found.select(F.col("id").alias(key), F.col("fp").alias("fingerprint"), "component_id")
