@@ -20,8 +20,9 @@ SHINGLE, PERCENT = 4, 85
 MOST_COMMON = 1 << 16
 #: Longs of a set's sketch; each bit is the parity of the elements that fall on it.
 SKETCH = 8
-#: A set of so many shingles also has a longer sketch.
-LONG_SET, LONG_SKETCH = 1024, 256
+#: A set of so many shingles also has a longer sketch: its longs, for sets of so many times that.
+LONG_SET = 1024
+LONG_SKETCHES = ((1, 32), (2, 64), (8, 256))
 #: Sets that are compared with one other set in one place.
 MEMBERS = 10_000
 #: Rows of ids that may be broadcast (32 MB); more are joined by a shuffle.
@@ -90,12 +91,17 @@ def _signatures(docs: DataFrame, common: np.ndarray, k: int, percent: int) -> Da
             place = np.arange(len(shingles)) - np.repeat(first[:-1], n)
             keep = place < np.repeat(prefix_length(n, percent), n)
             sketch = _parities(shingles, owner, len(n), SKETCH)
-            large = n >= LONG_SET
-            row = np.cumsum(large) - 1
-            wide = _parities(shingles[large[owner]], row[owner[large[owner]]], int(large.sum()), LONG_SKETCH)
-            wide = pa.ListArray.from_arrays(
-                pa.array((np.concatenate([[0], np.cumsum(large)]) * LONG_SKETCH).astype(np.int32)), pa.array(wide.ravel())
-            )
+            longs = np.zeros(len(n), np.int64)
+            for times, size in LONG_SKETCHES:
+                longs[n >= times * LONG_SET] = size
+            at = np.concatenate([np.zeros(1, np.int64), np.cumsum(longs)])
+            wide = np.zeros(at[-1], np.int64)
+            for size in np.unique(longs[longs > 0]):
+                large = longs == size
+                row = (np.cumsum(large) - 1)[owner[large[owner]]]
+                place_of = at[:-1][large][:, None] + np.arange(size)
+                wide[place_of] = _parities(shingles[large[owner]], row, int(large.sum()), int(size))
+            wide = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(wide))
             lengths = np.where(n > 0, prefix_length(n, percent), 0)
             prefix = pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)),
@@ -128,10 +134,12 @@ def _entries(sets: DataFrame) -> DataFrame:
     )
     members = Window.partitionBy("token")
     told = [F.bit_xor(F.xxhash64("node", F.lit(i))).over(members).alias(f"told{i}") for i in (1, 2)]
-    shared = listed.select(
-        "*", F.count("*").over(members).alias("members"), F.min("node").over(members).alias("least"), *told
-    ).where("members > 1")
-    one_each = shared.where("node = least").groupBy("members", "told1", "told2").agg(F.min("token").alias("token"))
+    first = F.min(F.struct("packed", "node")).over(members)
+    shared = listed.select("*", F.count("*").over(members).alias("members"), first.alias("first"), *told)
+    shared = shared.where("members > 1")
+    # both ways use all columns of the lists, so they share one shuffle
+    heads = shared.where((F.col("node") == F.col("first.node")) & (F.col("packed") == F.col("first.packed")))
+    one_each = heads.groupBy("members", "told1", "told2").agg(F.min("token").alias("token"))
     shared = shared.select("token", "node", "packed").join(one_each.select("token"), "token", "left_semi")
     order = Window.partitionBy("token").orderBy("packed", "node")
     prior = F.struct(F.lag("node").over(order).alias("node"), F.shiftright(F.lag("packed").over(order), 31).alias("n"))
@@ -175,13 +183,28 @@ def _side(rows: DataFrame, side: str, *kept: str) -> DataFrame:
     return rows.select(*[F.col(c) if c in kept else F.col(c).alias(f"{c}_{side}") for c in rows.columns])
 
 
+def _folded(sketch: str, size: Column) -> Column:
+    """A longer sketch as one of ``size`` longs: elements fall on the same bit of the longs that are laid over each other."""
+    whole = F.col(sketch)
+    over = F.transform(
+        F.slice(whole, F.lit(1), size),
+        lambda first, i: F.aggregate(
+            F.sequence(F.lit(1), (F.size(whole) / size).cast("int") - 1),
+            first,
+            lambda x, j: x.bitwiseXOR(F.get(whole, i + j * size)),
+        ),
+    )
+    return F.when(F.size(whole) == size, whole).otherwise(over)
+
+
 def _wide_bound() -> Column:
     """As ``_overlap_bound``, by the longer sketches where both sets have one."""
-    differ = F.aggregate(
-        F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x
+    size = F.least(F.size("wide_a"), F.size("wide_b"))
+    pairs = F.zip_with(
+        _folded("wide_a", size), _folded("wide_b", size), lambda x, y: F.bit_count(x.bitwiseXOR(y))
     )
-    both = (F.size("wide_a") > 0) & (F.size("wide_b") > 0)
-    return F.when(both, F.floor((F.col("na") + F.col("nb") - differ) / 2))
+    differ = F.aggregate(pairs, F.lit(0), lambda n, x: n + x)
+    return F.when(size > 0, F.floor((F.col("na") + F.col("nb") - differ) / 2))
 
 
 def _meetings(pairs: DataFrame) -> DataFrame:
@@ -257,7 +280,7 @@ def _intersections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Every pair with ``linked`` and ``most``, which its similarity doesn't exceed.
 
-    Sketches rule most pairs out. Only for the rest the sets are made again from the
+    Sketches rule most pairs out; the longer ones are as long as their sets need. Only for the rest the sets are made again from the
     texts, meet once for each pair, and are intersected.
     """
     sketches = sets.select("node", "n", "wide", *_BITS)
