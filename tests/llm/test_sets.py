@@ -184,6 +184,9 @@ MESSAGES = [
     (1, 5, None, " > >thanks you\r\nxx"), (1, 9, "u", None), (2, 3, "u", "> nothing known\n"), (2, 4, "u", "x"),
     (None, 1, "u", "z"), (2, None, "u", "q"), (2, 4, "a", "repeat"),
     (1, 7, "bot", "> ok fine so\n>> second line here\nyes yes yes"), (1, 8, "bot", ">ok fine so\nbut yes yes yes"),
+    (3, 0, "u", "Yes, ok"), (3, 1, "a", "A1 alpha\n\nA2 beta\n> q\nB1 gamma\nB2 delta"), (3, 2, "u", "something else"),
+    (3, 3, "a", "> Yes, ok\nshort"), (3, 4, "u", "> a2 BETA\n> b1, gamma\ntwo lines, another's between"), (3, 5, "u", "x"),
+    (3, 6, "u", "> A1 alpha\n> A2 beta\n>> q\n> B1 gamma\n> B2 delta\nall"), (3, 7, "a", "> ...\n> A1 alpha\n> B2 delta\nno run"),
 ]
 
 
@@ -198,8 +201,11 @@ def test_quotes_against_sql(spark, monkeypatch):
         sorted(repr([None if pd.isna(v) else v for v in r]) for r in t[sorted(t)].astype(object).itertuples(index=False))
         for t in (got, want)
     ]
-    assert len(got) == 9 and [x.replace(".0", "") for x in plain[0]] == [x.replace(".0", "") for x in plain[1]]
+    assert len(got) == 17 and [x.replace(".0", "") for x in plain[0]] == [x.replace(".0", "") for x in plain[1]]
     reply = {(r.conv_id, r.turn): r.reply_to for r in got.itertuples()}
-    assert reply[1, 2] == 0 and reply[1, 7] == 2 and reply[1, 9] == 8
+    assert reply[1, 2] == 1 and reply[1, 7] == 2 and reply[1, 9] == 8
+    assert (reply[3, 3], reply[3, 4], reply[3, 6], reply[3, 7]) == (0, 1, 1, 6)
+    linked = {(r.conv_id, r.turn): (r.n_quotes, r.n_linked) for r in got.itertuples()}
+    assert linked[3, 6] == (3, 2) and linked[3, 7] == (1, 0) and linked[3, 4] == (1, 1)
     empty = quotes.reply_paths(quotes.link_quotes(df.limit(0)))
     assert empty.count() == 0

@@ -350,9 +350,29 @@ ORACLE_SQL: dict[str, str] = {
                    || string_split_regex(own_text, '\n\s*\n')) AS part
             FROM own
         ),
+        spoken AS (
+            SELECT conv, turn, list_filter(list_transform(string_split(own_text, chr(10)),
+                   lambda l: trim(regexp_replace(lower(l), '[^\p{L}\p{N}]+', ' ', 'g'))), lambda l: l <> '') AS said
+            FROM own
+        ),
+        sizes AS (
+            SELECT DISTINCT conv, len(list_filter(list_transform(string_split(body, chr(10)),
+                   lambda l: trim(regexp_replace(lower(l), '[^\p{L}\p{N}]+', ' ', 'g'))), lambda l: l <> '')) AS n
+            FROM passages WHERE level > 0
+        ),
+        runs AS (
+            SELECT conv, turn, array_to_string(said[i:i + n - 1], ' ') AS words
+            FROM (
+                SELECT s.conv, turn, said, n, unnest(generate_series(1, len(said) - n + 1)) AS i
+                FROM spoken s JOIN sizes z ON z.conv = s.conv WHERE n > 1 AND len(said) >= n
+            )
+        ),
         sources AS (
-            SELECT conv, trim(regexp_replace(lower(part), '[^\p{L}\p{N}]+', ' ', 'g')) AS words, min(turn) AS source
-            FROM parts GROUP BY ALL HAVING length(words) >= 8
+            SELECT conv, words, min(turn) AS source
+            FROM (
+                SELECT conv, turn, trim(regexp_replace(lower(part), '[^\p{L}\p{N}]+', ' ', 'g')) AS words FROM parts
+                UNION ALL SELECT conv, turn, words FROM runs
+            ) GROUP BY ALL HAVING words <> ''
         ),
         found AS (
             SELECT q.conv, q.turn, q.level, s.source

@@ -8,10 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillscope.functions.lookup import attach
 from tillscope.session import stage
 
-#: Shorter quotes (in normalised characters) are too common to name a message.
-LEAST_QUOTE = 8
 #: Turns of a conversation that are looked at in one place.
 BLOCK_TURNS = 1000
 
@@ -64,13 +63,31 @@ def parse_quotes(text: Column) -> Column:
     return F.filter(F.aggregate(lines, start, step, closed), lambda p: F.trim(p["body"]) != "")
 
 
-def _message_hashes(messages: DataFrame) -> DataFrame:
-    """What a quote may match: own texts, their lines and paragraphs, by normalised hash, and the first turn with it."""
+def _spoken_lines(body: Column) -> Column:
+    """The normalised lines of a text, without empty ones."""
+    return F.filter(F.transform(F.split(body, "\n", -1), normalised), lambda line: line != "")
+
+
+def _message_hashes(messages: DataFrame, quotes: DataFrame) -> DataFrame:
+    """What a quote may match, by normalised hash, and the first turn that has it.
+
+    Own texts, their lines and paragraphs; and of every conversation as many consecutive lines of an own text as any of
+    its quotes has, wherever other people's lines stood between them.
+    """
     own = F.array_join(F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: p["body"]), "\n")
     parts = F.concat(F.array(own), F.split(own, "\n", -1), F.split(own, r"\n\s*\n", -1))
     hashed = messages.select("conv", "turn", F.explode(F.array_distinct(F.transform(parts, normalised))).alias("part"))
-    long_enough = hashed.where(F.length("part") >= LEAST_QUOTE)
-    return long_enough.groupBy("conv", F.sha2("part", 256).alias("hash")).agg(F.min("turn").alias("source"))
+    # lengths of the quotes of each conversation; a very long one is still spread out
+    sizes = quotes.where("lines > 1").groupBy("conv").agg(F.collect_set("lines").alias("sizes"))
+    spoken = messages.select("conv", "turn", _spoken_lines(own).alias("said")).where(F.size("said") > 1)
+    sized = attach(spoken, sizes, ["conv"], how="inner").withColumn("k", F.explode("sizes")).where("k <= size(said)")
+    runs = F.transform(
+        F.sequence(F.lit(1), F.size("said") - F.col("k") + 1),
+        lambda i: F.array_join(F.slice("said", i, F.col("k")), " "),
+    )
+    hashed = hashed.union(sized.select("conv", "turn", F.explode(runs)))
+    some = hashed.where("part <> ''")
+    return some.groupBy("conv", F.sha2("part", 256).alias("hash")).agg(F.min("turn").alias("source"))
 
 
 def _prior_turns(messages: DataFrame) -> DataFrame:
@@ -99,8 +116,8 @@ def link_quotes(
     Returns the conversation, the turn, the role, ``own_text`` (the lines without quote marks), ``n_quotes``,
     ``n_linked`` (quotes whose original is an earlier turn of the conversation) and ``reply_to``: the
     original of the quote of lowest level (of several the latest), else the turn before, null for the first. Quotes are compared by
-    hash of their normalised text with the own texts of messages, their lines and paragraphs; the first
-    turn that has it is the original.
+    hash of their normalised text with the own texts of messages, their lines and paragraphs, and any consecutive lines; the first
+    turn that has it is the original. Quotes without a letter or digit have none.
 
     Messages without conversation or turn are left out. Of repeated turns the first by role and text stays.
     A null text is empty. Turns needn't be without gaps. All steps are hash joins and aggregations
@@ -118,8 +135,11 @@ def link_quotes(
     )
     messages = stage(messages, "messages")
     quotes = messages.select("conv", "turn", F.posexplode("passages").alias("pos", "p")).where("p.level > 0")
-    quotes = quotes.select("conv", "turn", "pos", "p.level", F.sha2(normalised(F.col("p.body")), 256).alias("hash"))
-    sources = _message_hashes(messages)
+    quotes = quotes.select(
+        "conv", "turn", "pos", "p.level", F.sha2(normalised(F.col("p.body")), 256).alias("hash"),
+        F.size(_spoken_lines(F.col("p.body"))).alias("lines"),
+    )
+    sources = _message_hashes(messages, quotes)
     # a quoted line may be quoted again, so only own text is a source
     found = quotes.join(sources, ["conv", "hash"]).where("source < turn")
     linked = found.groupBy("conv", "turn").agg(
