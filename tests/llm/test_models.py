@@ -156,3 +156,23 @@ def test_pipeline_odd_rows(spark):
         out = stage(spark, docs, SMALL)
         assert out.columns == docs.columns and out.where("doc_id is null").count() == 1, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == len(ODD)
+
+
+def test_pipeline_judges_rows_not_ids(spark):
+    """Rows of one id with different texts, and rows without id."""
+    from tests.llm.helpers import PLAIN
+
+    rows = [
+        (1, "alpha beta gamma delta epsilon zeta eta theta"), (1, "quite another text that links with nothing else here"),
+        (2, PLAIN), (3, PLAIN), (3, "its own words only stand in this row of three"), (3, PLAIN), (4, "twice the same"),
+        (4, "twice the same"), (None, PLAIN),
+    ]
+    docs = documents(spark, rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SMALL).select("doc_id", "text").collect()
+    want = [rows[0], rows[1], rows[2], rows[4], rows[6], rows[8]]
+    assert sorted(map(tuple, kept), key=repr) == sorted(want, key=repr)
+    passage = spark.read.parquet(f"{SMALL}/benchmark.parquet").where("text is not null").first()["text"]
+    rows = [(1, passage), (1, "clean text of the same id"), (None, passage), (None, "clean text without id"), (2, None)]
+    docs = documents(spark, rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_contaminated(spark, docs, SMALL).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([rows[1], rows[3], rows[4]], key=repr)

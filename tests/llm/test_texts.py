@@ -224,3 +224,22 @@ def test_index_locates_all():
                 if (symbols[i : i + size] == p).all() and runs[i] == runs[i + size - 1]
             ]
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+def test_secrets_of_very_long_texts(spark):
+    """Time grows with the text's length, and every span is found."""
+    import time
+
+    rnd = random.Random(1)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    run = "".join(rnd.choice(signs) for _ in range(300_000))
+    many = "".join(f"token={rnd.randrange(10**9):010d} x " for _ in range(30_000))
+    rows = [(1, "see " + run), (2, many), (3, "é" * 1_000_000)]
+    start = time.time()
+    got = {r.doc_id: r.spans for r in secret_scan.find_secrets(documents(spark, rows)).collect()}
+    assert time.time() - start < 120
+    covered = sum(s.end - s.start for s in got[1])
+    assert covered > 0.9 * len(run)
+    assigned = [(s.start, s.end) for s in got[2] if s.kind == secret_scan.BASE_KINDS[0].name]
+    assert assigned == [(m.start(), m.end()) for m in re.finditer(r"token=[0-9]+", many)]
+    assert got[3] == []

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillscope.llm.words import ALNUM_LOWER, pieces, words_of
 
@@ -240,6 +241,7 @@ def _put_together(parts: list[DataFrame], key: str) -> DataFrame:
 
 
 _SPANS = "array<struct<start:int,end:int>>"
+_SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
 
 def find_passages(
@@ -266,8 +268,14 @@ def find_passages(
     )
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    id_type = dict(docs.dtypes)[key]
-    schema = f"`{key}` {id_type}, n_words long, spans {_SPANS}, items array<bigint>"
+    schema = T.StructType(
+        [
+            T.StructField(key, docs.schema[key].dataType),
+            T.StructField("n_words", T.LongType()),
+            T.StructField("spans", T.ArrayType(_SPAN)),
+            T.StructField("items", T.ArrayType(T.LongType())),
+        ]
+    )
 
     def one(block: int, more: Column | None = None) -> DataFrame:
         rows = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).toArrow().combine_chunks()
@@ -296,7 +304,7 @@ def find_passages(
                 )
 
         return docs.select(F.col(key), F.col(text).alias("text"), *extra).mapInArrow(
-            run, schema + ", text_hash long" * len(extra)
+            run, T.StructType([*schema, *[T.StructField("text_hash", T.LongType()) for _ in extra]])
         )
 
     if blocks == 1:

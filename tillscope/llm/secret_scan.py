@@ -71,34 +71,52 @@ ALLOWED_TOKENS = (
 _SEPARATORS = "[/+=_-]*"
 
 
+#: Matches whose places are counted together, which bounds what is copied for each.
+_CHUNK = 128
+
+
 def _matches(text: Column, pattern: str, group: int) -> Column:
-    """All matches: start, end, the match, and the group; starts come from the gaps' lengths."""
+    """All matches: start, end, the match, and the group; starts come from the gaps' lengths.
+
+    A list that grows is copied for each further match, so matches are placed in chunks, each from the
+    lengths of all before it.
+    """
     item = "array<struct<start:int,end:int,hit:string,part:string>>"
-    none = F.lit(None).cast("string")
-    gaps = F.split(text, pattern, -1)
     hits = F.zip_with(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)),
         lambda hit, part: F.struct(hit.alias("hit"), part.alias("part")),
     )
+    # after the last match only a gap is left
+    gaps = F.transform(F.split(text, pattern, -1), lambda gap: F.length(gap))
+    pairs = F.zip_with(
+        gaps,
+        hits,
+        lambda gap, hit: F.struct(
+            gap.alias("gap"), F.length(hit["hit"]).alias("size"), hit["hit"].alias("hit"), hit["part"].alias("part")
+        ),
+    )
 
     def step(done: Column, x: Column) -> Column:
-        start = done["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"]["hit"])
-        one = F.struct(
-            start.alias("start"), end.alias("end"), x["hit"]["hit"].alias("hit"), x["hit"]["part"].alias("part")
+        start = done["at"] + x["gap"]
+        end = start + x["size"]
+        one = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), x["part"].alias("part"))
+        return F.struct(end.alias("at"), F.concat(done["found"], F.array(one)).alias("found"))
+
+    def placed(all_: Column, chunk: Column) -> Column:
+        before = F.aggregate(
+            F.slice(all_, F.lit(1), chunk * _CHUNK), F.lit(0), lambda at, x: at + x["gap"] + x["size"]
         )
-        # after the last match only a gap is left
-        found = F.when(x["hit"].isNull(), done["found"]).otherwise(F.concat(done["found"], F.array(one)))
-        return F.struct(F.coalesce(end, start).alias("at"), found.alias("found"))
+        start = F.struct(before.alias("at"), F.array().cast(item).alias("found"))
+        return F.aggregate(F.slice(all_, chunk * _CHUNK + 1, F.lit(_CHUNK)), start, step, lambda done: done["found"])
 
-    walked = F.aggregate(
-        F.zip_with(gaps, hits, lambda gap, hit: F.struct(F.coalesce(gap, none).alias("gap"), hit.alias("hit"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast(item).alias("found")),
-        step,
-        lambda done: done["found"],
-    )
-    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(item))
+    def walked(all_: Column) -> Column:
+        last = F.floor((F.size(all_) - 1) / _CHUNK).cast("int")
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda chunk: placed(all_, chunk)))
+
+    # in a list of one, so that the pairs are worked out once
+    found = F.transform(F.array(F.filter(pairs, lambda x: x["hit"].isNotNull())), walked)[0]
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(item))
 
 
 def _long_enough(found: Column, kind: Kind) -> Column:
@@ -143,16 +161,12 @@ def peak_entropy(string: Column, letters: str, window: int = WINDOW) -> Column:
             F.when(same, count).otherwise(moved).alias("count"), total.alias("sum"), full.alias("least")
         )
 
-    def letter(i: Column) -> Column:
-        return F.instr(F.lit(letters), F.substring(string, i, F.lit(1)))
-
+    # the string is cut into letters once; the one that leaves entered ``window`` places before
+    codes = F.transform(F.split(string, ""), lambda c: F.instr(F.lit(letters), c))
+    behind = F.slice(F.concat(F.array_repeat(F.lit(0), window), codes), F.lit(1), F.length(string))
     places = F.transform(
-        F.sequence(F.lit(1), F.length(string)),
-        lambda i: F.struct(
-            i.alias("at"),
-            letter(i).alias("enters"),
-            F.when(i > window, letter(i - window)).otherwise(0).alias("leaves"),
-        ),
+        F.zip_with(F.slice(codes, F.lit(1), F.length(string)), behind, lambda x, y: F.struct(x.alias("enters"), y.alias("leaves"))),
+        lambda x, i: F.struct((i + 1).alias("at"), x["enters"].alias("enters"), x["leaves"].alias("leaves")),
     )
     start = F.struct(
         F.array_repeat(F.lit(0), len(letters)).alias("count"),
