@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillscope.llm import bpe, decontaminate, jaccard, secret_scan, toxicity
@@ -20,7 +20,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Documents of at least this toxicity go.
 TOXIC = 0.3
-_SPANS = "spans of secrets"
+_SPANS, _ROW, _PLACE = "spans of secrets", "row of text", "place in row of text"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,21 +32,31 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked documents the one with the smallest id; texts without words link with none."""
+    """Of every group of linked documents the one with the smallest id; texts without words link with none.
+
+    Rows of one id with different texts are different documents, the order of their hashes decides between them. Of
+    rows that are equal in id and text one stays, the first by the other columns. Rows without id stay.
+    """
     ship_package(spark)
-    linked = jaccard.link_documents(docs, k=5, percent=80)
-    keep = linked.where("component_id = doc_id").select("doc_id").distinct()
-    first = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi")
-    return first.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("hash")))
+    keyed = docs.withColumn(_ROW, own)
+    linked = jaccard.link_documents(keyed.select(_ROW, "text"), k=5, percent=80, key=_ROW)
+    keep = linked.where(F.col("component_id") == F.col(_ROW)).select(_ROW).distinct()
+    kept = keyed.where(F.col(_ROW).isNotNull()).join(keep, _ROW, "left_semi")
+    place = F.row_number().over(Window.partitionBy(_ROW).orderBy(*docs.columns))
+    first = kept.withColumn(_PLACE, place).where(F.col(_PLACE) == 1)
+    return first.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words fewer than a twentieth stand in benchmark passages."""
+    """Documents of whose words fewer than a twentieth stand in benchmark passages; every row is judged by itself."""
     ship_package(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.find_passages(docs, benchmark).withColumn("n_hit", decontaminate.words_hit(F.col("spans")))
-    hit = found.where(decontaminate.is_contaminated(F.col("n_words"), F.col("n_hit"))).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias(_ROW), "text")
+    found = decontaminate.find_passages(rows, benchmark, key=_ROW)
+    n_hit = decontaminate.words_hit(F.col("spans"))
+    clean = found.where(~decontaminate.is_contaminated(F.col("n_words"), n_hit))
+    return clean.select(*[F.col(_ROW)[c].alias(c) for c in docs.columns])
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
