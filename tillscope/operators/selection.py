@@ -24,6 +24,7 @@ FOREST_TREES = 100
 TOP_FEATURES = 3
 FOREST_DEPTH, FOREST_BINS = 10, 128
 FOREST_MEMORY_MB = 256
+FOREST_PART_ROWS = 50_000
 # Folds, penalties and cut of the lasso path.
 LASSO_FOLDS = 5
 LASSO_ALPHAS = 100
@@ -65,9 +66,10 @@ def rf_importance(
     def fit(period: str | None) -> list[tuple]:
         own = data.where(F.col("period").eqNullSafe(F.lit(period))).drop("period")
         rows = assembler.transform(own).select("features", target)
-        # a small period is few files; its fit still takes all cores
-        if rows.rdd.getNumPartitions() < cores:
-            rows = rows.repartition(cores)
+        # a small period is one file; more parts share its work, but each sends the statistics of every node
+        parts = min(cores, -(-own.count() // FOREST_PART_ROWS))
+        if rows.rdd.getNumPartitions() < parts:
+            rows = rows.repartition(parts)
         forest = RandomForestRegressor(
             labelCol=target,
             numTrees=FOREST_TREES,
