@@ -132,12 +132,13 @@ def _entries(sets: DataFrame) -> DataFrame:
     listed = sets.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select(
         "token", "node", (F.shiftleft("n", 31) + F.col("pos")).alias("packed")
     )
+    # dealt once as they are, before hashes are added; both ways below read the same shuffle
+    listed = listed.repartition("token")
     members = Window.partitionBy("token")
     told = [F.bit_xor(F.xxhash64("node", F.lit(i))).over(members).alias(f"told{i}") for i in (1, 2)]
     first = F.min(F.struct("packed", "node")).over(members)
     shared = listed.select("*", F.count("*").over(members).alias("members"), first.alias("first"), *told)
     shared = shared.where("members > 1")
-    # both ways use all columns of the lists, so they share one shuffle
     heads = shared.where((F.col("node") == F.col("first.node")) & (F.col("packed") == F.col("first.packed")))
     one_each = heads.groupBy("members", "told1", "told2").agg(F.min("token").alias("token"))
     shared = shared.select("token", "node", "packed").join(one_each.select("token"), "token", "left_semi")
