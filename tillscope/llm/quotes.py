@@ -164,28 +164,27 @@ def reply_paths(linked: DataFrame, conv: str = "conv_id", turn: str = "turn") ->
     """Adds ``root`` and ``depth``: the first message of the reply tree and the steps to it.
 
     Pointer doubling: every round each message looks up what its ancestor points to, so
-    the rounds grow with the logarithm of the longest chain of replies.
+    the rounds grow with the logarithm of the longest chain of replies. A message that
+    has found its root takes no part in later rounds, but is still looked up.
     """
-    jumps = stage(
-        linked.select(
-            F.col(conv).alias("conv"), F.col(turn).alias("turn"),
-            F.coalesce("reply_to", F.col(turn)).alias("up"),
-            F.when(F.col("reply_to").isNull(), 0).otherwise(1).cast("long").alias("depth"),
-        ),
-        "replies",
+    start = linked.select(
+        F.col(conv).alias("conv"), F.col(turn).alias("turn"),
+        F.coalesce("reply_to", F.col(turn)).alias("up"),
+        F.when(F.col("reply_to").isNull(), 0).otherwise(1).cast("long").alias("depth"),
+        F.col("reply_to").isNull().alias("done"),
     )
+    rows = stage(start, "replies")
+    found = rows.where("done")
     while True:
-        above = jumps.select("conv", F.col("turn").alias("up"), F.col("up").alias("top"), F.col("depth").alias("more"))
-        further = stage(
-            jumps.join(above, ["conv", "up"]).select(
-                "conv", "turn", F.col("top").alias("up"), (F.col("depth") + F.col("more")).alias("depth"),
-                (F.col("top") != F.col("up")).alias("moved"),
-            ),
-            "replies",
-        )
-        moved = further.where("moved").limit(1).count()
-        jumps = further.drop("moved")
-        if not moved:
+        open_ = rows.where("not done")
+        known = found.union(open_)
+        above = known.select("conv", F.col("turn").alias("up"), F.col("up").alias("top"), F.col("depth").alias("more"), "done")
+        further = open_.drop("done").join(above, ["conv", "up"]).select(
+            "conv", "turn", F.col("top").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), "done"
+        )
+        rows = stage(further, "replies")
+        found = found.union(rows.where("done"))
+        if rows.where("not done").isEmpty():
             break
-    paths = jumps.select(F.col("conv").alias(conv), F.col("turn").alias(turn), F.col("up").alias("root"), "depth")
+    paths = found.select(F.col("conv").alias(conv), F.col("turn").alias(turn), F.col("up").alias("root"), "depth")
     return linked.join(paths, [conv, turn])
