@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows_of
 from tillscope import schema
-from tillscope.operators import missions, outliers, selection
+from tillscope.operators import forests, missions, outliers, selection
 from tillscope.functions import exprs as X
 from tillscope.operators import clusters
 from tillscope.operators.clusters import kmeans_restarts
@@ -206,6 +206,63 @@ def test_forest_importance(linear_baskets):
     assert selection.rf_importance(linear_baskets.where("false")).count() == 0
 
 
+def _large_forest(monkeypatch):
+    def refused(*a, **k):
+        raise AssertionError("a large period was fitted from its rows")
+
+    monkeypatch.setattr(selection, "FOREST_CELL_ROWS", 1)
+    monkeypatch.setattr(selection, "RandomForestRegressor", refused)
+
+
+def test_large_periods_are_fitted_from_cells(spark, linear_baskets, monkeypatch):
+    other = linear_baskets.withColumns({"period": F.lit(None).cast("string"), "basket_value": F.col("freshness_weight_ratio") * 7})
+    both = linear_baskets.unionByName(other)
+    want = {(r["period"], r["feature"]): r["importance"] for r in selection.rf_importance(both, max_depth=4).collect()}
+    _large_forest(monkeypatch)
+    got = selection.rf_importance(both, max_depth=4).collect()
+    assert {(r["period"], r["feature"]): r["importance"] for r in got} == pytest.approx(want, abs=0.02) and len(got) == 6
+    again = selection.rf_importance(both.repartition(7), max_depth=4).collect()
+    assert {(r["period"], r["feature"]): r["importance"] for r in again} == pytest.approx(
+        {(r["period"], r["feature"]): r["importance"] for r in got}, rel=1e-9
+    )
+    constant = selection.rf_importance(linear_baskets.withColumn("basket_value", F.lit(1.1))).collect()
+    assert [r["importance"] for r in constant] == [0.0, 0.0, 0.0]
+
+
+def test_tree_of_cells_against_a_plain_tree():
+    def plain(x, w, y, depth):
+        found = np.zeros(x.shape[1])
+        square = lambda k: (w[k] @ y[k]) ** 2 / w[k].sum()
+        best = (1e-9, None, None)
+        for f in range(x.shape[1]):
+            for cut in np.unique(x[:, f])[:-1]:
+                left = x[:, f] <= cut
+                gain = square(left) + square(~left) - (w @ y) ** 2 / w.sum()
+                best = max(best, (gain, f, cut), key=lambda b: b[0])
+        if depth and best[1] is not None:
+            found[best[1]] += best[0]
+            for k in (x[:, best[1]] <= best[2], x[:, best[1]] > best[2]):
+                found += plain(x[k], w[k], y[k], depth - 1)
+        return found
+
+    rng = np.random.default_rng(3)
+    x = np.unique(rng.integers(0, 8, (200, 3)), axis=0)
+    w, y = rng.integers(1, 4, len(x)).astype(float), x[:, 0] * 5.0 + x[:, 1] ** 2 + rng.normal(0, 3, len(x))
+    assert forests.grow(list(x.T), w, w * y, 8, 5) == pytest.approx(plain(x, w, y, 5), rel=1e-9)
+
+
+def test_bootstrap_samples_and_bins():
+    drawn = forests.sample_weights(np.arange(-20_000, 20_000), 20, 42)
+    chances = np.exp(-1) / np.array([1, 1, 2, 6, 24])
+    assert np.bincount(drawn.ravel())[:5] / drawn.size == pytest.approx(chances, abs=3e-3)
+    assert np.abs(np.corrcoef(drawn.T) - np.eye(20)).max() < 0.03
+    assert list(forests.bin_cuts(np.array([3.0, 1.0, 1.0, 2.0]), 128)) == [1.5, 2.5]
+    assert list(forests.bin_cuts(np.array([4.0]), 128)) == []
+    values = np.random.default_rng(1).lognormal(size=10_000)
+    counts = np.bincount(np.searchsorted(forests.bin_cuts(values, 128), values))
+    assert len(counts) == 128 and counts.min() >= 77 and counts.max() <= 80
+
+
 def test_lasso_recovers_the_linear_model(linear_baskets):
     got = {r["feature"]: r["coefficient"] for r in selection.lasso_importance(linear_baskets).collect()}
     data = linear_baskets.toPandas()

@@ -16,7 +16,8 @@ from tillscope import schema
 from tillscope.functions import exprs as X
 from tillscope.functions.lookup import attach_per_period
 from tillscope.functions.quantiles import Pick, group_quantiles
-from tillscope.operators.missions import periods_of, standardize
+from tillscope.operators.forests import cell_importance
+from tillscope.operators.missions import standardize
 from tillscope.session import stage
 
 # Size of the forest and of its report.
@@ -25,6 +26,9 @@ TOP_FEATURES = 3
 FOREST_DEPTH, FOREST_BINS = 10, 128
 FOREST_MEMORY_MB = 256
 FOREST_PART_ROWS = 50_000
+# Rows from which a period is fitted from its cells, and cells that a period may have for that.
+FOREST_CELL_ROWS = 100_000
+FOREST_CELLS = 1 << 21
 # Folds, penalties and cut of the lasso path.
 LASSO_FOLDS = 5
 LASSO_ALPHAS = 100
@@ -52,12 +56,17 @@ def rf_importance(
 ) -> DataFrame:
     """The ``top_n`` impurity importances of a random forest for each period, highest first.
 
-    The model columns are written once, in one folder per period, and each fit reads only its own. A few fits
-    run at the same time, so a small period's jobs fill the gaps of another's.
+    The model columns are written once, in one folder per period. Large periods are fitted together from their
+    cells (``forests.cell_importance``), whose number doesn't grow with the rows. Small ones, which have about as many
+    cells as rows, and models of so many features that cells would be many, are fitted by MLlib: a few fits
+    run at the same time, each reads only its period, so a small period's jobs fill the gaps of another's.
     """
     spark = baskets.sparkSession
     columns = [*features, target]
-    data = baskets.select("period", *[X.finite_or(F.col(c), 0.0).alias(c) for c in columns])
+    # the id tells receipts of equal values apart where the rows of a bootstrap sample are drawn
+    ids = [c for c in ("receipt_id",) if c in baskets.columns]
+    row = F.xxhash64(*ids, *columns).alias("_row")
+    data = baskets.select("period", *[X.finite_or(F.col(c), 0.0).alias(c) for c in columns], row)
     data = stage(data, "forest-rows", by="period")
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     cores = spark.sparkContext.defaultParallelism
@@ -67,7 +76,7 @@ def rf_importance(
         own = data.where(F.col("period").eqNullSafe(F.lit(period))).drop("period")
         rows = assembler.transform(own).select("features", target)
         # a small period is one file; more parts share its work, but each sends the statistics of every node
-        parts = min(cores, -(-own.count() // FOREST_PART_ROWS))
+        parts = min(cores, -(-sizes[period] // FOREST_PART_ROWS))
         if rows.rdd.getNumPartitions() < parts:
             rows = rows.repartition(parts)
         forest = RandomForestRegressor(
@@ -82,8 +91,15 @@ def rf_importance(
         ).fit(rows)
         return [(period, f, float(v)) for f, v in zip(features, forest.featureImportances.toArray(), strict=True)]
 
+    sizes = {r["period"]: r["count"] for r in data.groupBy("period").count().orderBy("period").collect()}
+    few_cells = max_bins ** len(features) <= FOREST_CELLS
+    large = {p: n for p, n in sizes.items() if few_cells and n >= FOREST_CELL_ROWS}
+    table = []
+    if large:
+        found = cell_importance(data, large, features, target, FOREST_TREES, max_depth, max_bins, seed)
+        table += [(p, f, float(v)) for p, values in found.items() for f, v in zip(features, values, strict=True)]
     with ThreadPoolExecutor(CONCURRENT_FITS) as pool:
-        table = [row for rows in pool.map(fit, periods_of(data)) for row in rows]
+        table += [row for rows in pool.map(fit, [p for p in sizes if p not in large]) for row in rows]
     place = Window.partitionBy("period").orderBy(F.desc("importance"), "feature")  # one row per feature
     ranked = spark.createDataFrame(table, _IMPORTANCE).withColumn("_place", F.row_number().over(place))
     return ranked.where(F.col("_place") <= top_n).drop("_place").orderBy("period", F.desc("importance"), "feature")
