@@ -151,6 +151,39 @@ def test_kmeans_cost_is_that_of_its_centres(trips):
     assert cost == pytest.approx(((v[:, None] - centers[:, 0]) ** 2).min(axis=1).sum(), rel=1e-9)
 
 
+@pytest.mark.parametrize("features", [1, 3, 5])
+def test_tiles_add_up_like_points(monkeypatch, features):
+    rng = np.random.default_rng(features)
+    x = np.sort(rng.integers(-9, 9, (5000, features)) / 4.0, axis=0) * 1e3 + 1e6
+    centers = np.vstack([x[::700], x[::700] + 0.5, x[:1]])  # points half-way between centres, and a centre twice
+    label = ((x[:, None] - centers) ** 2).sum(axis=2).argmin(axis=1)
+    worked = []
+    plain = clusters._nearest
+    monkeypatch.setattr(clusters, "_nearest", lambda x, c: worked.append(len(x)) or plain(x, c))
+    got = clusters._Tiles(x).sums(centers)
+    assert list(got[:, 0]) == list(np.bincount(label, minlength=len(centers)))
+    cost = ((x - centers[label]) ** 2).sum(axis=1)
+    assert got[:, 1] == pytest.approx(np.bincount(label, cost, len(centers)), rel=1e-9, abs=1e-3)
+    for i in range(features):
+        assert got[:, 2 + i] == pytest.approx(np.bincount(label, x[:, i], len(centers)), rel=1e-12)
+    centers, worked[:] = np.array([x.min(axis=0), x.max(axis=0)]), []
+    clusters._Tiles(x).sums(centers)
+    assert sum(worked) < 1000  # not all points
+
+
+def test_passes_read_few_rows(spark):
+    rows = spark.range(20_000, numPartitions=2).select(
+        F.lit(0).alias("p"), *[X.hash_fraction(F.col("id"), F.lit(i)).alias(f"x{i}") for i in range(2)]
+    )
+    packed = clusters._packed(rows, ["x0", "x1"])
+    assert packed.count() <= 4
+    centers = np.array([[0.2, 0.2], [0.8, 0.8]])
+    sums = clusters._pass(packed, ["x0", "x1"], [clusters._Fit(0, 2, centers)]).sort_values("center")
+    x = rows.select("x0", "x1").toPandas().to_numpy()
+    label, cost = clusters._nearest(x, centers)
+    assert list(sums["n"]) == list(np.bincount(label)) and sums["cost"].sum() == pytest.approx(cost.sum())
+
+
 def test_kmeans_candidates_stay_few(spark):
     rows = spark.range(100_000)
     points = rows.select(

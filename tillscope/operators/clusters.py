@@ -6,6 +6,9 @@ per centre) are shuffled. Ten restarts of nine values of k in every month of a y
 therefore cost the passes of a single fit. A few rounds over all points draw
 candidates far apart in each period and weigh them; the centres start where they settle on
 those, which leaves few passes over all points.
+
+Points are kept in an order that keeps near ones together. A pass asks of every tile of such points whether one centre is
+nearest to its whole bounding box; then the tile's sums stand for its points, and only the other tiles are worked on point by point.
 """
 
 from __future__ import annotations
@@ -32,6 +35,10 @@ MAX_PASSES = 300
 TOLERANCE = 1e-4
 # Rounds in which starting points are drawn from all rows, and about how many each draws in a period.
 OVERSAMPLING_ROUNDS, OVERSAMPLE = 2, 200
+# Points of a tile, points that a task works on at once, and bits of each coordinate that order the points.
+TILE = 64
+CHUNK = 100_000
+ORDER_BITS = 8
 
 
 @dataclass
@@ -88,6 +95,18 @@ def _parts(batch: pa.RecordBatch, names: Sequence[str]) -> Iterator[tuple[int, n
             yield int(column["p"][rows[0]]), rows, np.column_stack([column[n][rows] for n in names])
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in larger batches, which have more tiles."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= CHUNK:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _candidates(points: DataFrame, names: Sequence[str]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Per period points spread over all its rows, and how many rows are nearest to each.
 
@@ -144,8 +163,72 @@ def _candidates(points: DataFrame, names: Sequence[str]) -> dict[int, tuple[np.n
     return weighed
 
 
+def _near_order(names: Sequence[str]) -> Column:
+    """A number that is alike for near points: the interleaved leading bits of their squashed coordinates."""
+    bits = max(1, min(ORDER_BITS, 62 // len(names)))
+    number = F.lit(0).cast("long")
+    for i, n in enumerate(names[:62]):
+        x = F.col(n)
+        step = F.floor((x / (F.abs(x) + 1) + 1) * F.lit(float(1 << bits - 1))).cast("long")
+        step = F.greatest(F.least(step, F.lit((1 << bits) - 1)), F.lit(0))
+        for b in range(bits):
+            bit = F.shiftright(step, b).bitwiseAND(F.lit(1).cast("long"))
+            number = number.bitwiseOR(F.shiftleft(bit, b * min(len(names), 62) + i))
+    return number
+
+
+def _packed(points: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The coordinates of many points of a period in one value, so that a pass doesn't convert them point by point."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _chunks(batches):
+            for p, _, x in _parts(batch, names):
+                yield pa.RecordBatch.from_pydict({"p": pa.array([p], pa.int32()), "x": pa.array([x.tobytes()], pa.binary())})
+
+    return points.select("p", *names).mapInArrow(pack, "p int, x binary")
+
+
+class _Tiles:
+    """Stretches of points with their bounding boxes and sums."""
+
+    def __init__(self, x: np.ndarray):
+        self.x = x
+        self.first = np.arange(0, len(x), TILE)
+        self.count = np.diff(np.append(self.first, len(x))).astype(float)
+        self.low, self.high = (f.reduceat(x, self.first, axis=0) for f in (np.minimum, np.maximum))
+        self.total = np.add.reduceat(x, self.first, axis=0)
+        self.mean = self.total / self.count[:, None]
+        off = x - np.repeat(self.mean, self.count.astype(int), axis=0)
+        self.spread = np.add.reduceat((off * off).sum(axis=1), self.first)  # squared distances from the mean
+        self.reach = np.maximum(np.abs(self.low), np.abs(self.high)).max(axis=1)
+
+    def sums(self, centers: np.ndarray) -> np.ndarray:
+        """Per centre: its points, their squared distances and their coordinates, added up."""
+        label, _ = _nearest((self.low + self.high) / 2, centers)
+        own = centers[label]
+        # by how much another centre may be nearer than the own one, at most, within the box
+        rounding = 1e-9 * (1 + self.reach + np.abs(centers).max()) ** 2
+        whole = np.ones(len(label), bool)
+        for c, center in enumerate(centers):
+            nearer = np.zeros(len(label))
+            for i in range(len(center)):
+                corner = np.where(center[i] > own[:, i], self.high[:, i], self.low[:, i])
+                nearer += (corner - own[:, i]) ** 2 - (corner - center[i]) ** 2
+            whole &= (label == c) | (nearer < -rounding)
+        total = np.zeros((len(centers), 2 + centers.shape[1]))
+        at = label[whole]
+        cost = self.spread[whole] + self.count[whole] * ((self.mean[whole] - own[whole]) ** 2).sum(axis=1)
+        for column, weights in enumerate([self.count[whole], cost, *self.total[whole].T]):
+            total[:, column] += np.bincount(at, weights, minlength=len(centers))
+        x = self.x[np.repeat(~whole, self.count.astype(int))]
+        at, cost = _nearest(x, centers)
+        for column, weights in enumerate([None, cost, *x.T]):
+            total[:, column] += np.bincount(at, weights, minlength=len(centers))
+        return total
+
+
 def _pass(points: DataFrame, names: Sequence[str], fits: Sequence[_Fit]) -> pd.DataFrame:
-    """Per model and centre: points, their sums and their squared distances."""
+    """Per model and centre: points (as ``_packed`` gives them), their sums and their squared distances."""
     of_period: dict[int, list[tuple[int, np.ndarray]]] = {}
     for model, fit in enumerate(fits):
         of_period.setdefault(fit.period, []).append((model, fit.centers))
@@ -154,12 +237,12 @@ def _pass(points: DataFrame, names: Sequence[str], fits: Sequence[_Fit]) -> pd.D
     def collect_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            for p, _, x in _parts(batch, names):
-                for model, centers in of_period.get(p, ()):
-                    total = totals.setdefault(model, np.zeros((len(centers), len(columns))))
-                    label, cost = _nearest(x, centers)
-                    for column, weights in enumerate([None, cost, *x.T]):
-                        total[:, column] += np.bincount(label, weights, minlength=len(centers))
+            for p, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if p not in of_period:
+                    continue
+                tiles = _Tiles(np.frombuffer(x.as_buffer()).reshape(-1, len(names)))
+                for model, centers in of_period[p]:
+                    totals[model] = totals.get(model, 0.0) + tiles.sums(centers)
         for model, total in totals.items():
             center = np.flatnonzero(total[:, 0])
             table = {"model": np.full(len(center), model, np.int32), "center": center.astype(np.int32)}
@@ -189,8 +272,9 @@ def kmeans_by_period(
     inputs = [c.cast("double").alias(n) for c, n in zip(columns, names, strict=True)]
     draw = X.hash_fraction(F.col(id_col), F.lit(seed))
     points = rows.select(F.col(period).cast("int").alias("p"), *inputs, draw.alias("draw"))
-    # sorted, so that an Arrow batch holds few periods
-    points = points.sortWithinPartitions("p").persist(StorageLevel.MEMORY_AND_DISK)
+    # sorted, so that an Arrow batch holds few periods, and near points stand together
+    points = points.sortWithinPartitions("p", _near_order(names)).persist(StorageLevel.MEMORY_AND_DISK)
+    packed = _packed(points, names).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         fits = []
         for p, (found, weights) in sorted(_candidates(points, names).items()):
@@ -198,13 +282,13 @@ def kmeans_by_period(
                 for attempt in range(n_init):
                     rng = np.random.default_rng([seed, k, attempt])
                     fits.append(_Fit(p, k, _settle(found, weights, _spread_start(found, weights, k, rng))))
-        coordinates = points.select("p", *names)
         for _ in range(MAX_PASSES):
             active = [f for f in fits if not f.done]
             if not active:
                 break
-            _advance(active, _pass(coordinates, names, active), names)
+            _advance(active, _pass(packed, names, active), names)
     finally:
+        packed.unpersist()
         points.unpersist()
     best: dict[int, dict[int, tuple[float, np.ndarray]]] = {}
     for f in fits:
