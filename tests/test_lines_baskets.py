@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillscope import schema
+from tillscope.sources.driver_tables import raw_receipt_lines
 from tillscope.operators import baskets, lines
 
 
@@ -116,3 +117,46 @@ def test_validate_metrics(spark):
 def test_missing_cashier_column(spark):
     df = spark.createDataFrame([("r",)], "receipt_id string")
     assert baskets.ensure_cashier(df).first()["cashier_id"] == "N/A"
+
+
+def _exchanges(df):
+    """The shuffles of a plan: each with the columns that it moves."""
+    found = []
+    prepared = df._jdf.queryExecution().executedPlan()
+    left = [prepared.initialPlan() if prepared.nodeName() == "AdaptiveSparkPlan" else prepared]
+    while left:
+        node = left.pop()
+        if node.nodeName() == "Exchange":
+            found.append([node.output().apply(i).name() for i in range(node.output().size())])
+        left += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_receipts_are_dealt_without_wide_buffers(make_lines):
+    lines = make_lines(
+        {"time_str": "11:00", "store_id": "s2"}, {"time_str": "10:00", "cashier_id": None}, {"receipt_id": None, "store_id": None},
+        {"receipt_id": None, "date_str": None}, {"period": None},
+    )
+    df = baskets.basket_features(lines)
+    moved = _exchanges(df)
+    # a field with the date and time of its line, for each field of the header, is put together behind the last shuffle
+    assert len(moved) == 2 and all("min" not in columns for columns in moved)
+    got = {(r["period"], r["receipt_id"]): (r["basket_size"], r["store_id"], r["cashier_id"], r["hour_of_day"]) for r in df.collect()}
+    assert got == {
+        ("2026-02", "r1"): (2, "s1", "c1", 10), ("2026-02", None): (2, "s1", "c1", 10), (None, "r1"): (1, "s1", "c1", 10),
+    }
+
+
+def test_lines_are_shuffled_as_cents_and_flags(spark, tmp_path):
+    spark.sql(
+        "select 1L o_orderkey, 2L o_custkey, timestamp'1997-01-02' o_orderdate, '1-URGENT' o_orderpriority"
+    ).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.sql(
+        "select 1L l_orderkey, k l_partkey, 5D l_quantity, 10.5D l_extendedprice, d l_discount, f l_returnflag, s l_linestatus"
+        " from values (4L, 0D, 'R', 'F'), (5L, 0.1D, 'R', null), (6L, null, 'N', 'F') t(k, d, f, s)"
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    df = raw_receipt_lines(spark, str(tmp_path))
+    moved = {c for columns in _exchanges(df) for c in columns}
+    assert "totaleLordo" in moved and not moved & {"l_extendedprice", "l_returnflag", "l_linestatus", "l_quantity"}
+    got = sorted(tuple(r) for r in df.select("articoloCodice", "totaleLordo", "storno", "omaggio").collect())
+    assert [(a, float(b), c, d) for a, b, c, d in got] == [("4", 10.5, "y", "1"), ("5", 10.5, "N", "0"), ("6", 10.5, "N", "0")]

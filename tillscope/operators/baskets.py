@@ -46,7 +46,8 @@ def basket_features(lines: DataFrame) -> DataFrame:
         F.sum(F.when(void, total)).alias("void_value"),
         *(_price_parts() if priced else []),
     )
-    whole = parts.groupBy("period", "receipt_id").agg(
+    # dealt before the second grouping: its buffers hold each header field with date and time, three times the row
+    whole = parts.repartition("period", "receipt_id").groupBy("period", "receipt_id").agg(
         X.as_double(_total(F.col("value"))).alias("basket_value"),
         F.sum("size").alias("basket_size"),
         (_total(F.col("fresh_lines")) > 0).alias("has_fresh_produce"),

@@ -32,22 +32,28 @@ def raw_receipt_lines(
         F.when(key % 40 == 0, "S").otherwise("N").alias("abortito"),
         period.cast("string").alias("period"),
     )
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount",
-        "l_returnflag", "l_linestatus",
-    )
+    # and what belongs to the line in few bytes: cents and flags shrink more in the shuffle than doubles and codes
     price = F.col("l_extendedprice").cast("decimal(8,2)")
     voided = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")
-    return items.join(orders.hint("merge"), F.col("l_orderkey") == key).select(
-        F.col("l_orderkey").cast("string").alias("scontrinoIdentificativo"),
-        F.col("l_partkey").cast("string").alias("articoloCodice"),
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        "l_orderkey",
+        "l_partkey",
         price.alias("totaleLordo"),
         F.when(F.col("l_partkey") % 4 == 0, F.col("l_quantity")).alias("quantitaPeso"),
         (price * F.col("l_discount").cast("decimal(4,2)")).alias("totaleSconti"),
+        F.coalesce(voided, F.lit(False)).alias("voided"),
+        F.coalesce(F.col("l_discount") == 0, F.lit(False)).alias("given"),
+    )
+    return items.join(orders.hint("merge"), F.col("l_orderkey") == key).select(
+        F.col("l_orderkey").cast("string").alias("scontrinoIdentificativo"),
+        F.col("l_partkey").cast("string").alias("articoloCodice"),
+        "totaleLordo",
+        "quantitaPeso",
+        "totaleSconti",
         F.lit(0).alias("puntiRitiro"),
-        F.when(voided, "y").otherwise("N").alias("storno"),
+        F.when(F.col("voided"), "y").otherwise("N").alias("storno"),
         F.lit("N").alias("annullo"),
-        F.when(F.col("l_discount") == 0, "1").otherwise("0").alias("omaggio"),
+        F.when(F.col("given"), "1").otherwise("0").alias("omaggio"),
         *[c for c in orders.columns if c != "o_orderkey"],
     )
 
