@@ -1,5 +1,6 @@
 """Near copies, repeated passages, nearest neighbours and quotes against plain versions."""
 
+import os
 import random
 from itertools import combinations
 
@@ -10,6 +11,7 @@ import pytest
 
 from tests.llm.helpers import ODD, PLAIN, documents, lower, spaced
 from tillscope.llm import components, jaccard, nearest, queries, quotes, substrings
+from tillscope.session import scratch_dir
 
 
 def changed(rnd, words, n):
@@ -85,6 +87,66 @@ def test_links_of_nothing(spark):
     assert sorted(map(tuple, rows)) == [(1, 0, 1), (2, 0, 2)]
 
 
+def test_lists_are_dealt_once(spark, monkeypatch):
+    dealt, stage = [], jaccard.stage
+
+    def watched(df, label):
+        if label == "shared":
+            df.collect()
+            plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+            dealt.extend(x for x in plan.split("\n") if "REPARTITION_BY_COL" in x and "ReusedExchange" not in x)
+        return stage(df, label)
+
+    monkeypatch.setattr(jaccard, "stage", watched)
+    jaccard.link_documents(documents(spark, corpus()))
+    assert len(dealt) == 1
+
+
+def test_tables_of_the_join_go_when_read(spark):
+    before = set(os.listdir(scratch_dir(spark)))
+    rows = jaccard.link_documents(documents(spark, corpus()))
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(scratch_dir(spark))) - before}
+    assert not left & {"signatures", "shared", "entries", "rough", "meetings", "relations"}
+    assert rows.count() == len(corpus())
+
+
+def test_common_shingles_are_counted_over_pieces(spark):
+    rows = [(i, f"one line that all have own{i} a{i} b{i} c{i}" + " and one of many" * (i % 2)) for i in range(20)]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        common, ranks = jaccard._common_shingles(documents(spark, rows).coalesce(1), 4)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(common) == 3 and sorted(ranks) == [1, 2, 3]  # two of the line that all have, one of the other
+    assert list(jaccard._ranks(common, common, ranks)) == list(ranks)
+    assert list(jaccard._ranks(common + np.uint64(1), common, ranks)) == [0, 0, 0]
+    none = np.zeros(0, np.uint64)
+    assert list(jaccard._ranks(common, none, none)) == [0, 0, 0]
+
+
+def test_sets_without_a_near_size_leave_their_list(spark):
+    sets = [(1, 10, [5, 6]), (2, 100, [5, 7]), (3, 10, [6]), (4, 10, [6]), (5, 10, [8, 9]), (6, 10, [9])]
+    entries = jaccard._entries(spark.createDataFrame(sets, "node long, n long, prefix array<long>"), 85).collect()
+    assert sorted((r.token, r.node, r.head.node, r.prior and r.prior.node) for r in entries) == [
+        (6, 1, 1, None), (6, 3, 1, None), (6, 4, 1, 3),
+    ]
+
+
+def test_links_of_large_and_small_sets(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LONG_SET", 70)
+    rnd, rows = random.Random(2), []
+    for family in range(4):
+        base = [f"f{family}x{i}" for i in range(60 + 10 * family)]
+        for n in range(15):
+            text = changed(rnd, base, rnd.choice([0, 1, 2])) + " " + " ".join(f"e{family}y{i}" for i in range(n))
+            rows.append((len(rows), "common words at first " * (n % 2) + text))
+    got = jaccard.link_documents(documents(spark, rows)).collect()
+    want = plain_components(rows, 4, 85)
+    assert len(set(want.values())) > 4
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_components_of_a_chain(spark):
     links = [(i + 1, i) for i in range(60)] + [(100, 101), (101, 101), (100, 101)]
     got = components.components(spark.createDataFrame(links, "a long, b long")).collect()

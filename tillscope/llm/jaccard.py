@@ -12,17 +12,19 @@ from pyspark.sql import functions as F
 from tillscope.functions.lookup import attach
 from tillscope.llm.components import components
 from tillscope.llm.words import SPACED_LOWER, distinct_shingles, mix, pieces, signed, words_of
-from tillscope.session import stage
+from tillscope.session import drop_staged, stage
 
 #: Words of a shingle, and the least intersection in hundredths of the union.
 SHINGLE, PERCENT = 4, 85
-#: The commonest shingles, which every set lists last. Only speed depends on which they are.
+#: The commonest shingles, which every set lists last, and how many are counted together to find
+#: them. Only speed depends on which they are.
 MOST_COMMON = 1 << 16
+COUNTED = 1 << 21
 #: Longs of a set's sketch; each bit is the parity of the elements that fall on it.
 SKETCH = 8
 #: A set of so many shingles also has a longer sketch: its longs, for sets of so many times that.
 LONG_SET = 1024
-LONG_SKETCHES = ((1, 32), (2, 64), (8, 256))
+LONG_SKETCHES = ((1, 16), (2, 32), (4, 64), (8, 256))
 #: Sets that are compared with one other set in one place.
 MEMBERS = 10_000
 #: Rows of ids that may be broadcast (32 MB); more are joined by a shuffle.
@@ -39,20 +41,42 @@ def only(big: DataFrame, ids: DataFrame, *by: str) -> DataFrame:
     return big.join(ids, list(by), "left_semi")
 
 
-def _common_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """Shingles of more than a thousandth of the documents, the commonest of them."""
+def _common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles, sorted, and the rank of each: 1 for the least common of them.
+
+    Several pieces are counted together, so that a shingle of a thousandth of the documents is seen.
+    """
+
+    def often(shingles: list[np.ndarray]) -> pa.RecordBatch:
+        value, n = np.unique(np.concatenate(shingles), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(signed(value[n >= 3])), pa.array(n[n >= 3])], ["s", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for piece in pieces(batches, "text"):
             shingles, _ = distinct_shingles(words_of(piece.column(1), SPACED_LOWER), k)
-            value, n = np.unique(shingles, return_counts=True)
-            often = n >= max(3, piece.num_rows // 500)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(value[often])), pa.array(n[often])], ["s", "n"])
+            held.append(shingles)
+            size += len(shingles)
+            if size >= COUNTED:
+                yield often(held)
+                held, size = [], 0
+        if held:
+            yield often(held)
 
     counts = docs.mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "s").limit(MOST_COMMON).collect()
-    least = docs.count() / 1000
-    return np.sort(np.array([r["s"] for r in top if r["n"] >= least], np.int64).view(np.uint64))
+    common = np.array([r["s"] for r in reversed(top)], np.int64).view(np.uint64)
+    order = np.argsort(common)
+    return common[order], order + 1
+
+
+def _ranks(shingles: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The rank of every shingle, 0 for those that are not common."""
+    if not len(common):
+        return np.zeros(len(shingles), np.int64)
+    at = np.searchsorted(common, shingles)
+    at[at == len(common)] = 0
+    return np.where(common[at] == shingles, ranks[at], 0)
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -75,9 +99,11 @@ def _parities(shingles: np.ndarray, owner: np.ndarray, sets: int, longs: int) ->
     return np.packbits(odd.reshape(sets, bits), axis=1).view(np.int64).reshape(sets, longs)
 
 
-def _signatures(docs: DataFrame, common: np.ndarray, k: int, percent: int) -> DataFrame:
+def _signatures(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> DataFrame:
     """Of every document: the size and hash of its set, its first shingles, and its sketch."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
+    # _verified asks for longer sketches by the same limit
+    long_set = LONG_SET
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
@@ -85,15 +111,14 @@ def _signatures(docs: DataFrame, common: np.ndarray, k: int, percent: int) -> Da
             n = np.diff(first)
             owner = np.repeat(np.arange(len(n)), n)
             node = _set_hashes(shingles, first).view(np.uint64)
-            # the order of all sets: rare shingles by hash, then common ones
-            last = np.isin(shingles, sent.value)
-            order = np.lexsort((shingles, last, owner))
+            # the order of all sets: rare shingles by hash, then common ones, the commonest last
+            order = np.lexsort((shingles, _ranks(shingles, *sent.value), owner))
             place = np.arange(len(shingles)) - np.repeat(first[:-1], n)
             keep = place < np.repeat(prefix_length(n, percent), n)
             sketch = _parities(shingles, owner, len(n), SKETCH)
             longs = np.zeros(len(n), np.int64)
             for times, size in LONG_SKETCHES:
-                longs[n >= times * LONG_SET] = size
+                longs[n >= times * long_set] = size
             at = np.concatenate([np.zeros(1, np.int64), np.cumsum(longs)])
             wide = np.zeros(at[-1], np.int64)
             for size in np.unique(longs[longs > 0]):
@@ -120,20 +145,38 @@ def _ratio_fits(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def _entries(sets: DataFrame) -> DataFrame:
+def _most_shared(n: Column, pos: Column, m: Column, at: Column) -> Column:
+    """The most elements that two sets of these sizes can share which hold a shingle at these places."""
+    return F.least(pos, at) + F.least(n - pos, m - at)
+
+
+def _places_fit(n: Column, pos: Column, m: Column, at: Column, percent: int) -> Column:
+    return (100 + percent) * _most_shared(n, pos, m, at) >= percent * (n + m)
+
+
+def _size(packed: Column) -> Column:
+    return F.shiftright(packed, 31)
+
+
+def _place(packed: Column) -> Column:
+    return packed.bitwiseAND((1 << 31) - 1).cast("int")
+
+
+def _entries(sets: DataFrame, percent: int) -> DataFrame:
     """The index: lists of the sets that begin with a shingle, single ones left out.
 
     Near copies share many first shingles, and the lists of most of these hold the very same sets. Of lists with equal members one is
-    kept, as any pair of sets that meets in one of them meets in the other. A list stands in the order of the sets' sizes. Every
-    entry knows its neighbour, and the head of its list: the set that stands in most lists, which among near
-    copies is the one closest to all.
+    kept, as any pair of sets that meets in one of them meets in the other. A list stands in the order of the sets' sizes, and a set
+    too far in size from both its neighbours links with none of the list and leaves it. Every entry knows its neighbour, and
+    the head of its list: the set that stands in most lists, which among near copies is the one closest to all.
     """
     # size and place in one long, which keeps the largest shuffle narrow
     listed = sets.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select(
         "token", "node", (F.shiftleft("n", 31) + F.col("pos")).alias("packed")
     )
-    # dealt once as they are, before hashes are added; both ways below read the same shuffle
-    listed = listed.repartition("token")
+    # dealt once as they are, before hashes are added. Both ways below read the same shuffle, as long as they ask for the
+    # same rows: the semi-join adds this filter to its side
+    listed = listed.where("token is not null").repartition("token")
     members = Window.partitionBy("token")
     told = [F.bit_xor(F.xxhash64("node", F.lit(i))).over(members).alias(f"told{i}") for i in (1, 2)]
     first = F.min(F.struct("packed", "node")).over(members)
@@ -141,21 +184,36 @@ def _entries(sets: DataFrame) -> DataFrame:
     shared = shared.where("members > 1")
     heads = shared.where((F.col("node") == F.col("first.node")) & (F.col("packed") == F.col("first.packed")))
     one_each = heads.groupBy("members", "told1", "told2").agg(F.min("token").alias("token"))
-    shared = shared.select("token", "node", "packed").join(one_each.select("token"), "token", "left_semi")
+    kept = one_each.select("token")
+    shared = shared.select("token", "node", "packed", "members").join(kept, "token", "left_semi")
     order = Window.partitionBy("token").orderBy("packed", "node")
-    prior = F.struct(F.lag("node").over(order).alias("node"), F.shiftright(F.lag("packed").over(order), 31).alias("n"))
-    shared = shared.withColumn("prior", prior).select(
+    shared = shared.withColumns(
+        {"last": F.lag("packed").over(order), "last_node": F.lag("node").over(order), "next": F.lead("packed").over(order)}
+    )
+    n, pos = _size(F.col("packed")), _place(F.col("packed"))
+    beside = {c: (_size(F.col(c)), _place(F.col(c))) for c in ("last", "next")}
+    meets = {c: _places_fit(n, pos, *at, percent) for c, at in beside.items()}
+    near = F.lit(False)
+    for c, (size, _) in beside.items():
+        # of two sets the places count too
+        fits = F.when(F.col("members") == 2, meets[c]).otherwise(_ratio_fits(n, size, percent))
+        near |= F.col(c).isNotNull() & fits
+    shared = shared.where(near)
+    shared = shared.select(
         "token",
         "node",
-        F.shiftright("packed", 31).alias("n"),
-        (F.col("packed").bitwiseAND((1 << 31) - 1)).cast("int").alias("pos"),
-        F.when(F.col("prior.node").isNotNull(), F.col("prior")).alias("prior"),
+        n.alias("n"),
+        pos.alias("pos"),
+        F.when(meets["last"], F.struct(F.col("last_node").alias("node"), beside["last"][0].alias("n"))).alias("prior"),
     )
     shared = stage(shared, "shared")
-    one = F.struct("node", "n")
+    one = F.struct("node", "n", "pos")
     lists = shared.groupBy("node").agg(F.count("*").alias("lists"))
     best = Window.partitionBy("token").orderBy(F.desc("lists"), "node")
-    return shared.join(lists, "node").withColumn("head", F.first(one).over(best)).drop("lists")
+    entries = shared.join(lists, "node").withColumn("head", F.first(one).over(best)).drop("lists")
+    entries = stage(entries, "entries")
+    drop_staged(shared)
+    return entries
 
 
 def _pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -198,14 +256,20 @@ def _folded(sketch: str, size: Column) -> Column:
     return F.when(F.size(whole) == size, whole).otherwise(over)
 
 
-def _wide_bound() -> Column:
-    """As ``_overlap_bound``, by the longer sketches where both sets have one."""
-    size = F.least(F.size("wide_a"), F.size("wide_b"))
+def _sketches(sets: DataFrame) -> DataFrame:
+    """The sketches of every set, ``long`` the longer one of a large set."""
+    short = sets.select("node", F.lit(False).alias("long"), F.array(*_BITS).alias("sketch"))
+    return short.union(sets.where(F.size("wide") > 0).select("node", F.lit(True), "wide"))
+
+
+def _sketch_bound() -> Column:
+    """As ``_overlap_bound``, of a pair with two sketches."""
+    size = F.least(F.size("sketch_a"), F.size("sketch_b"))
     pairs = F.zip_with(
-        _folded("wide_a", size), _folded("wide_b", size), lambda x, y: F.bit_count(x.bitwiseXOR(y))
+        _folded("sketch_a", size), _folded("sketch_b", size), lambda x, y: F.bit_count(x.bitwiseXOR(y))
     )
     differ = F.aggregate(pairs, F.lit(0), lambda n, x: n + x)
-    return F.when(size > 0, F.floor((F.col("na") + F.col("nb") - differ) / 2))
+    return F.least(F.floor((F.col("na") + F.col("nb") - differ) / 2), "na", "nb")
 
 
 def _meetings(pairs: DataFrame) -> DataFrame:
@@ -281,15 +345,15 @@ def _intersections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Every pair with ``linked`` and ``most``, which its similarity doesn't exceed.
 
-    Sketches rule most pairs out; the longer ones are as long as their sets need. Only for the rest the sets are made again from the
-    texts, meet once for each pair, and are intersected.
+    Sketches rule most pairs out; the longer ones are as long as their sets need, and a pair of two large sets brings these alone.
+    Only for the rest the sets are made again from the texts, meet once for each pair, and are intersected.
     """
-    sketches = sets.select("node", "n", "wide", *_BITS)
-    rough = pairs.join(_side(sketches, "a").withColumnRenamed("node_a", "a"), "a")
-    rough = rough.join(_side(sketches, "b").withColumnRenamed("node_b", "b"), "b")
-    bound = F.least(_overlap_bound("a", "b"), _wide_bound())
+    sketches = _sketches(sets)
+    rough = pairs.withColumn("long", F.least("na", "nb") >= LONG_SET)
+    for side in "ab":
+        rough = rough.join(sketches.toDF(side, "long", f"sketch_{side}"), [side, "long"])
     rough = stage(
-        rough.select("a", "na", "b", "nb", bound.alias("overlap")).withColumn("linked", _links(percent)), "rough"
+        rough.select("a", "na", "b", "nb", _sketch_bound().alias("overlap")).withColumn("linked", _links(percent)), "rough"
     )
     meetings = stage(_meetings(rough.where("linked").select("a", "b")), "meetings")
     brought = _brought(docs, sets, meetings, k).repartition("hub", "place")
@@ -306,7 +370,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percen
     ).distinct()
     both = rough.where("not linked").unionByName(exact.withColumn("linked", _links(percent)))
     most = (F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("most")
-    return stage(both.select("a", "b", "linked", most), "verified")
+    verified = stage(both.select("a", "b", "linked", most), "verified")
+    drop_staged(rough)
+    drop_staged(meetings)
+    return verified
 
 
 def _links(percent: int) -> Column:
@@ -322,7 +389,8 @@ def _relations(
     """
     a, b = F.least("head.node", "node"), F.greatest("head.node", "node")
     known = entries.withColumns({"a": a, "b": b}).join(checked, ["a", "b"], "left")
-    ratio = F.least("n", "head.n") / F.greatest("n", "head.n")
+    shared = _most_shared(*map(F.col, ("n", "pos", "head.n", "head.pos")))
+    ratio = shared / (F.col("n") + F.col("head.n") - shared)
     known = known.where("head.node <> node").select(
         "token", "node", "n", "pos",
         F.coalesce("linked", F.lit(False)).alias("linked"),
@@ -360,13 +428,11 @@ def _remaining(rows: DataFrame, percent: int) -> DataFrame:
     """
     far = 1 - percent / 100
     x, y = (_side(rows, s, "token") for s in "xy")
-    before = F.least("pos_x", "pos_y")
-    after = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
     total = F.col("n_x") + F.col("n_y")
     near = (
         (F.col("group_x") != F.col("group_y"))
         & _ratio_fits(F.col("n_x"), F.col("n_y"), percent)
-        & ((100 + percent) * (before + after) >= percent * total)
+        & _places_fit(*map(F.col, ("n_x", "pos_x", "n_y", "pos_y")), percent)
         & ((100 + percent) * _overlap_bound("x", "y") >= percent * total)
     )
     apart = x.where("not linked_x").join(y.where("not linked_y"), "token").where(near & F.expr("node_x < node_y"))
@@ -397,25 +463,32 @@ def link_documents(
     """
     docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
     signatures = stage(_signatures(docs, _common_shingles(docs, k), k, percent), "signatures")
-    full = signatures.where("n > 0")
-    classes = stage(full.groupBy("node").agg(F.min("id").alias("id")), "classes")
-    sets = only(full, classes.where("id is not null"), "node", "id")
-    entries = stage(_entries(sets), "entries")
-    heads = entries.selectExpr("head.node as x", "head.n as nx", "node as y", "n as ny")
+    rows = stage(signatures.select("id", "n", "node"), "rows")
+    classes = stage(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id")), "classes")
+    listed = only(signatures.where("n > 0"), classes.where("id is not null"), "node", "id")
+    sets = stage(listed.drop("prefix"), "sets")
+    entries = _entries(listed.select("node", "n", "prefix"), percent)
+    # each table goes when what it is needed for is written
+    drop_staged(signatures)
+    heads = entries.where(_places_fit(*map(F.col, ("n", "pos", "head.n", "head.pos")), percent))
+    heads = heads.selectExpr("head.node as x", "head.n as nx", "node as y", "n as ny")
     neighbours = entries.where("prior is not null").selectExpr("prior.node as x", "prior.n as nx", "node as y", "n as ny")
     first = stage(_pairs(heads.union(neighbours), percent), "pairs")
     checked = _verified(first, sets, docs, k, percent)
     links = checked.where("linked").select("a", "b")
     groups = stage(components(links), "groups")
-    rest = _remaining(stage(_relations(entries, checked, groups, sets, percent), "relations"), percent)
-    rest = stage(rest.join(first, ["a", "b"], "left_anti").select("a", "na", "b", "nb"), "pairs")
+    relations = stage(_relations(entries, checked, groups, sets, percent), "relations")
+    drop_staged(entries)
+    rest = _remaining(relations, percent).join(first, ["a", "b"], "left_anti")
+    rest = stage(rest.select("a", "na", "b", "nb"), "pairs")
+    drop_staged(relations)
     links = links.union(_verified(rest, sets, docs, k, percent).where("linked").select("a", "b"))
     joined = components(links).join(classes, "node")
     least = joined.groupBy("component").agg(F.min("id").alias("least"))
     of_node = joined.join(least, "component").select("node", "least")
     ids = classes.join(of_node, "node", "left").select("node", F.coalesce("least", "id").alias("class_id"))
     # the rows of very many copies are split
-    found = attach(signatures.select("id", "n", "node"), ids, ["node"])
+    found = attach(rows, ids, ["node"])
     return found.select(
         F.col("id").alias(key),
         F.col("n").alias("n_shingles"),
