@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillscope.llm import bpe, decontaminate, jaccard, secret_scan, toxicity
-from tillscope.session import scratch_dir, ship_package
+from tillscope.session import scratch_dir, ship_package, stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -41,11 +41,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("hash")))
     keyed = docs.withColumn(_ROW, own)
     linked = jaccard.link_documents(keyed.select(_ROW, "text"), k=5, percent=80, key=_ROW)
-    keep = linked.where(F.col("component_id") == F.col(_ROW)).select(_ROW).distinct()
-    kept = keyed.where(F.col(_ROW).isNotNull()).join(keep, _ROW, "left_semi")
+    stays = F.max(F.col("component_id").eqNullSafe(F.col(_ROW)))
+    told = linked.where(F.col(_ROW).isNotNull()).groupBy(_ROW).agg(stays.alias("stays"), F.count("*").alias("rows"))
+    told = stage(told.where("not stays or rows > 1"), "told")
+    single = jaccard.only(keyed, told.select(_ROW), _ROW, how="left_anti", width=4)
+    several = jaccard.only(keyed, told.where("stays").select(_ROW), _ROW, width=4)
     place = F.row_number().over(Window.partitionBy(_ROW).orderBy(*docs.columns))
-    first = kept.withColumn(_PLACE, place).where(F.col(_PLACE) == 1)
-    return first.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    first = several.withColumn(_PLACE, place).where(F.col(_PLACE) == 1)
+    return single.select(*docs.columns).unionByName(first.select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -92,7 +95,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies all stages to the documents; each but the last is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     at = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+    for name, step in STAGES[:-1]:
+        step(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

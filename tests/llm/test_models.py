@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.helpers import ODD, documents
-from tillscope.llm import language, queries, toxicity
+from tillscope.llm import jaccard, language, queries, toxicity
 from tillscope.llm.words import ALNUM_LOWER, words_of
 
 SMALL = "/root/testdata/sf0.01"
@@ -176,3 +176,32 @@ def test_pipeline_judges_rows_not_ids(spark):
     docs = documents(spark, rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.drop_contaminated(spark, docs, SMALL).select("doc_id", "text").collect()
     assert sorted(map(tuple, kept), key=repr) == sorted([rows[1], rows[3], rows[4]], key=repr)
+
+
+def test_near_copies_go_without_moving_texts(spark, monkeypatch):
+    """Texts are dealt only where several rows are equal in id and text, unless there are too many ids to broadcast."""
+    copies = [(1, "one two three four five six"), (2, "One two three four five six"), (3, "some words of its own"), (None, "x")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+
+    def run(rows):
+        kept = corpus_pipeline.drop_near_copies(spark, documents(spark, rows, schema), SMALL)
+        found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+        plan = kept._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        return found, "EmptyRelation" not in plan or "SortMergeJoin" in plan
+
+    want = sorted([copies[0], copies[2], copies[3]], key=repr)
+    assert run(copies) == (want, False)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    assert run([*copies, copies[2]]) == (want, True)
+
+
+def test_scored_rows_bring_their_text_once(spark):
+    docs = documents(spark, ODD)
+    labels = spark.createDataFrame([(1, 0), (5, 1)], "doc_id long, toxic int")
+    got = toxicity.with_scores(docs, labels, learn=F.lit(True))
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow", 1)[1].split("\n")[1]
+    assert plan.rstrip().split(" AS ")[-1].startswith("row#") and "," not in plan.rsplit(" AS ", 1)[1], plan
+    plain = {r.doc_id: r.score for r in toxicity.score_documents(docs, labels, learn=F.lit(True)).collect()}
+    rows = got.select("row.doc_id", "row.text", F.col("score")).collect()
+    assert sorted(((r.doc_id, r.text) for r in rows), key=repr) == sorted(ODD, key=repr)
+    assert all(r.score == plain[r.doc_id] for r in rows)

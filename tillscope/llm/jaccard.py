@@ -34,11 +34,14 @@ BROADCAST_ROWS = 4_000_000
 _BITS = [f"s{i}" for i in range(SKETCH)]
 
 
-def only(big: DataFrame, ids: DataFrame, *by: str) -> DataFrame:
-    """The rows of ``big`` whose key is in ``ids``, without moving ``big`` while ``ids`` is small."""
-    if ids.count() <= BROADCAST_ROWS:
+def only(big: DataFrame, ids: DataFrame, *by: str, how: str = "left_semi", width: int = 1) -> DataFrame:
+    """The rows of ``big`` whose key is in ``ids`` (``left_anti``: is not), without moving ``big`` while ``ids`` is small.
+
+    A row of ``ids`` counts as ``width`` of those that may be broadcast.
+    """
+    if ids.count() * width <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    return big.join(ids, list(by), "left_semi")
+    return big.join(ids, list(by), how)
 
 
 def _common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -260,12 +261,21 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     return model
 
 
-def _scored(docs: DataFrame, model: Model, *kept: str) -> DataFrame:
-    """``id``, further columns, and the features and the score of every text."""
+def _scored(docs: DataFrame, model: Model, *kept: str, inside: str | None = None) -> DataFrame:
+    """``id``, further columns, and the features and the score of every text.
+
+    With ``inside``, ``docs`` has one column, a struct, whose field of that name is the text, so texts are sent once.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    columns = ["id", *kept]
+    columns = ["id", *kept] if inside is None else docs.columns
+    docs = docs.select(*columns, "text") if inside is None else docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if inside is not None:
+            batches = (
+                pa.RecordBatch.from_arrays([b.column(0), pc.struct_field(b.column(0), inside)], [*columns, "text"])
+                for b in batches
+            )
         for piece in pieces(batches, "text"):
             features = sent.value.features(piece.column(piece.schema.get_field_index("text")))
             values = [*features.T, sent.value.score(features)]
@@ -276,7 +286,7 @@ def _scored(docs: DataFrame, model: Model, *kept: str) -> DataFrame:
 
     numbers = [T.StructField(c, T.DoubleType()) for c in [*FEATURES, "score"]]
     schema = T.StructType([docs.schema[c] for c in columns] + numbers)
-    return docs.select(*columns, "text").mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def score_documents(
@@ -298,5 +308,6 @@ def with_scores(
     df: DataFrame, labels: DataFrame, learn: Column, text: str = "text", key: str = "doc_id", label: str = "toxic"
 ) -> DataFrame:
     """As ``score_documents``, with every whole row: ``row`` (a struct of its columns) and ``score``."""
-    docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"), F.struct(*df.columns).alias("row"))
-    return _scored(docs, fit(docs.drop("row"), labels, learn, key, label), "row").select("row", "score")
+    docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    rows = df.select(F.struct(*df.columns).alias("row"))
+    return _scored(rows, fit(docs, labels, learn, key, label), inside=text).select("row", "score")
